@@ -1,7 +1,7 @@
 """The queries of this package and their SQL."""
 
-from clinloom.llm import langid, minhash, topk, url_filter
+from clinloom.llm import langid, minhash, packing, topk, url_filter, wavelet
 
-_MODULES = (langid, minhash, topk, url_filter)
+_MODULES = (langid, minhash, packing, topk, url_filter, wavelet)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
