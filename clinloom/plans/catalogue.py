@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from clinloom.plans import cleaning, cohort
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    urgent = orders.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("hit")).where("hit")
-    return orders.join(urgent, "o_custkey", "left_semi")
-
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (cohort, cleaning)
+flagship = cohort.flagship
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
