@@ -8,9 +8,11 @@
    gives n - 1 pairs.
 4. The packed bits estimate a pair's similarity, corrected for chance collisions; pairs more
    than six standard deviations below the threshold go, the rest are confirmed on full sets.
-5. Links close to components. Buckets of which members beyond the smallest still lie in
-   several components are compared in small blocks, each pair in the first band that it shares, so that no
-   link between members is missed for want of a link to the smallest.
+5. Links close to components. Buckets that still hold several components beyond the
+   smallest member choose another member, by a hash, for all to meet, a few times over. What is left in
+   several components then is compared in blocks, each pair in the first band that it
+   shares, so that no link is missed for want of a link to a chosen member. Very large
+   buckets of many components are parted by a second shared band before.
 
 Defined cases: a text that is null or has no words has an empty set and is linked with
 nothing; with fewer than five words the whole sequence is the one shingle; very long texts
@@ -37,8 +39,12 @@ PERMS = BANDS * ROWS
 BITS = 4
 #: Six standard deviations of the estimate below the threshold of 0.85.
 SLACK = 0.23
+#: Rounds in which each bucket's members meet one of them.
+STARS = 4
 #: Members of a block in step 5, about.
-BLOCK = 64
+BLOCK = 512
+#: Members of a bucket, mostly of as many components, from which on it is parted by a second band.
+REFINE_ABOVE = 4096
 
 _RNG = np.random.default_rng(96)
 _A = _RNG.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,7 +125,7 @@ def estimate(a: list, b: list):
 
 
 def _sets_of(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(r, s) for need (r): the class's smallest document's set. need also has k1, k2."""
+    """(r, s) for the classes need (r, k1, k2): their sets, from the texts of their smallest documents."""
     schema = pa.schema([("r", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.binary())])
 
     def run(batches):
@@ -141,8 +147,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 u, v = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                both = np.intersect1d(u, v, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
+                keep.append(_similar(u, v, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(sets.select(F.col("r").alias("b"), F.col("s").alias("sb")), "b")
@@ -150,37 +155,80 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(rest: DataFrame, floor: float) -> DataFrame:
-    """Pairs of rest (key, n, r, c, bands, bits) in different components c that may be similar, each from the first band it shares."""
-    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
-    rest = rest.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("r", F.lit(5)), F.col("nb")).cast("int"))
-    rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rest = rest.select("key", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "r", "c", "bands", "bits")
-    ones = np.uint64(int("1" * (64 // BITS), 16))
+def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    both = np.intersect1d(u, v, assume_unique=True).size
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
+def _refine(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """Buckets of those members of a bucket that share a second band too: a row becomes at most 23, however large the bucket."""
+    rows = rest.join(classes.select("r", F.explode("bands").alias("k2")), "r").where(F.col("k2") != F.col("key"))
+    rows = rows.select(F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key"), "r", "c").distinct()
+    return _mixed(rows)
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, r, c) of the buckets that hold several components."""
+    keys = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    return members.join(keys, "key", "left_semi")
+
+
+def _block_links(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between the components within the buckets of rest (key, r, c).
+
+    A bucket's main component (that of its smallest member) and the other members are dealt into
+    blocks; others meet the main component's blocks and one another's. Pairs in one component are not
+    compared; a pair is compared in the first band that it shares.
+    """
+    main = rest.groupBy("key").agg(F.min(F.struct("r", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
+    rest = rest.join(main, "key").withColumn("out", F.col("c") != F.col("main"))
+    size = rest.groupBy("key").agg(F.count_if(~F.col("out")).alias("n_in"), F.count_if("out").alias("n_out"))
+    rest = rest.join(size, "key")
+    n_in, n_out = (F.ceil(F.col(c) / F.lit(float(block))).cast("int") for c in ("n_in", "n_out"))
+    rest = rest.withColumn("blk", F.pmod(F.xxhash64("r", F.lit(5)), F.when(F.col("out"), n_out).otherwise(n_in)).cast("int"))
+    at = lambda p, q, cross: F.struct(p.alias("p"), q.alias("q"), F.lit(cross).alias("cross"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    inner = F.transform(upto(n_out), lambda q: at(F.col("blk"), q, True))
+    outer = F.concat(F.transform(upto(n_in), lambda p: at(p, F.col("blk"), True)), F.transform(upto(n_out), lambda o: at(F.least("blk", o), F.greatest("blk", o), False)))
+    rows = rest.withColumn("g", F.explode(F.when(F.col("out"), outer).otherwise(inner))).select("key", "g.*", "blk", "out", "r", "c")
+    rows = rows.join(classes.select("r", "bands", "bits"), "r").join(sets, "r").select("key", "p", "q", "cross", "blk", "out", "r", "c", "bands", "bits", "s")
+    ones, floor = np.uint64(int("1" * (64 // BITS), 16)), percent / 100 - SLACK
 
     def run(t: pa.Table) -> pa.Table:
-        key, p, q = t["key"][0].as_py(), t["p"][0].as_py(), t["q"][0].as_py()
-        blk, r, c = (t[x].to_numpy() for x in ("blk", "r", "c"))
+        key, p, q, cross = (t[x][0].as_py() for x in ("key", "p", "q", "cross"))
+        blk, r = t["blk"].to_numpy(), t["r"].to_numpy()
+        out = t["out"].to_numpy(zero_copy_only=False)
+        _, c = np.unique(t["c"].to_numpy(), return_inverse=True)
         bands, bits = np.array(t["bands"].to_pylist(), dtype=np.int64), np.array(t["bits"].to_pylist(), dtype=np.int64).view(np.uint64)
-        i, j = np.triu_indices(len(r), 1)
-        ok = (c[i] != c[j]) & ((blk[i] != blk[j]) | (p == q))
-        i, j = i[ok], j[ok]
-        d = bits[i] ^ bits[j]
-        d |= d >> np.uint64(1)
-        d |= d >> np.uint64(2)
-        wrong = np.bitwise_count(d & ones).sum(axis=1)
-        chance = 2.0**-BITS
-        near = (1 - wrong / PERMS - chance) / (1 - chance) >= floor
-        i, j = i[near], j[near]
-        same = bands[i] == bands[j]
-        first = np.take_along_axis(bands[i], same.argmax(axis=1)[:, None], axis=1)[:, 0] == key if len(i) else np.empty(0, bool)
-        i, j = i[first], j[first]
-        return pa.table({"a": np.minimum(r[i], r[j]), "b": np.maximum(r[i], r[j])})
-
-    return rest.groupBy("key", "p", "q").applyInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+        is_band = (bands == key).any()
+        sets_ = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t["s"]]
+        root = np.arange(c.max() + 1)
+        a, b = [], []
+        for i in range(len(r)):
+            j = np.flatnonzero((out != out[i]) & ~out if cross else (blk != blk[i]) | (p == q))
+            if cross and not out[i]:
+                continue
+            j = j[(root[c[j]] != root[c[i]]) & ((j > i) | cross)]
+            d = bits[j] ^ bits[i]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            est = (1 - np.bitwise_count(d & ones).sum(axis=1) / PERMS - 2.0**-BITS) / (1 - 2.0**-BITS)
+            j, est = j[est >= floor], est[est >= floor]
+            if is_band and len(j):
+                same = bands[j] == bands[i]
+                mine = bands[i][same.argmax(axis=1)] == key
+                j, est = j[mine], est[mine]
+            for k in j[np.argsort(-est, kind="stable")]:
+                if root[c[k]] != root[c[i]] and _similar(sets_[i], sets_[k], percent):
+                    root[root == root[c[k]]] = root[c[i]]
+                    a.append(min(r[i], r[k]))
+                    b.append(max(r[i], r[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "p", "q", "cross").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, block: int = BLOCK, refine_above: int = REFINE_ABOVE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     floor = percent / 100 - SLACK
     signed = materialize(signatures(docs))
@@ -191,25 +239,48 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = classes.select("r", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("r").alias("lead")).where(F.col("n") > 1)
     buckets = materialize(members.join(shared, "key"))
-    stars = buckets.where(F.col("r") != F.col("lead")).select(F.col("lead").alias("a"), F.col("r").alias("b")).distinct()
     bits = classes.select("r", *[F.col("bits")[k].alias(f"b{k}") for k in range(PERMS * BITS // 64)])
-    a, b = (bits.select(F.col("r").alias(x), *[F.col(c).alias(x + c) for c in bits.columns[1:]]) for x in ("a", "b"))
+    side = {x: bits.select(F.col("r").alias(x), *[F.col(c).alias(x + c) for c in bits.columns[1:]]) for x in "ab"}
     est = estimate([F.col("a" + c) for c in bits.columns[1:]], [F.col("b" + c) for c in bits.columns[1:]])
-    likely = materialize(stars.join(a, "a").join(b, "b").where(est >= floor).select("a", "b"))
 
-    links = materialize(confirm(likely, _needed(docs, likely, classes), percent))
-    labels = materialize(connected_components(links))
+    def likely(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.distinct().join(side["a"], "a").join(side["b"], "b").where(est >= floor).select("a", "b"))
 
-    named = buckets.where((F.col("n") > 2) & (F.col("r") != F.col("lead"))).join(labels.withColumnRenamed("node", "r"), "r", "left")
-    named = named.select("key", "n", "r", F.coalesce("component", "r").alias("c"))
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    rest = named.join(split, "key", "left_semi").join(classes.select("r", "bands", "bits"), "r")
-    more = materialize(_block_pairs(rest, floor))
-    if not more.isEmpty():
-        links = links.unionAll(confirm(more, _needed(docs, more, classes), percent))
-        labels = materialize(connected_components(materialize(links)))
+    pairs = likely(buckets.where(F.col("r") != F.col("lead")).select(F.col("lead").alias("a"), F.col("r").alias("b")))
+    need = pairs.select(F.col("a").alias("r")).unionAll(pairs.select(F.col("b").alias("r"))).unionAll(buckets.where(F.col("n") > 2).select("r")).distinct()
+    sets = materialize(_sets_of(docs, classes.select("r", "k1", "k2").join(need, "r", "left_semi")))
+    links = materialize(confirm(pairs, sets, percent))
+    labels = materialize(connected_components(links))
+    # a smallest member has met all of its bucket
+    rest = buckets.where((F.col("n") > 2) & (F.col("r") != F.col("lead"))).select("key", "r")
+
+    def named(rows: DataFrame) -> DataFrame:
+        rows = rows.select("key", "r").join(labels.withColumnRenamed("node", "r"), "r", "left")
+        return materialize(_mixed(rows.select("key", "r", F.coalesce("component", "r").alias("c"))))
+
+    def also(new: DataFrame) -> None:
+        nonlocal links, labels
+        new = materialize(new)
+        if not new.isEmpty():
+            links = materialize(links.unionAll(new))
+            labels = materialize(connected_components(links))
+
+    rest = named(rest)
+    for k in range(1, stars):
+        if rest.isEmpty():
+            break
+        lead = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("r", F.lit(k)).alias("h"), "r", "c")).alias("m")).select("key", F.col("m.r").alias("lead"), F.col("m.c").alias("lc"))
+        met = rest.join(lead, "key").where(F.col("r") != F.col("lead"))
+        also(confirm(likely(met.where(F.col("c") != F.col("lc")).select(F.least("lead", "r").alias("a"), F.greatest("lead", "r").alias("b"))), sets, percent))
+        rest = named(met)
+    for _ in range(2):  # very large buckets of many components
+        large = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.approx_count_distinct("c").alias("parts")).where((F.col("n") > refine_above) & (F.col("parts") * 8 > F.col("n"))).select("key"))
+        if large.isEmpty():
+            break
+        rest = materialize(rest.join(large, "key", "left_anti").unionAll(_refine(rest.join(large, "key", "left_semi"), classes)))
+    if not rest.isEmpty():
+        also(_block_links(rest, classes, sets, percent, block))
 
-    # from classes to documents; the rows of one doc_id are one document
     out = signed.join(classes.select("k1", "k2", "r"), ["k1", "k2"], "left")
     out = out.join(labels.withColumnRenamed("node", "r"), "r", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
@@ -218,11 +289,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _needed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("r")).unionAll(pairs.select(F.col("b").alias("r"))).distinct()
-    return materialize(_sets_of(docs, classes.select("r", "k1", "k2").join(ids, "r", "left_semi")))
-
-
 def dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs that stay: of each group the one of the smallest doc_id, all rows of other documents."""
     gone = near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select("doc_id")
