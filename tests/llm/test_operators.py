@@ -1,0 +1,475 @@
+"""Defined cases of every operator, and comparison with brute force or a round trip."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clinloom.llm import components, decontam, kneser_ney, langid, line_dedup, minhash, packing, suffix_dedup, tokens, topk, url_filter, wavelet
+from clinloom.llm.common import materialize
+
+WORDS = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("l", "n", "rt", "s", "m")]
+DOCS = "doc_id long, text string, score double, host string"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, texts, ids=None):
+    """Documents with columns whose names the operators use too."""
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, 0.5, "h") for i, t in zip(ids, texts)], DOCS).repartition(3)
+
+
+ODD = [None, "", " ", "\n\n", "a", "Ünï çödé — ’x’ 漢字 😀", "tab\there  two\x0b\x0c\r", "x" * 5000]
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(40)]
+    star = [(100, k) for k in range(101, 130)]
+    e = spark.createDataFrame(path + star + [(7, 7), (None, 3), (5, None), (500, 400), (400, 500)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(e).collect()}
+    assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)} | {400: 400, 500: 400}
+    assert components.connected_components(e.limit(0)).count() == 0
+
+
+# --- 9
+
+
+def test_url_rules(spark):
+    urls = ["http://a.COM/en/1", "https://www.example.com/en/77?x", "http://example.com/en/6", "ftp://x.net/de/", "http://b.example.net/de/81#t", "http://xcom/en/", "nothing", None, "http://o.org/es/?q", "http://o.org?/es/", "http://u@h.com:80/en/", "://com/en/"]
+    df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id int, url string, rule string")
+    want = ["block", "allow", "block", "allow", "block", "allow", "allow", "allow", "block", "allow", "allow", "block"]
+    for bound in (10, 1):
+        got = url_filter.url_filter(df, url_filter.RULES, max_broadcast=bound).orderBy("page_id").collect()
+        assert [r.verdict for r in got] == want
+        assert got[1].rule == "example.com/en/7" and got[1].host == "www.example.com" and got[1].path == "/en/77" and got[7].host == got[7].path == "" and got[7].rule is None
+    assert url_filter.url_filter(df.limit(0), url_filter.RULES).count() == 0
+
+
+def test_trie_against_all_rules():
+    rng = random.Random(3)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", ""]
+    paths = ["/", "/e", "/en", "/en/", "/en/7", "/en/7/x", "", "e"]
+    rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts[:-1] for p in paths if rng.random() < 0.6]
+    trie = url_filter.build_trie(rules)
+    for h in hosts + ["c.b.a.com", "acom", "y.x.net"]:
+        for p in paths + ["/en/77", "/en/7/xy", "/e/n"]:
+            fits = [r for r in rules if (h == r[0] or h.endswith("." + r[0])) and p.startswith(r[1])]
+            assert url_filter.lookup(trie, h, p) == max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r[2]), default=None)
+
+
+# --- 6
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_topk_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.normal(size=8).tolist()) for i in range(200)]
+    rows += [(300 + i, rows[0][1]) for i in range(30)]  # one common vector
+    rows += [(400, None), (401, [float("nan")] * 8), (402, [1.0, None] * 4), (403, []), (404, [1.0, 2.0]), (405, [3.0, -2.0]), (None, rows[0][1]), (406, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    index = materialize(topk.build_index(df))
+    q = topk.quantize(df.where("vec_id % 20 = 0 OR vec_id = 404"), "embedding", 64.0).select(F.col("vec_id").alias("query_id"), F.col("_q").alias("q"))
+    got = defaultdict(list)
+    for r in topk.search(index, q, 20, query_block=block).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    ok = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    for i in [k for k in ok if k % 20 == 0 or k == 404]:
+        best = sorted((-int(ok[i] @ v), j) for j, v in ok.items() if j != i and len(v) == len(ok[i]))[:20]
+        assert got.pop(i) == [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert not got and topk.search(index, q.limit(0)).count() == 0
+
+
+# --- 1
+
+
+def test_language_id(spark):
+    rng = random.Random(1)
+    make = {"aa": lambda: " ".join(rng.choice(["the", "ing", "oath", "when"]) for _ in range(60)), "bb": lambda: " ".join(rng.choice(["ção", "ñandú", "él", "qué"]) for _ in range(60))}
+    rows = [(i, make[k](), k) for i in range(120) for k in [("aa", "bb")[i % 2]]]
+    df = spark.createDataFrame(rows + [(500, None, "aa"), (501, "the", None)], "doc_id long, text string, lang string").withColumn("_h", F.col("doc_id"))
+    model = langid.train(df.where("doc_id < 80 OR doc_id > 499"))
+    new = spark.createDataFrame([(i, t, "x", 9.0) for i, t in enumerate([make["aa"](), make["bb"](), None, "", "123 !?", make["aa"]() * 300, make["aa"]()])], "doc_id long, text string, lang_pred string, score double")
+    got = langid.identify(new, model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["aa", "bb", "und", "und", "und", "aa", "aa"]
+    assert all(0 <= r.score <= 1 for r in got) and got[2].score == 0
+    held = langid.identify(df.where("doc_id BETWEEN 80 AND 119"), model)
+    assert held.where("lang = lang_pred").count() >= 38
+    assert langid.train(df.limit(0)) is None and {r.lang_pred for r in langid.identify(new, None).collect()} == {"und"}
+
+
+# --- 2
+
+
+def words_of(line):
+    return line.strip(" ").split(" ")
+
+
+def brute_lines(docs):
+    """Lines, in order of document and place, that an earlier line equals or is within one word's edit of."""
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        return len(b) - len(a) == 1 and any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+    seen, gone = [], set()
+    for d in sorted(docs):
+        for p, line in enumerate((docs[d] or "").split("\n")):
+            w = words_of(line)
+            if len(w) < line_dedup.MIN_WORDS:
+                continue
+            if any(near(w, s) for s in seen):
+                gone.add((d, p))
+            seen.append(w)
+    return gone
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = random.Random(7)
+    base = [prose(rng, n) for n in (5, 6, 7, 12, 30, 4, 5)]
+    lines = list(base)
+    for b in base:
+        for _ in range(8):
+            w = b.split(" ")
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(w))
+                op = rng.random()
+                w = w[:k] + w[k + 1 :] if op < 0.3 else w[:k] + [rng.choice(WORDS)] + w[k + (op < 0.7) :]
+            lines.append(rng.choice(["", " "]) + " ".join(w))
+    rng.shuffle(lines)
+    docs = {i: "\n".join(lines[4 * i : 4 * i + 4]) for i in range(len(lines) // 4 + 1)} | {90 + i: t for i, t in enumerate(ODD)} | {200: docs_long(rng)}
+    got = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, list(docs.values()), list(docs))).collect()}
+    gone = brute_lines(docs)
+    assert gone
+    for d, t in docs.items():
+        keep = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone)
+        assert got[d].text == keep, d
+        assert got[d].n_removed == sum(x == d for x, _ in gone)
+    assert got[90].score == 0.5
+
+
+def docs_long(rng):
+    one = prose(rng, 3000)
+    return one + "\n" + one.replace(" ", " extra ", 1) + "\n" + one
+
+
+def test_line_dedup_defined_cases(spark):
+    line = "one two three four five six"
+    df = frame(spark, [line, line, line, "short one", None], [2, 2, None, 5, 6])
+    got = line_dedup.line_dedup(df).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("2", line), ("2", line), ("None", ""), ("5", "short one"), ("6", None)], key=lambda x: (x[0], str(x[1])))
+    assert [r.emptied for r in got if r.doc_id is None] == [True]
+    assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+# --- 4
+
+
+def brute_groups(docs):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    s = {d: shingles(t) for d, t in docs.items()}
+    root = {d: d for d in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(docs)
+    for i in ids:
+        for j in ids:
+            if i < j and s[i] and s[j] and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {d: (len(s[d]), find(d)) for d in docs}
+
+
+@pytest.mark.parametrize("options", [{}, {"stars": 1, "block": 4}, {"stars": 1, "block": 4, "refine_above": 3}])
+def test_minhash_against_all_pairs(spark, options):
+    rng = random.Random(11)
+    docs = {}
+    for n in (60, 150):
+        base = prose(rng, n).split(" ")
+        for _ in range(30):  # a crowd: some pairs link, others share most words but do not
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, n // 18))):
+                w[rng.randrange(n)] = rng.choice(WORDS)
+            docs[len(docs)] = " ".join(w)
+    docs |= {100 + i: t for i, t in enumerate([*ODD, "A b c", "a B c", prose(rng, 4000)])}
+    docs[150] = docs[110].upper()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, list(docs.values()), list(docs)).select("doc_id", "text"), **options).collect()}
+    assert got == brute_groups(docs)
+
+
+def test_minhash_defined_cases(spark):
+    t = prose(random.Random(2), 30)
+    df = frame(spark, [t, t, t, "", None, t], [3, 3, 4, 8, 9, None])
+    kept = minhash.dedup(df)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "3", "8", "9", "None"] and kept.columns == df.columns
+    assert minhash.near_duplicates(df.select("doc_id", "text").limit(0)).count() == 0
+
+
+def test_estimate_is_near_the_similarity():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.6, 0.9):
+        a = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+        b = np.r_[a[: int(4000 * share)], rng.integers(0, 2**63, 4000 - int(4000 * share), dtype=np.uint64)]
+        true = share / (2 - share)
+        x, y = (minhash.packed(minhash.minima(np.unique(v))).view(np.uint64) for v in (a, b))
+        lanes = [(int(x[i]) >> (4 * k)) & 15 == (int(y[i]) >> (4 * k)) & 15 for i in range(len(x)) for k in range(16)]
+        assert abs((np.mean(lanes) - 1 / 16) / (15 / 16) - true) < 0.2
+
+
+# --- 7
+
+
+def test_decontamination_against_scanning(spark):
+    rng = random.Random(13)
+    items = {i: prose(rng, n) for i, n in enumerate([40, 14, 13, 5, 1, 30])} | {6: "", 7: None, 10: "!!"}
+    docs = {}
+    for i in range(25):
+        t = prose(rng, rng.randint(0, 200)).split(" ")
+        if i % 2:
+            w = items[i % 6].split(" ")
+            k = rng.randrange(len(t) + 1)
+            cut = rng.randrange(max(1, len(w) - 13))
+            t[k:k] = w[cut : cut + rng.randint(10, 40)]
+        docs[i] = "; ".join(" ".join(t).upper().split(" ")) if i % 3 else " ".join(t)
+    docs |= {100 + i: t for i, t in enumerate([*ODD, items[0], items[4]])}
+    pat = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: pat.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    want = {}
+    for d, t in docs.items():
+        w, hit, by = low(t), set(), set()
+        for i, x in items.items():
+            v = low(x)
+            n = min(13, len(v))
+            grams = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1 if n else 0):
+                if tuple(w[k : k + n]) in grams:
+                    hit.update(range(k, k + n))
+                    by.add(str(i))
+        want[d] = (len(w), len(hit), len(by), hashlib.sha256(",".join(sorted(by)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    df = frame(spark, list(docs.values()), list(docs))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    index = materialize(decontam.build_index(df, shard_words=300))
+    for chars in (1 << 20, 60):
+        got = {r.doc_id: tuple(r)[1:] for r in decontam.judge(decontam.search(index, bench, block_chars=chars)).collect()}
+        assert got == want
+    clean = decontam.decontaminate(df, bench)
+    assert {r.doc_id for r in clean.collect()} == {d for d, v in want.items() if not v[4]} and clean.columns == df.columns
+    assert decontam.contamination(df, bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.contamination(df.limit(0), bench).count() == 0
+
+
+def test_proximity():
+    from clinloom.llm.common import ALNUM_WORD, text_words
+
+    w = text_words("a b x c a b y y y c", ALNUM_WORD)
+    order = np.argsort(w, kind="stable")
+    s = w[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    shard = decontam.Shard([1], np.array([len(w)], "<i8").tobytes(), s[first].tobytes(), np.r_[first, len(s)].astype("<u4").tobytes(), order.astype("<u4").tobytes())
+    q = text_words("a b c", ALNUM_WORD)
+    assert [x.tolist() for x in shard.proximity(q, 1)] == [[0], [3]]
+    assert [x.tolist() for x in shard.proximity(q, 3)] == [[0, 4], [3, 9]]
+
+
+# --- 3, 5
+
+
+@pytest.fixture(scope="module")
+def byte_path():
+    return tokens.public_path("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_is_the_library(name):
+    e = tokens.Encoder(tokens.public_path(name))
+    rng = random.Random(1)
+    letters = "aAbB éÉß'’.,!\n\t  0٣²½́̈İΣςﬁ漢字😀\xa0 -_$<|>s'tll"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + [t or "" for t in ODD] + [" a", "a ", "\na", "a\n", "a \n b", "a\n\nb"]
+    for _ in range(2):  # new, then known
+        assert e.encode(texts) == [np.array(x.ids, dtype="<u4").tobytes() for x in e.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_round_trip(spark):
+    rng = random.Random(17)
+    texts = [prose(rng, rng.choice([1, 5, 40, 300, 900])) for _ in range(80)] + ODD + [prose(rng, 9000), ODD[1]]
+    df = frame(spark, texts)
+    enc = tokens.Encoder(tokens.public_path("word_bpe_49k.json"))
+    want = {i: enc.encode([t])[0] + np.array([1], "<u4").tobytes() for i, t in enumerate(texts)}
+    rows = packing.pack_documents(df).collect()
+    parts, seqs = defaultdict(dict), defaultdict(list)
+    for r in rows:
+        chunk = want[r.doc_id][4 * r.start : 4 * (r.start + r.length)]
+        assert len(chunk) == 4 * r.length and zlib.crc32(chunk) == r.ids_crc32
+        parts[r.doc_id][r.piece] = (r.start, r.length)
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for i, ids in want.items():
+        p = [parts[i][k] for k in range(len(parts[i]))]
+        assert [s for s, _ in p] == [4096 * k for k in range(len(p))] and sum(n for _, n in p) == len(ids) // 4
+    for s in seqs.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    # no packing takes fewer than the volume, or than the pieces over half a sequence
+    least = max(-(-sum(map(len, want.values())) // 4 // 4096), sum(r.length > 2048 for r in rows))
+    assert len(seqs) <= least + 1
+    assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hist,most", [({3: 5, 7: 5}, 5), ({10: 4}, 4), ({6: 3, 5: 3, 4: 3}, 5), ({1: 1}, 1)])
+def test_plans_cover_everything(hist, most):
+    p = packing.plan(hist, 10)
+    used = defaultdict(int)
+    for s, m in p:
+        assert sum(x * k for x, k in s.items()) <= 10
+        for x, k in s.items():
+            used[x] += k * m
+    assert dict(used) == hist and sum(m for _, m in p) <= most
+
+
+def test_wavelet_matrix():
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 1), (1, 1), (513, 900), (3000, 70_000)):
+        ids = rng.integers(0, top, n)
+        w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, [None, 5], [n // 2, n - n // 2]).to_bytes())
+        assert (w.decode() == ids).all() and w.null.tolist() == [True, False]
+        assert [w.access(i) for i in range(0, n, 7)] == ids[::7].tolist()
+        for t in [*set(ids[:5].tolist()), 10**6]:
+            assert w.occurrences(t) == np.flatnonzero(ids == t).tolist()
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.from_bytes(b"something else")
+
+
+def test_token_files(spark, byte_path, tmp_path):
+    rng = random.Random(19)
+    texts = [prose(rng, rng.randint(0, 80)) for _ in range(40)] + ODD
+    ids = [*range(100, 140), *range(len(ODD))]
+    df = frame(spark, texts + ["again"], ids + [7])
+    path = f"file://{tmp_path}/files"
+    wavelet.write_shards(df, path, byte_path, 2, shard_tokens=500)
+    files = wavelet.open_shards(spark, path)
+    got = sorted(wavelet.read_documents(files).collect(), key=lambda r: r.start)
+    enc = tokens.Encoder(byte_path)
+    want = defaultdict(list)
+    for i, t in zip(ids + [7], texts + ["again"]):
+        want[i].append(enc.encode([t])[0] + np.array([2], "<u4").tobytes())
+    assert [r.doc_id for r in got] == sorted(ids + [7])
+    at, crc = 0, defaultdict(list)
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+        crc[r.doc_id].append((r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in crc.items()} == {k: sorted((len(x) // 4, zlib.crc32(x)) for x in v) for k, v in want.items()}
+    assert wavelet.token_counts(files, [2]).first().n == len(got)
+    assert wavelet.find_token(files, 2).count() == len(got)
+
+
+# --- 8
+
+
+def test_repeats_against_all_windows(spark):
+    rng = random.Random(23)
+    p = [prose(rng, n).split(" ") for n in (50, 49, 70, 120)]
+    docs = {i: prose(rng, rng.randint(0, 150)).split(" ") for i in range(20)}
+    for i in range(20):
+        k = rng.randrange(len(docs[i]) + 1)
+        docs[i][k:k] = p[i % 4]
+    docs[30] = p[2] + prose(rng, 3).split(" ") + p[2]
+    docs[31] = ["w"] * 200
+    text = {i: " ".join(w) for i, w in docs.items()} | {40 + i: t for i, t in enumerate(ODD)} | {60: " ".join(docs[0]), 61: " ".join(docs[3]).upper()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) if i != 45 else ["x"] for i, t in text.items()}
+    where = defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    want = set()
+    for i, w in words.items():
+        hit = {k + j for k in range(len(w) - 49) if len(where[tuple(w[k : k + 50])]) > 1 for j in range(50)}
+        for k in sorted(hit):
+            if k - 1 not in hit:
+                n = next(m for m in range(1, len(w) + 1) if k + m not in hit)
+                want.add((i, k, n))
+    df = frame(spark, list(text.values()), list(text))
+    assert {tuple(r) for r in suffix_dedup.repeated_passages(df).collect()} == want and want
+    assert suffix_dedup.repeated_passages(df.limit(0)).count() == 0
+    same = frame(spark, [text[30], text[30], None], [1, 1, None])
+    assert suffix_dedup.repeated_passages(same).count() == 0
+
+
+# --- 10
+
+
+def brute_kneser_ney(texts):
+    """Probability of any 4-gram, straight from the definition."""
+    counts = [defaultdict(int) for _ in range(5)]
+    for t in texts:
+        for g in kneser_ney.grams(t).tolist():
+            counts[4][g] += 1
+    for k in (3, 2, 1):
+        for g in counts[k + 1]:
+            counts[k][g & ((1 << 6 * k) - 1)] += 1
+    disc = {}
+    for k in range(1, 5):
+        n = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
+        disc[k] = (0.5, 0.5, 0.5) if y is None else (max(0, min(1 - 2 * y * n[1] / n[0], 1)), max(0, min(2 - 3 * y * n[2] / n[1], 2)), max(0, min(3 - 4 * y * n[3] / n[2], 3)) if n[2] else 1.5)
+
+    def prob(g, k):
+        if k == 0:
+            return 1 / 64
+        mine = {x: c for x, c in counts[k].items() if x >> 6 == g >> 6}
+        less = prob(g & ((1 << 6 * (k - 1)) - 1), k - 1)
+        if not mine:
+            return less
+        d = lambda c: disc[k][min(c, 3) - 1]
+        total, c = sum(mine.values()), counts[k].get(g, 0)
+        return (c - d(c) if c else 0) / total + sum(map(d, mine.values())) / total * less
+
+    return prob
+
+
+def test_kneser_ney_against_the_definition(spark):
+    texts = ["ab abc abba", "abc, cab!", "ba ba", "Zebra é 12"]
+    probs, gammas = kneser_ney.train(spark.createDataFrame([(t,) for t in texts + [None, ""]], "text string"))
+    bits, prob = kneser_ney.dense(probs, gammas), brute_kneser_ney(texts)
+    for g in kneser_ney.grams("abc zab! é 9 ab").tolist():
+        assert 2.0 ** -bits[g] == pytest.approx(prob(g, 4), rel=1e-4)
+    block = bits[(17 << 6 * 3 | 3 << 12 | 9 << 6) : (17 << 6 * 3 | 3 << 12 | 9 << 6) + 64]
+    assert (2.0**-block).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_quality(spark):
+    rng = random.Random(29)
+    good = [prose(rng, 60) for _ in range(60)]
+    bad = ["".join(rng.choice("#$%&*!|~") for _ in range(200)) for _ in range(5)]
+    texts = good + bad + ODD[:2]
+    rows = [(i, t, ["aa", "bb", None][i % 3], "x") for i, t in enumerate(texts)] + [(None, good[0], "cc", "x"), (0, good[0], "aa", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in [*range(40), 0, None]], "doc_id long")
+    got = kneser_ney.quality(df, trusted, quantile=1.0).collect()
+    assert len(got) == len(rows)
+    kept = {r.doc_id: r.kept for r in got}
+    assert sum(kept[i] for i in range(40)) >= 35 and not any(kept[i] for i in range(60, 65)) and not kept[65] and not kept[66]
+    assert sum(kept[i] for i in range(40, 60)) >= 8
+    assert kneser_ney.quality(df.limit(0), trusted).count() == 0
+    none = kneser_ney.quality(df, trusted.limit(0)).collect()
+    assert all(r.kept == (r.n_bytes > 0) for r in none)
