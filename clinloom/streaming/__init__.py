@@ -1 +1 @@
-
+"""Streams of points matched with a table of ranges."""
