@@ -38,6 +38,18 @@ def flag_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: fl
     return one.withColumn(out, flag).select(*df.columns, out)
 
 
+def mad_outlier(df: DataFrame, column: str, threshold: float | None = None, **more) -> DataFrame:
+    return flag_outliers(df, column, "mad", threshold, **more)
+
+
+def iqr_outlier(df: DataFrame, column: str, threshold: float | None = None, **more) -> DataFrame:
+    return flag_outliers(df, column, "iqr", threshold, **more)
+
+
+def zscore_outlier(df: DataFrame, column: str, threshold: float | None = None, **more) -> DataFrame:
+    return flag_outliers(df, column, "zscore", threshold, **more)
+
+
 def detect_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """By group: count and pct of outliers; least, largest and variance with and without them."""
     flagged = flag_outliers(df, column, method, threshold, partition_by, "_o")

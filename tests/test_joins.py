@@ -122,3 +122,19 @@ def test_terms(spark):
         run(S.row_("lab", "Hb > 10"))
     with pytest.raises(ValueError):
         run(S.any_("none", "Hb > 10"))
+
+
+def test_rules_as_text(spark, cohort):
+    from clinloom.operators.screen_text import parse_rule
+
+    def run(text, table="lab"):
+        return ids(S.screen_data_list(cohort, parse_rule(text, cohort), patient_id_map="pid", visit_id_map="vid").data[table], "pid")
+
+    assert run('any(icd == "I10") & any(Hb > 10)') == [1, 2]
+    assert run("any(icd == 'J18') || mean(Hb, na.rm = TRUE) > 10") == [1, 3]
+    assert run("10 < mean(Hb)") == [1]
+    assert run('!any(icd == "I10")') == [3]
+    assert run('all(icd %in% c("I10", "J18") & !is.na(icd)) && max(Hb) - min(Hb) > 1') == [2]
+    for bad in ("any(zz > 1)", "any(pid > 1)", "any(Hb >", "any(1 > 0)"):
+        with pytest.raises(ValueError):
+            parse_rule(bad, cohort)
