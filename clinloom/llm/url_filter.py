@@ -66,13 +66,12 @@ def lookup(root: dict, host: str, path: str) -> tuple[str, str, str] | None:
         if "p0" in node:
             _ends(node["p0"], path, found)
         inner, at = node, 0
-        while True:
-            _ends(inner, path[at:], found) if inner is not node else None
-            cut = path.find("/", at)
-            inner = inner.get("p", {}).get(path[at:cut]) if cut >= 0 else None
+        while (cut := path.find("/", at)) >= 0:
+            inner = inner.get("p", {}).get(path[at:cut])
             if inner is None:
                 break
             at = cut + 1
+            _ends(inner, path[at:], found)
     return max(found, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r[2])) if found else None
 
 
