@@ -63,3 +63,24 @@ def detect_outliers(df: DataFrame, column: str, method: str = "iqr", threshold:
     )
     k = DEFAULTS[method] if threshold is None else threshold
     return g.withColumns({"outlier_pct": F.round("outlier_pct", 2), "method": F.lit(method), "threshold": F.lit(float(k))})
+
+
+def outlier_counts(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float | None = None) -> DataFrame:
+    """(variable, n): the outliers of each column; two passes over the data (three for mad), however many columns."""
+    if method not in DEFAULTS:
+        raise ValueError(f"unknown method {method}")
+    k = DEFAULTS[method] if threshold is None else threshold
+    x = {i: F.col(f"`{c}`").cast("double") for i, c in enumerate(columns)}
+    if method == "iqr":
+        stats = df.agg(*[F.percentile(x[i], F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{i}") for i in x])
+        flag = {i: (x[i] < F.col(f"_q{i}")[0] - k * (F.col(f"_q{i}")[1] - F.col(f"_q{i}")[0])) | (x[i] > F.col(f"_q{i}")[1] + k * (F.col(f"_q{i}")[1] - F.col(f"_q{i}")[0])) for i in x}
+    elif method == "zscore":
+        stats = df.agg(*[a for i in x for a in (F.avg(x[i]).alias(f"_m{i}"), F.stddev_samp(x[i]).alias(f"_s{i}"))])
+        flag = {i: F.abs(x[i] - F.col(f"_m{i}")) / F.nullif(F.col(f"_s{i}"), F.lit(0.0)) > k for i in x}
+    else:
+        mid = df.agg(*[F.percentile(x[i], F.lit(0.5)).alias(f"_m{i}") for i in x])
+        df = df.join(mid, F.lit(True))
+        stats = df.agg(*[F.percentile(F.abs(x[i] - F.col(f"_m{i}")), F.lit(0.5)).alias(f"_d{i}") for i in x])
+        flag = {i: F.abs(x[i] - F.col(f"_m{i}")) > k * MAD_SCALE * F.col(f"_d{i}") for i in x}
+    row = df.join(stats, F.lit(True)).agg(*[F.count_if(flag[i]).alias(f"n{i}") for i in x])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)])).alias("r")).select("r.*")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinloom.functions.numbers import as_numeric
-from clinloom.operators.outliers import detect_outliers
+from clinloom.operators.outliers import outlier_counts
 
 NUMERIC = {"double", "float", "int", "bigint", "smallint", "tinyint"}
 
@@ -100,19 +100,23 @@ def quality_issues(df: DataFrame, outlier_method: str = "iqr", outlier_threshold
         m["folded"] = F.count_distinct(F.lower(x)).cast("double") if c in kinds["character"] else zero
         wide[c] = m
     facts = _unpivot(df, wide)
-    put = lambda issue, cond, metric, value: facts.where(cond).select(F.lit(issue).alias("issue"), "variable", F.lit(metric).alias("metric"), value.alias("value"))
     col = F.col
-    rows.append(put("numeric_as_character", col("convertible") > 0, "convertible", col("convertible")))
-    rows.append(put("missing_values", col("missing_pct") >= 1, "missing_pct", col("missing_pct")))
-    rows.append(put("near_zero_variance", (col("distinct") == 1), "distinct", col("distinct")))
-    rows.append(put("negative_in_positive", (col("negative") > 0) & ((col("total") - col("negative")) / col("total") > 0.9), "negative", col("negative")))
-    rows.append(put("empty_columns", col("total") == 0, "total", col("total")))
-    rows.append(put("suspicious_dates", col("suspicious") > 0, "suspicious", col("suspicious")))
-    rows.append(put("low_cardinality", col("binary").isNotNull() & (col("distinct") <= 5) & (col("binary") == 0), "distinct", col("distinct")))
-    rows.append(put("case_issues", col("folded") < col("distinct"), "folded", col("folded")))
-    for c in kinds["numeric"]:
-        d = detect_outliers(df, f"{c}", outlier_method, outlier_threshold)
-        rows.append(d.where("outlier_count > 0").select(F.lit("outliers").alias("issue"), F.lit(c).alias("variable"), F.lit("outlier_count").alias("metric"), col("outlier_count").cast("double").alias("value")))
+    rules = [
+        ("numeric_as_character", col("convertible") > 0, "convertible"),
+        ("missing_values", col("missing_pct") >= 1, "missing_pct"),
+        ("near_zero_variance", col("distinct") == 1, "distinct"),
+        ("negative_in_positive", (col("negative") > 0) & ((col("total") - col("negative")) / col("total") > 0.9), "negative"),
+        ("empty_columns", col("total") == 0, "total"),
+        ("suspicious_dates", col("suspicious") > 0, "suspicious"),
+        ("low_cardinality", col("binary").isNotNull() & (col("distinct") <= 5) & (col("binary") == 0), "distinct"),
+        ("case_issues", col("folded") < col("distinct"), "folded"),
+    ]
+    # every rule on one pass over the facts
+    tried = F.array(*[F.struct(F.lit(i).alias("issue"), F.coalesce(c, F.lit(False)).alias("found"), F.lit(m).alias("metric"), col(m).alias("value")) for i, c, m in rules])
+    rows.append(facts.select("variable", F.explode(tried).alias("t")).where("t.found").select("t.issue", "variable", "t.metric", "t.value"))
+    if kinds["numeric"]:
+        counts = outlier_counts(df, kinds["numeric"], outlier_method, outlier_threshold).where("n > 0")
+        rows.append(counts.select(F.lit("outliers").alias("issue"), "variable", F.lit("outlier_count").alias("metric"), col("n").cast("double").alias("value")))
     if kinds["character"]:
         top = character_profile(df).where((col("unique") == 2) & (col("top_freq") / col("n") > 0.95))
         rows.append(top.select(F.lit("near_zero_variance").alias("issue"), "variable", F.lit("top_pct").alias("metric"), col("top_pct").alias("value")))
