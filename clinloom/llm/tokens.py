@@ -1,41 +1,46 @@
 """Encoding whole texts with a public tokenizer, with the ids of words that come again kept at hand.
 
-A tokenizer's pre-tokenizer often never joins what stands on two sides of a space: then a
-text may be cut there, and each part's ids are the same as within the text. Which way a
-tokenizer's file allows is read from the file; where neither way holds, or a text has
-two spaces in a row, whole texts go through the library.
+A tokenizer's pre-tokenizer often never joins what stands on two sides of a space or line
+end: then a text may be cut there, and each part's ids, with the separator before it, are
+the same as within the text. Parts are known again by a 64-bit hash. Which way a tokenizer's file
+allows is read from the file; where neither way holds, or a text has two separators in a
+row, whole texts go through the library.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from array import array
+from unicodedata import normalize
 
 import numpy as np
 import regex
 
-#: Words of which the ids are kept, at most, in a worker: some 100 MB.
-KEEP_WORDS = 400_000
+from clinloom.llm.common import hash_words
+
+#: Parts of texts, and words of letters among them, of which the ids are kept, at most, in a worker: some 250 MB.
+KEEP_PARTS, KEEP_WORDS = 1_000_000, 400_000
+PLAIN, SPACED, LINED = 0, 1, 2
+LEADS = ("", " ", "\n")
+_SALT = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], dtype=np.uint64)
 _LETTERS = regex.compile(r"\p{L}+")
 _OPEN: dict[str, Encoder] = {}
 
 
-class _Parts(dict):
-    """Ids, as little-endian bytes of 32 bits each, by part of a text."""
+def _byte_symbols() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __init__(self, encoder: Encoder, lead: str):
-        super().__init__()
-        self.encoder, self.lead = encoder, lead
 
-    def __missing__(self, part: str) -> bytes:
-        m = _LETTERS.match(part)
-        # letters, then something else in ASCII: no token and no normal form crosses that border
-        if m and m.end() < len(part) and part[m.end()] < "\x80":
-            ids = self[part[: m.end()]] + self.encoder.plain[part[m.end() :]]
-        else:
-            ids = np.array(self.encoder.library.encode(self.lead + part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[part] = ids
-        return ids
+_SYMBOLS = _byte_symbols()
+
+
+def _bytes(ids: list[int]) -> bytes:
+    """As little-endian numbers of 32 bits."""
+    return np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else array("I", ids).tobytes()
 
 
 class Encoder:
@@ -45,13 +50,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.mode = self._mode(spec)
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.border = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        for token, i in vocab.items():
-            self.border[i] = token.startswith("Ġ") if self.mode == "leading" else token.endswith("</w>")
+            self.mode = self._mode(json.load(f))
+        if array("I", [1]).tobytes() != b"\x01\0\0\0":
+            self.mode = "whole"
         self.clear()
 
     @staticmethod
@@ -66,52 +69,115 @@ class Encoder:
         return "whole"
 
     def clear(self) -> None:
-        self.plain = _Parts(self, "")
-        self.spaced = _Parts(self, " ") if self.mode == "leading" else self.plain
-        self.plain[""] = b""
+        self.words: tuple[dict[str, bytes], ...] = ({}, {}, {})
+        self.slots: dict[int, int] = {}
+        self.used = 0
+        self.pool = np.empty(1 << 20, dtype="<u4")
+        self.first = np.zeros(1 << 16, dtype=np.int64)
+        self.count = np.zeros(1 << 16, dtype=np.int64)
+
+    def _encode(self, text: str) -> bytes:
+        return _bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str, lead: int) -> bytes:
+        """Of a word of letters, which is one unit for the tokenizer's model: that is asked directly where only byte symbols and lower case are needed."""
         if self.mode == "leading":
-            self.spaced[""] = np.array(self.library.encode(" ", add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str], known: _Parts) -> None:
-        """Ids of many words of letters at once; the borders of words show in the ids."""
-        step = 400
-        for i in range(0, len(words), step * 16):
-            runs = [words[j : j + step] for j in range(i, min(len(words), i + step * 16), step)]
-            joined = [" " + " ".join(r) if self.mode == "leading" else " ".join(r) for r in runs]
-            for r, e in zip(runs, self.library.encode_batch_fast(joined, add_special_tokens=False)):
-                ids = np.array(e.ids, dtype="<u4")
-                at = np.flatnonzero(self.border[ids])
-                if len(at) != len(r):
-                    continue  # each is then encoded by itself
-                cuts = np.r_[at, len(ids)] if self.mode == "leading" else np.r_[0, at + 1]
-                if cuts[0] != 0 or cuts[-1] != len(ids):
-                    continue
-                data, cuts = ids.tobytes(), (cuts * 4).tolist()
-                known.update(zip(r, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+            text = LEADS[lead] + word
+            symbols = "Ġ" * (lead == SPACED) + word if word.isascii() else text.encode().decode("latin-1").translate(_SYMBOLS)
+        elif word.isascii():
+            symbols = word.lower()
+        else:
+            return self._encode(word)
+        return _bytes([t.id for t in self.model.tokenize(symbols)])
+
+    def _part(self, part: str, lead: int) -> bytes:
+        known = self.words[lead]
+        got = known.get(part)
+        if got is not None:
+            return got
+        if lead == LINED and part and not part[0].isspace():
+            return self._part("", LINED) + self._part(part, PLAIN)
+        m = _LETTERS.match(part)
+        end = m.end() if m else 0
+        if end == len(part) and end:
+            got = known[part] = self._word(part, lead)
+            return got
+        # letters, then something else in ASCII: no token and no normal form crosses that border
+        if end and part[end] < "\x80" and (part[:end].isascii() or self.mode == "leading" or normalize("NFC", part[:end]).lower().isalpha()):
+            head = part[:end]
+            got = known.get(head)
+            if got is None:
+                got = known[head] = self._word(head, lead)
+            return got + self._part(part[end:], PLAIN)
+        got = self._encode(LEADS[lead] + part)
+        if len(part) < 8:
+            known[part] = got
+        return got
+
+    def _add(self, keys: list[int], parts: list[str], leads: list[int]) -> None:
+        """Keep the ids of new parts."""
+        got = [self._part(p, k) for p, k in zip(parts, leads)]
+        ids = np.frombuffer(b"".join(got), dtype="<u4")
+        n, k = len(self.slots), len(keys)
+        while n + k > len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        size = np.array([len(g) // 4 for g in got], dtype=np.int64)
+        self.count[n : n + k] = size
+        self.first[n : n + k] = self.used + np.cumsum(size) - size
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.slots.update(zip(keys, range(n, n + k)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, as little-endian bytes of 32 bits each; null is empty."""
         if self.mode == "whole":
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.plain) + len(self.spaced) > KEEP_WORDS:
+            return [self._encode(t or "") for t in texts]
+        if len(self.slots) > KEEP_PARTS:
             self.clear()
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if self.mode == "dropped":
-                cut.append((t or "").replace("\n", " ").split(" "))
-            else:
-                cut.append(None if t and "  " in t else (t or "").split(" "))
-        new = {p for parts in cut if parts for p in parts}.difference(self.spaced)
-        heads = {m.group() for p in new if (m := _LETTERS.match(p))}.difference(self.spaced)
-        self._learn(list(heads), self.spaced)
-        out = []
-        for t, parts in zip(texts, cut):
-            if parts is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            elif self.mode == "leading":
-                out.append(self.plain[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:])))
-            else:
-                out.append(b"".join(map(self.plain.__getitem__, parts)))
+        if sum(map(len, self.words)) > KEEP_WORDS:
+            self.words = ({}, {}, {})
+        raw = [(t or "").encode() for t in texts]
+        size = np.array([len(r) for r in raw], dtype=np.int64)
+        data = np.frombuffer(b" ".join(raw), dtype=np.uint8)
+        # a text ends where the next begins, and at each separator
+        begin = np.cumsum(size + 1) - size - 1
+        gaps = np.flatnonzero((data == 32) | (data == 10))
+        starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(data)]
+        first = np.searchsorted(starts, begin)
+        h = hash_words(data, starts, ends)
+        lead = np.zeros(len(starts), dtype=np.int64)
+        whole: list[int] = []
+        if self.mode == "leading":
+            lead[1:] = np.where(data[gaps] == 32, SPACED, LINED)
+            inner = np.ones(len(starts), dtype=bool)
+            inner[first] = False
+            lead[~inner] = PLAIN
+            h ^= _SALT[lead]
+            # an empty part between two separators of one text
+            last = np.zeros(len(starts), dtype=bool)
+            last[np.r_[first[1:], len(starts)] - 1] = True
+            twice = np.flatnonzero((starts == ends) & ~last)
+            whole = np.unique(np.searchsorted(first, twice, side="right") - 1).tolist()
+        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        known = keys.tolist()
+        slot = np.array([self.slots.get(k, -1) for k in known], dtype=np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            blob = data.tobytes()
+            lo, hi = starts[at[new]].tolist(), ends[at[new]].tolist()
+            n = len(self.slots)
+            self._add(keys[new].tolist(), [blob[a:b].decode() for a, b in zip(lo, hi)], lead[at[new]].tolist())
+            slot[new] = np.arange(n, n + len(new))
+        slot = slot[inverse]
+        count = self.count[slot]
+        upto = np.r_[0, np.cumsum(count)]
+        ids = self.pool[np.repeat(self.first[slot] - upto[:-1], count) + np.arange(upto[-1])]
+        cuts = upto[np.r_[first, len(starts)]].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        for i in whole:
+            out[i] = self._encode(texts[i] or "")
         return out
 
 
