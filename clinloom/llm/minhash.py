@@ -1,9 +1,9 @@
 """Near-duplicate documents by b-bit MinHash with exact confirmation.
 
 1. Every whole text becomes its set of distinct five-word shingles (64-bit hashes) and a
-   signature of 96 minima. Of each minimum the low 4 bits are kept, packed into six longs.
+   signature of 128 minima. Of each minimum the low 4 bits are kept, packed into eight longs.
 2. Texts of equal sets collapse to one class; classes go on, copies do not.
-3. 24 bands of 4 minima each give buckets. At similarity 0.85 a pair misses all bands with
+3. 32 bands of 4 minima each give buckets. At similarity 0.80 a pair misses all bands with
    a chance below 1e-7. Each member meets the bucket's smallest member, so a bucket of n
    gives n - 1 pairs.
 4. The packed bits estimate a pair's similarity, corrected for chance collisions; pairs more
@@ -34,10 +34,10 @@ from clinloom.llm.common import SPACE_WORD, gram_hashes, in_bounded_batches, mat
 from clinloom.llm.components import connected_components
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 4
 PERMS = BANDS * ROWS
 BITS = 4
-#: Six standard deviations of the estimate below the threshold of 0.85.
+#: Six standard deviations of the estimate of a similarity of 0.80, and of 0.85.
 SLACK = 0.23
 #: Rounds in which each bucket's members meet one of them.
 STARS = 4
@@ -161,7 +161,7 @@ def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
 
 
 def _refine(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Buckets of those members of a bucket that share a second band too: a row becomes at most 23, however large the bucket."""
+    """Buckets of those members of a bucket that share a second band too: a row becomes at most 31, however large the bucket."""
     rows = rest.join(classes.select("r", F.explode("bands").alias("k2")), "r").where(F.col("k2") != F.col("key"))
     rows = rows.select(F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key"), "r", "c").distinct()
     return _mixed(rows)
@@ -289,18 +289,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, bloc
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each group the one of the smallest doc_id, all rows of other documents."""
     gone = near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup(docs)
+    return dedup(docs, percent=80)
 
 
 QUERIES = {"op4_minhash": op4_minhash}

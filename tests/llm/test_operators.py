@@ -223,6 +223,20 @@ def test_minhash_defined_cases(spark):
     assert minhash.near_duplicates(df.select("doc_id", "text").limit(0)).count() == 0
 
 
+def test_near_duplicate_stage_takes_a_similarity_of_four_fifths(spark):
+    w = [f"w{i}" for i in range(94)]  # 90 shingles; each changed word far from others costs five
+    a, b, c = list(w), list(w), list(w)
+    b[10], b[30] = "x", "y"  # 80 of 100: J = 0.80
+    c[10], c[30], c[50] = "p", "q", "r"  # 75 of 105 with a: J = 0.71
+    docs = frame(spark, [" ".join(x) for x in (a, b, c)])
+    assert sorted(r.doc_id for r in minhash.near_duplicate_stage(spark, docs, "").collect()) == [0, 2]
+    assert minhash.dedup(docs, 85).count() == 3
+    j = 0.8
+    assert (1 - j**minhash.ROWS) ** minhash.BANDS < 1e-7
+    q = j + (1 - j) / 16
+    assert 6 * (q * (1 - q) / minhash.PERMS) ** 0.5 / (15 / 16) <= minhash.SLACK
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(4)
     for share in (0.3, 0.6, 0.9):
