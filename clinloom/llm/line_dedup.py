@@ -175,8 +175,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents of which nothing but lines too short to judge is left."""
-    return line_dedup(docs).where(~F.col("emptied")).select(*docs.columns)
+    """Repeated lines go; so do documents of which no line that is not blank is left."""
+    out = line_dedup(docs)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}

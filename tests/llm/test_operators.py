@@ -173,6 +173,13 @@ def test_line_dedup_defined_cases(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_stage_keeps_what_is_left(spark):
+    line = "one two three four five six"
+    texts = [line, line, line + "\nown text", line + "\n \n", None, "", " \n", "漢字の行\n" + line]
+    got = {r.doc_id: r.text for r in line_dedup.line_stage(spark, frame(spark, texts), "").collect()}
+    assert got == {0: line, 2: "own text", 4: None, 5: "", 6: " \n", 7: "漢字の行"}
+
+
 # --- 4
 
 
