@@ -14,7 +14,9 @@ DataFrame functions are used.
 4. The distance to that earliest line is verified on the words themselves.
 
 Lines are trimmed of spaces and cut into words at single spaces. Lines of fewer than five
-words are too short to tell a copy from chance: they stay and remove nothing.
+words are too short to tell a near copy from chance. With short=True, as in the pipeline, they
+go where they equal an earlier line, blank ones apart; without, as in the query and its SQL,
+they stay and remove nothing.
 
 Defined cases: null text stays null, empty text empty; very long lines are taken whole;
 rows that repeat in doc_id and text are one document and come back each; a null doc_id
@@ -41,11 +43,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"ord": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "dkey": F.xxhash64("text")})
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(ord, dkey, pos, line, n, h1, h2) of all lines that are long enough."""
+def _judged(line: Column, short: bool) -> Column:
+    enough = _words_in(line) >= MIN_WORDS
+    return enough | line.rlike(r"\S") if short else enough
+
+
+def _lines(docs: DataFrame, short: bool) -> DataFrame:
+    """(ord, dkey, pos, line, n, h1, h2) of all lines that are judged: long enough or, if short, not blank."""
     rows = _keyed(docs.select("doc_id", "text")).select("ord", "dkey", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line"))
-    rows = rows.withColumn("n", _words_in(F.col("line"))).where(F.col("n") >= MIN_WORDS)
+    rows = rows.withColumn("n", _words_in(F.col("line"))).where(_judged(F.col("line"), short))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
@@ -63,9 +70,9 @@ def _half_keys(n: Column, as_long: int) -> list[Column]:
     return [F.when(m >= MIN_WORDS, k) for k in keys]
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """One row for each different line: its earliest place f, how often it occurs, its half keys."""
-    rows = _lines(docs)
+def _classes(docs: DataFrame, short: bool) -> DataFrame:
+    """One row for each different line: its earliest place f, how often it occurs, its half keys (null for short lines)."""
+    rows = _lines(docs, short)
     keys = [k.alias(f"k{i}") for i, k in enumerate(_half_keys(F.col("n"), 0) + _half_keys(F.col("n"), 1))]
     rows = rows.select("h1", "h2", F.struct("ord", "dkey", "pos").alias("f"), "n", *keys)
     return rows.groupBy("h1", "h2").agg(F.min("f").alias("f"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")])
@@ -144,17 +151,20 @@ def _near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(_within_one(F.col("a"), F.col("b"))).select("f").distinct()
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) without repeated lines; adds n_lines, n_removed and emptied (every line long enough to judge is gone)."""
+def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) without repeated lines; adds n_lines, n_removed and emptied (every line that is judged is gone).
+
+    short: exact repeats of lines below MIN_WORDS go too.
+    """
     docs = docs.drop("n_lines", "n_removed", "emptied")
-    classes = materialize(_classes(docs))
+    classes = materialize(_classes(docs, short))
     near = _near_lines(docs, classes)
     # lines that occur once and are near no other need no further look
     again = classes.where(F.col("times") > 1).select("h1", "h2", "f", F.lit(False).alias("near"))
     near = classes.select("h1", "h2", "f").join(near, "f", "left_semi").select("h1", "h2", "f", F.lit(True).alias("near"))
     rule = materialize(again.unionAll(near).groupBy("h1", "h2").agg(F.first("f").alias("f"), F.bool_or("near").alias("near")))
     place = F.struct("ord", "dkey", "pos")
-    gone = _lines(docs).select("ord", "dkey", "pos", "h1", "h2").join(rule, ["h1", "h2"]).where(F.col("near") | (place != F.col("f")))
+    gone = _lines(docs, short).select("ord", "dkey", "pos", "h1", "h2").join(rule, ["h1", "h2"]).where(F.col("near") | (place != F.col("f")))
     gone = materialize(gone.groupBy("ord", "dkey").agg(F.collect_set("pos").alias("gone")))
 
     lines = F.split("text", "\n")
@@ -163,7 +173,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     n = F.when(F.col("text").isNull(), 0).otherwise(n)
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n"))
-    judged = F.size(F.filter("_lines", lambda x: _words_in(F.trim(x)) >= MIN_WORDS))
+    judged = F.size(F.filter("_lines", lambda x: _judged(F.trim(x), short)))
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     added = {"n_lines": n.cast("long"), "n_removed": removed.cast("long"), "emptied": F.col("gone").isNotNull() & (judged == F.size("gone"))}
     names = [c for c in docs.columns if c != "text"]
@@ -175,8 +185,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents of which no line that is not blank is left."""
-    out = line_dedup(docs)
+    """Repeated lines of any length go; so do documents of which no line that is not blank is left."""
+    out = line_dedup(docs, short=True)
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 

@@ -180,6 +180,14 @@ def test_line_stage_keeps_what_is_left(spark):
     assert got == {0: line, 2: "own text", 4: None, 5: "", 6: " \n", 7: "漢字の行"}
 
 
+def test_short_lines_go_where_they_repeat(spark):
+    texts = ["All rights reserved.\n\nfirst\none two three four five", " All rights reserved. \n\nsecond", "漢字の行\nAll rights reserved", "漢字の行\n\n漢字の行\nthird", "All rights reserved.\n "]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, texts), short=True).collect()}
+    assert [got[i].text for i in range(5)] == [texts[0], "\nsecond", texts[2], "\nthird", " "]
+    assert [got[i].n_removed for i in range(5)] == [0, 1, 0, 2, 1] and [got[i].emptied for i in range(5)] == [False] * 4 + [True]
+    assert {r.doc_id: r.text for r in line_dedup.line_stage(spark, frame(spark, texts), "").collect()} == {0: texts[0], 1: "\nsecond", 2: texts[2], 3: "\nthird"}
+
+
 # --- 4
 
 
