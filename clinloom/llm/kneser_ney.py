@@ -1,13 +1,13 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols: each byte of a text falls into one of 64 classes (letters apart, capitals
-together, digits together, every mark apart, the two parts of non-ASCII characters). The
-model has order 4, so there are at most 2^24 n-grams whatever the corpus: counts are exact
-over all trusted text, and a table of all probabilities has a proven bound of 64 MB.
+Symbols are the bytes of a text as they are, the order is 6; an n-gram is its bytes in a
+long. Count tables grow with the trusted text and are dealt by n-gram.
 
 Training: n-gram counts are summed over shards; continuation counts, context totals and
 discounts follow from them, and joins of these count tables give each seen n-gram's
-probability. Scoring: a document's perplexity is over all its bytes. A fifth of the trusted
+probability. Scoring: documents are dealt into buckets of some 16 MB; each bucket asks once
+for its distinct n-grams, which are joined with the tables order by order, and the answers
+go back to the bucket. A document's perplexity is over all its bytes. A fifth of the trusted
 documents, by a hash of doc_id, is kept out of training and sets the thresholds: a language's
 is a quantile of the perplexities of its own such documents, taken exactly on a scale of a
 thousandth of a bit; a language without any takes the quantile over all languages.
@@ -20,6 +20,8 @@ there is no threshold and everything with a text is kept; other columns are not
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +29,11 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.common import in_bounded_batches, materialize, table
 
+#: The model of quality(): bytes as they are.
+DEEP, BYTE = 6, 8
+#: Characters of a bucket of documents, about.
+BUCKET = 16 << 20
+#: A model of 64 classes of bytes, small enough for dense().
 ORDER = 4
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -52,23 +59,25 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
-def grams(text: str, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each byte of a text."""
-    s = np.full(len(text.encode("utf-8", "surrogatepass")) + order - 1, START, dtype=np.int32)
-    s[order - 1 :] = CLASSES[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+def grams(text: str, order: int = ORDER, bits: int = BITS) -> np.ndarray:
+    """The n-gram that ends at each byte of a text: of bytes if bits is 8, of their classes if 6."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    kind = np.int64 if order * bits > 31 else np.int32
+    s = np.full(len(data) + order - 1, 10 if bits == BYTE else START, dtype=kind)
+    s[order - 1 :] = data if bits == BYTE else CLASSES[data]
     n = len(s) - order + 1
-    g = np.zeros(n, dtype=np.int32)
+    g = np.zeros(n, dtype=kind)
     for k in range(order):
-        g = (g << BITS) | s[k : k + n]
+        g = (g << bits) | s[k : k + n]
     return g
 
 
-def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+def count_grams(texts: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
     """(g, c) over all texts (text)."""
 
     def run(batches):
         for b in in_bounded_batches(batches, chars=4 << 20):
-            all_ = [grams(t.as_py(), order) for t in b.column(0) if t.is_valid]
+            all_ = [grams(t.as_py(), order, bits) for t in b.column(0) if t.is_valid]
             if all_:
                 g, c = np.unique(np.concatenate(all_), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["g", "c"])
@@ -86,25 +95,25 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return bound(1 - 2 * y * n2 / n1, 1), bound(2 - 3 * y * n3 / n2, 2), bound(3 - 4 * y * n4 / n3, 3) if n3 else 1.5
 
 
-def train(texts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
+def train(texts: DataFrame, order: int = ORDER, bits: int = BITS) -> tuple[list[DataFrame], list[DataFrame]]:
     """By order from 1 up: (g, p) of seen n-grams and (h, gamma) of seen contexts."""
-    counts = [materialize(count_grams(texts, order))]
+    counts = [materialize(count_grams(texts, order, bits))]
     for k in range(order - 1, 0, -1):  # how many symbols precede an n-gram
-        suffix = F.col("g").bitwiseAND((1 << (BITS * k)) - 1)
+        suffix = F.col("g").bitwiseAND((1 << (bits * k)) - 1)
         counts.insert(0, materialize(counts[0].groupBy(suffix.alias("g")).agg(F.count("*").alias("c"))))
     probs: list[DataFrame] = []
     gammas: list[DataFrame] = []
     for k, c in enumerate(counts, 1):
         d1, d2, d3 = _discounts(c)
-        c = c.withColumn("h", F.shiftright("g", BITS))
+        c = c.withColumn("h", F.shiftright("g", bits))
         h = c.groupBy("h").agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count_if(F.col("c") > 2).alias("n3"))
         h = h.select("h", "total", ((d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("total")).alias("gamma"))
         less = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         rows = c.join(h, "h").withColumn("own", (F.col("c") - less) / F.col("total"))
         if k == 1:
-            p = rows.select("g", (F.col("own") + F.col("gamma") / SYMBOLS).alias("p"))
+            p = rows.select("g", (F.col("own") + F.col("gamma") / (1 << bits)).alias("p"))
         else:
-            rows = rows.withColumn("s", F.col("g").bitwiseAND((1 << (BITS * (k - 1))) - 1))
+            rows = rows.withColumn("s", F.col("g").bitwiseAND((1 << (bits * (k - 1))) - 1))
             p = rows.join(probs[-1].select(F.col("g").alias("s"), F.col("p").alias("ps")), "s").select("g", (F.col("own") + F.col("gamma") * F.col("ps")).alias("p"))
         probs.append(materialize(p))
         gammas.append(materialize(h.select("h", "gamma")))
@@ -124,20 +133,71 @@ def dense(probs: list[DataFrame], gammas: list[DataFrame]) -> np.ndarray:
     return -np.log2(np.maximum(p, 1e-12))
 
 
-def score(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc_id, lang, trusted, n_bytes, bits): bits a byte, null without text. docs: (doc_id, lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits.astype(np.float32))
-
-    def run(batches):
-        for b in in_bounded_batches(batches):
-            n, mean = [], []
-            for t in b.column(2):
-                g = grams(t.as_py()) if t.is_valid else ()
-                n.append(len(g))
-                mean.append(float(shared.value[g].sum(dtype=np.float64)) / len(g) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(mean, pa.float64())], names=["doc_id", "lang", "n_bytes", "bits"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, lang string, n_bytes long, bits double")
+def look_up(asked: DataFrame, probs: list[DataFrame], gammas: list[DataFrame], bits: int = BYTE) -> DataFrame:
+    """(g, p) of the distinct n-grams asked (g), seen or not, by joins with the tables from order 1 up."""
+    levels = [asked]
+    for k in range(len(probs) - 1, 0, -1):
+        levels.insert(0, materialize(levels[0].select(F.col("g").bitwiseAND((1 << (bits * k)) - 1).alias("g")).distinct()))
+    known = None
+    for k, (need, seen, back) in enumerate(zip(levels, probs, gammas), 1):
+        rows = need.withColumn("h", F.shiftright("g", bits)).join(seen, "g", "left").join(back, "h", "left")
+        if known is None:
+            less = F.lit(1.0 / (1 << bits))
+        else:
+            rows = rows.withColumn("s", F.col("g").bitwiseAND((1 << (bits * (k - 1))) - 1)).join(known.select(F.col("g").alias("s"), F.col("p").alias("ps")), "s")
+            less = F.col("ps")
+        known = materialize(rows.select("g", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * less).alias("p")))
+    return known
+
+
+def _asked(t: pa.Table) -> pa.Table:
+    """The distinct n-grams of a bucket."""
+    got = np.empty(0, dtype=np.int64)
+    for b in in_bounded_batches(t.to_batches(), chars=4 << 20):
+        texts = [grams(x.as_py(), DEEP, BYTE) for x in b.column("text") if x.is_valid]
+        if texts:
+            got = np.union1d(got, np.concatenate(texts))
+    return pa.table({"bucket": pa.array(np.full(len(got), t["bucket"][0].as_py(), dtype=np.int64)), "g": pa.array(got)})
+
+
+def _answered(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """A bucket's documents with their bits a byte."""
+    g, bits = answers["g"].to_numpy(), answers["bits"].to_numpy()
+    at = np.argsort(g)
+    g, bits = g[at], bits[at]
+    n, mean = [], []
+    batches = list(in_bounded_batches(docs.to_batches(), chars=4 << 20))
+    for b in batches:
+        texts = [grams(x.as_py() or "", DEEP, BYTE) for x in b.column("text")]
+        flat = np.concatenate(texts)
+        at = np.argsort(flat)  # in order, neighbours are found near one another
+        value = np.empty(len(flat))
+        value[at] = bits[np.searchsorted(g, flat[at])]
+        end = 0
+        for x in texts:
+            start, end = end, end + len(x)
+            n.append(len(x))
+            mean.append(float(value[start:end].sum()) / len(x) if len(x) else None)
+    kept = pa.Table.from_batches(batches, docs.schema)
+    return pa.table({"doc_id": kept["doc_id"], "lang": kept["lang"], "n_bytes": pa.array(n, pa.int64()), "bits": pa.array(mean, pa.float64())})
+
+
+def score(docs: DataFrame, probs: list[DataFrame], gammas: list[DataFrame]) -> DataFrame:
+    """(doc_id, lang, n_bytes, bits): bits a byte, null without text. docs: (doc_id, lang, text); the tables are of train(texts, DEEP, BYTE)."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chars // BUCKET + 1)))
+    asked = materialize(rows.groupBy("bucket").applyInArrow(_asked, "bucket long, g long"))
+    known = look_up(materialize(asked.select("g").distinct()), probs, gammas)
+    answers = asked.join(known, "g").select("bucket", "g", (-F.log2(F.greatest("p", F.lit(1e-12)))).alias("bits"))
+    _release(docs.sparkSession)
+    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_answered, "doc_id long, lang string, n_bytes long, bits double")
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what was materialized: they hold the texts."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -156,8 +216,9 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     # trusted ids grow with the corpus, so both sides are always dealt by doc_id and the plan is alike at every size
     out_of_five = F.pmod(F.xxhash64("doc_id"), F.lit(5))
     learn, judge = ids.where(out_of_five > 0), ids.where(out_of_five == 0)
-    probs, gammas = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(learn.hint("merge"), "doc_id", "left_semi"))
-    scored = materialize(score(docs, dense(probs, gammas)))
+    probs, gammas = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(learn.hint("merge"), "doc_id", "left_semi"), DEEP, BYTE)
+    _release(docs.sparkSession)
+    scored = materialize(score(docs, probs, gammas))
     scored = scored.join(judge.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     cut = thresholds(scored, quantile)
     own = cut.where(F.coalesce("lang", F.lit("")) != "*").select(F.col("lang").alias("l"), "level")

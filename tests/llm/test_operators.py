@@ -486,6 +486,43 @@ def test_kneser_ney_against_the_definition(spark):
     assert (2.0**-block).sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_bytes_are_told_apart_and_follow_the_definition(spark):
+    learn = ["ABBA 12 ABBA", "ABBA ab 12", "λόγος λόγος", "漢字"]
+    texts = ["ABBA 12", "CDDC 12", "λόγος", "бгдет", None, "", "ab " * 20]
+    probs, gammas = kneser_ney.train(spark.createDataFrame([(t,) for t in learn], "text string"), kneser_ney.DEEP, kneser_ney.BYTE)
+    got = {r.doc_id: r for r in kneser_ney.score(frame(spark, texts).withColumn("lang", F.lit("x")), probs, gammas).collect()}
+    assert len(got) == len(texts) and got[4].bits is None and got[5].bits is None
+    assert got[0].bits < got[1].bits and got[2].bits < got[3].bits
+
+    counts = [defaultdict(int) for _ in range(7)]
+    for t in learn:
+        b = b"\n" * 5 + t.encode()
+        for i in range(len(b) - 5):
+            counts[6][b[i : i + 6]] += 1
+    for k in range(5, 0, -1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] += 1
+    disc = {}
+    for k in range(1, 7):
+        n = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
+        disc[k] = (0.5, 0.5, 0.5) if y is None else (max(0, min(1 - 2 * y * n[1] / n[0], 1)), max(0, min(2 - 3 * y * n[2] / n[1], 2)), max(0, min(3 - 4 * y * n[3] / n[2], 3)) if n[2] else 1.5)
+
+    def prob(g):
+        if not g:
+            return 1 / 256
+        k, less = len(g), prob(g[1:])
+        mine = [c for x, c in counts[k].items() if x[:-1] == g[:-1]]
+        d = lambda c: disc[k][min(c, 3) - 1]
+        c = counts[k].get(g, 0)
+        return ((c - d(c) if c else 0) + sum(map(d, mine)) * less) / sum(mine) if mine else less
+
+    for i in (0, 1, 2, 3, 6):
+        b = b"\n" * 5 + texts[i].encode()
+        want = [-np.log2(max(prob(b[j : j + 6]), 1e-12)) for j in range(len(b) - 5)]
+        assert got[i].bits == pytest.approx(np.mean(want), rel=1e-6) and got[i].n_bytes == len(want)
+
+
 def test_quality(spark):
     rng = random.Random(29)
     good = [prose(rng, 60) for _ in range(60)]
