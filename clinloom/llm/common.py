@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,13 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors and the driver share.
 
-    The cluster names that folder in spark.checkpoint.dir; only where it is
-    unset, as in local tests, a temporary folder of this machine is set.
+    The cluster names that folder in spark.checkpoint.dir. Only where it is unset and
+    Spark runs within this machine, as in local tests, a temporary folder is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.clinloom.local.checkpoint.dir", None)
         if not root:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
             root = "file://" + tempfile.mkdtemp(prefix="clinloom-")
             spark.conf.set("spark.clinloom.local.checkpoint.dir", root)
     return f"{root.rstrip('/')}/clinloom-{uuid.uuid4().hex}"
@@ -46,6 +50,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

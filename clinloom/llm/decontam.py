@@ -11,8 +11,8 @@ item's windows are all its runs of 13 words, or its whole text if shorter. A doc
 contaminated if the words inside occurrences of windows are a twentieth of it or more.
 
 Defined cases: null text has no words and is clean; an item without words has no windows;
-very long documents fill a shard; repeated rows are judged each; a null doc_id is carried
-along; a null item_id's windows hit words but are named in no item list; an empty
+very long documents fill a shard; repeated rows are judged each, also under one doc_id; a
+null doc_id is carried along, and its row goes if it is contaminated; a null item_id's windows hit words but are named in no item list; an empty
 benchmark leaves all clean; other columns of documents pass through decontaminate().
 """
 
@@ -35,33 +35,35 @@ SHARD_WORDS = 1 << 20
 #: Characters of benchmark text in one broadcast block of windows, about; more text takes more blocks.
 BLOCK_CHARS = 4 << 20
 
-_INDEX = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("terms", pa.binary()), ("offsets", pa.binary()), ("postings", pa.binary())])
-_INDEX_DDL = "part int, seq int, docs array<long>, sizes binary, terms binary, offsets binary, postings binary"
+_INDEX = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.binary()), ("terms", pa.binary()), ("offsets", pa.binary()), ("postings", pa.binary())])
+_INDEX_DDL = "part int, seq int, docs array<long>, keys array<long>, sizes binary, terms binary, offsets binary, postings binary"
 
 
 def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row a shard. docs: (doc_id, text)."""
+    """One row a shard. docs: (doc_id, text). keys are hashes of the texts, which tell rows of one doc_id apart."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
+        keys: list = []
         words: list[np.ndarray] = []
 
         def close():
-            nonlocal seq, ids, words
+            nonlocal seq, ids, keys, words
             w = np.concatenate(words) if words else np.empty(0, np.uint64)
             order = np.argsort(w, kind="stable").astype("<u4")
             s = w[order]
             first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
-            row = {"part": [part], "seq": [seq], "docs": [ids], "sizes": [np.array([len(x) for x in words], dtype="<i8").tobytes()], "terms": [s[first].astype("<u8").tobytes()], "offsets": [np.r_[first, len(s)].astype("<u4").tobytes()], "postings": [order.tobytes()]}
-            seq, ids, words = seq + 1, [], []
+            row = {"part": [part], "seq": [seq], "docs": [ids], "keys": [keys], "sizes": [np.array([len(x) for x in words], dtype="<i8").tobytes()], "terms": [s[first].astype("<u8").tobytes()], "offsets": [np.r_[first, len(s)].astype("<u4").tobytes()], "postings": [order.tobytes()]}
+            seq, ids, keys, words = seq + 1, [], [], []
             return pa.RecordBatch.from_pydict(row, schema=_INDEX)
 
         have = 0
         for b in in_bounded_batches(batches):
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, t, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 w = text_words(t.as_py(), ALNUM_WORD)
                 ids.append(i)
+                keys.append(k)
                 words.append(w)
                 have += len(w)
                 if have >= shard_words:
@@ -70,7 +72,7 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         if ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _INDEX_DDL)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, _INDEX_DDL)
 
 
 class Shard:
@@ -147,12 +149,12 @@ def _blocks(benchmark: DataFrame, window: int, block_chars: int) -> list:
     return out
 
 
-_HITS = "part int, seq int, nth int, doc_id long, n_words long, spans array<array<long>>, items array<string>"
+_HITS = "part int, seq int, nth int, doc_id long, text_key long, n_words long, spans array<array<long>>, items array<string>"
 
 
 def _matches(index: DataFrame, block, every: bool) -> DataFrame:
     """By document the merged spans that are hit and the items that hit; with every, also documents without any."""
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("nth", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("nth", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
     def run(batches):
         for b in batches:
@@ -179,7 +181,7 @@ def _matches(index: DataFrame, block, every: bool) -> DataFrame:
                         lo, hi = begin[d], s.ends[d]
                         for i in range(int(np.searchsorted(down, lo, side="right")), int(np.searchsorted(up, hi, side="left"))):
                             spans.append([int(max(up[i], lo) - lo), int(min(down[i], hi) - lo)])
-                    out.append({"part": row["part"], "seq": row["seq"], "nth": d, "doc_id": s.docs[d], "n_words": int(s.sizes[d]), "spans": spans, "items": sorted(items.get(d, ()))})
+                    out.append({"part": row["part"], "seq": row["seq"], "nth": d, "doc_id": s.docs[d], "text_key": row["keys"][d], "n_words": int(s.sizes[d]), "spans": spans, "items": sorted(items.get(d, ()))})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -187,12 +189,12 @@ def _matches(index: DataFrame, block, every: bool) -> DataFrame:
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """For every indexed document: doc_id, n_words, spans [[first, end)] of hit words, item_ids (sorted)."""
+    """For every indexed document: doc_id, text_key, n_words, spans [[first, end)] of hit words, item_ids (sorted)."""
     blocks = _blocks(benchmark, window, block_chars)
     found = reduce(DataFrame.unionAll, [_matches(index, b, k == 0) for k, b in enumerate(blocks)])
     if len(blocks) == 1:
-        return found.select("doc_id", "n_words", "spans", F.col("items").alias("item_ids"))
-    merged = found.groupBy("part", "seq", "nth").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
+        return found.select("doc_id", "text_key", "n_words", "spans", F.col("items").alias("item_ids"))
+    merged = found.groupBy("part", "seq", "nth").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
     # overlapping spans of several blocks become one
     def join(acc, x):
         open_ = (F.size(acc) > 0) & (F.element_at(F.try_element_at(acc, F.lit(-1)), 2) >= x[0])
@@ -200,17 +202,18 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_c
         both = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(last[0], F.greatest(last[1], x[1]))))
         return F.when(open_, both).otherwise(F.concat(acc, F.array(x)))
 
-    return merged.select("doc_id", "n_words", F.aggregate("spans", F.array().cast("array<array<bigint>>"), join).alias("spans"), "item_ids")
+    return merged.select("doc_id", "text_key", "n_words", F.aggregate("spans", F.array().cast("array<array<bigint>>"), join).alias("spans"), "item_ids")
 
 
-def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
+def judge(found: DataFrame, share: int = SHARE, *more: str) -> DataFrame:
+    """The verdicts on what search() found; more: further columns of it to return."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
-    out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"))
+    out = found.select("doc_id", *more, "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The verdict on every document; the index is stored in the shared folder first."""
+    """The verdict on every row of docs; the index is stored in the shared folder first."""
     return judge(search(materialize(build_index(docs)), benchmark))
 
 
@@ -219,12 +222,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that are not contaminated. A verdict follows its row: rows of one doc_id, or of none, are told apart by their texts."""
+    found = search(materialize(build_index(docs.select("doc_id", "text"))), benchmark)
+    bad = judge(found, SHARE, "text_key").where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_key"])
+    return docs.join(bad, same, "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are not contaminated. Null and empty texts stay; each row follows its own verdict; an empty benchmark keeps all; columns are those of docs."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

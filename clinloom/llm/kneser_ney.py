@@ -201,13 +201,13 @@ def _release(spark: SparkSession) -> None:
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, level): by language the least level at or under which that share of its documents marked trusted lies; lang '*' for all."""
+    """(whole, lang, level): by language the least level at or under which that share of its documents marked trusted lies; whole: over all languages."""
     level = F.ceil(F.col("bits") * SCALE).cast("long")
-    counts = scored.where(F.col("trusted") & F.col("bits").isNotNull()).groupBy("lang", level.alias("level")).agg(F.count("*").alias("n"))
-    counts = counts.unionAll(counts.groupBy(F.lit("*").alias("lang"), "level").agg(F.sum("n").alias("n")))
-    w = Window.partitionBy("lang")  # levels of a language, not its documents: at most some 40,000
-    run = counts.select("lang", "level", F.sum("n").over(w.orderBy("level")).alias("upto"), F.sum("n").over(w).alias("all"))
-    return run.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg(F.min("level").alias("level"))
+    counts = scored.where(F.col("trusted") & F.col("bits").isNotNull()).groupBy(F.lit(False).alias("whole"), "lang", level.alias("level")).agg(F.count("*").alias("n"))
+    counts = counts.unionAll(counts.groupBy(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang"), "level").agg(F.sum("n").alias("n")))
+    w = Window.partitionBy("whole", "lang")  # levels of a language, not its documents: at most some 40,000
+    run = counts.select("whole", "lang", "level", F.sum("n").over(w.orderBy("level")).alias("upto"), F.sum("n").over(w).alias("all"))
+    return run.where(F.col("upto") >= F.col("all") * quantile).groupBy("whole", "lang").agg(F.min("level").alias("level"))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -221,8 +221,8 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     scored = materialize(score(docs, probs, gammas))
     scored = scored.join(judge.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     cut = thresholds(scored, quantile)
-    own = cut.where(F.coalesce("lang", F.lit("")) != "*").select(F.col("lang").alias("l"), "level")
-    everyone = cut.where(F.col("lang") == "*").agg(F.max("level").alias("common"))
+    own = cut.where(~F.col("whole")).select(F.col("lang").alias("l"), "level")
+    everyone = cut.where("whole").agg(F.max("level").alias("common"))
     # languages, and one row: both small
     out = scored.join(own, F.col("lang").eqNullSafe(F.col("l")), "left").join(everyone, F.lit(True), "left")
     top = F.pow(F.lit(2.0), F.coalesce("level", "common") / SCALE)

@@ -3,8 +3,9 @@
 Filters of several widths slide over one-hot bytes of a fixed-length window; each
 filter's largest response in the window, rectified, feeds a softmax over languages.
 The network is trained in numpy on labelled text and applied to all windows of a
-whole text, in batches; a text's language has the highest mean probability over its
-windows (weighted by their letters' bytes), and that mean is the score.
+whole text; the windows of many texts go through the network together, in batches of a
+fixed size. A text's language has the highest mean probability over its windows (weighted
+by their letters' bytes), and that mean is the score.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; very long
 texts are taken window by window; ties go to the language that sorts first; repeated
@@ -22,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinloom.llm.common import in_bounded_batches, table
+from clinloom.llm.common import in_bounded_batches, quoted, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: The training sample: at most this many windows of each language, of at most this many languages.
+#: The training sample: at most this many windows of each language, and about as many of all languages together. Every labelled language is learned.
 WINDOWS_PER_LANG = 3000
-MAX_LANGS = 200
+WINDOWS_IN_ALL = 600_000
+#: Windows in a batch, whatever texts they come from.
+BATCH = 4096
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -120,13 +123,14 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", row_hash: str =
     nothing else, which rows and windows are taken; it is no input of the network.
     """
     known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGS).collect()}
+    counts = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return None
     langs = sorted(counts)
-    share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, 1.3 * per_lang / (4 * counts[k]) + 20 / counts[k]))])
+    per_lang = max(1, min(per_lang, WINDOWS_IN_ALL // len(langs)))
+    shares = df.sparkSession.createDataFrame([(k, min(1.0, 1.3 * per_lang / (4 * counts[k]) + 20 / counts[k])) for k in langs], "_l string, _share double")
     draw = F.pmod(F.xxhash64(row_hash, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.where(draw < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(row_hash, F.lit(seed + 1)).alias("h"))
+    picked = known.join(shares, F.col(lang) == F.col("_l")).where(draw < F.col("_share")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(row_hash, F.lit(seed + 1)).alias("h"))
 
     def cut(batches):
         for b in in_bounded_batches(batches):
@@ -149,21 +153,49 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", row_hash: str =
     return ByteCnn(langs, seed).fit(x, y, seed=seed)
 
 
-def predict_text(model: ByteCnn | None, text: str | None, batch: int = 4096) -> tuple[str, float]:
-    if model is None or not text or not LETTER.search(text):
-        return "und", 0.0
-    w = windows(text)
-    total, weight = np.zeros(len(model.langs)), 0.0
-    for i in range(0, len(w), batch):
-        part = np.ascontiguousarray(w[i : i + batch])
+def predict_texts(model: ByteCnn | None, texts: list[str | None], batch: int = BATCH) -> list[tuple[str, float]]:
+    """Language and score of each whole text; windows of all texts share the batches."""
+    n = len(texts)
+    if model is None:
+        return [("und", 0.0)] * n
+    total, weight = np.zeros((n, len(model.langs))), np.zeros(n)
+    wait: list[np.ndarray] = []
+    owner: list[np.ndarray] = []
+
+    def flush() -> None:
+        x, of = np.concatenate(wait), np.concatenate(owner)
+        wait.clear()
+        owner.clear()
         # the share of a window that may be letters: a to z, A to Z and all beyond ASCII
-        low = part | 0x20
-        mass = (((low >= 97) & (low <= 122)) | (part >= 128)).sum(axis=1) + 1e-3
-        total += (model.probabilities(part) * mass[:, None]).sum(axis=0)
-        weight += mass.sum()
-    p = total / weight
-    k = int(p.argmax())
-    return model.langs[k], float(min(1.0, max(0.0, p[k])))
+        low = x | 0x20
+        mass = (((low >= 97) & (low <= 122)) | (x >= 128)).sum(axis=1) + 1e-3
+        np.add.at(total, of, model.probabilities(x) * mass[:, None])
+        np.add.at(weight, of, mass)
+
+    have = 0
+    for i, text in enumerate(texts):
+        if not text or not LETTER.search(text):
+            continue
+        w = windows(text)
+        for lo in range(0, len(w), batch):
+            part = w[lo : lo + batch]
+            wait.append(np.ascontiguousarray(part))
+            owner.append(np.full(len(part), i))
+            have += len(part)
+            if have >= batch:
+                flush()
+                have = 0
+    if wait:
+        flush()
+    out = []
+    for i in range(n):
+        if not weight[i]:
+            out.append(("und", 0.0))
+            continue
+        p = total[i] / weight[i]
+        k = int(p.argmax())
+        out.append((model.langs[k], float(min(1.0, max(0.0, p[k])))))
+    return out
 
 
 def identify(df: DataFrame, model: ByteCnn | None, text: str = "text") -> DataFrame:
@@ -176,7 +208,7 @@ def identify(df: DataFrame, model: ByteCnn | None, text: str = "text") -> DataFr
         at = None
         for b in in_bounded_batches(batches):
             at = b.schema.get_field_index(text) if at is None else at
-            got = [predict_text(shared.value, t.as_py()) for t in b.column(at)]
+            got = predict_texts(shared.value, b.column(at).to_pylist())
             cols = [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "lang_pred", "score"])
 
@@ -200,9 +232,10 @@ MIN_SCORE = 0.35
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    learn = docs.withColumn("_h", F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")))
-    kept = identify(docs, train(learn)).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.select(*docs.columns)
+    """Rows whose text has a language. Null, empty and letterless texts go; repeated rows are judged alike; with no labelled text no row has a language; columns are those of docs."""
+    learn = docs.select("text", "lang", F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")).alias("_h"))
+    judged = identify(docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "text"), train(learn))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 QUERIES = {"op1_language_id": op1_language_id}

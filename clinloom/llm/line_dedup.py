@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm.common import materialize, table
+from clinloom.llm.common import materialize, quoted, table
 
 MIN_WORDS = 5
 _LAST = 2**63 - 1
@@ -156,7 +156,10 @@ def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
 
     short: exact repeats of lines below MIN_WORDS go too.
     """
-    docs = docs.drop("n_lines", "n_removed", "emptied")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")]
+    # columns that are not needed go in one struct, so their names cannot clash with working ones
+    others = [c for c in names if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", *([F.struct(*[F.col(quoted(c)).alias(c) for c in others]).alias("_others")] if others else []))
     classes = materialize(_classes(docs, short))
     near = _near_lines(docs, classes)
     # lines that occur once and are near no other need no further look
@@ -176,8 +179,8 @@ def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     judged = F.size(F.filter("_lines", lambda x: _judged(F.trim(x), short)))
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     added = {"n_lines": n.cast("long"), "n_removed": removed.cast("long"), "emptied": F.col("gone").isNotNull() & (judged == F.size("gone"))}
-    names = [c for c in docs.columns if c != "text"]
-    return out.select(*names, text.alias("text"), *[v.alias(k) for k, v in added.items()]).select(*docs.columns, *added)
+    given = {"doc_id": F.col("doc_id"), "text": text}
+    return out.select(*[given[c].alias(c) if c in given else F.col("_others").getField(c).alias(c) for c in names], *[v.alias(k) for k, v in added.items()])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +189,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines of any length go; so do documents of which no line that is not blank is left."""
-    out = line_dedup(docs, short=True)
-    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    own = docs.select([F.col(quoted(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")])
+    out = line_dedup(own, short=True)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*map(quoted, own.columns))
 
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}

@@ -11,8 +11,7 @@
 5. Links close to components. Buckets that still hold several components beyond the
    smallest member choose another member, by a hash, for all to meet, a few times over. What is left in
    several components then is compared in blocks, each pair in the first band that it
-   shares, so that no link is missed for want of a link to a chosen member. Very large
-   buckets of many components are parted by a second shared band before.
+   shares, so that no link is missed for want of a link to a chosen member.
 
 Defined cases: a text that is null or has no words has an empty set and is linked with
 nothing; with fewer than five words the whole sequence is the one shingle; very long texts
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.llm.common import SPACE_WORD, gram_hashes, in_bounded_batches, materialize, mix64, table, text_words
+from clinloom.llm.common import SPACE_WORD, gram_hashes, in_bounded_batches, materialize, mix64, quoted, table, text_words
 from clinloom.llm.components import connected_components
 
 SHINGLE = 5
@@ -41,10 +40,9 @@ BITS = 4
 SLACK = 0.23
 #: Rounds in which each bucket's members meet one of them.
 STARS = 4
-#: Members of a block in step 5, about.
+#: Members of a block in step 5, and shingles of its members, about.
 BLOCK = 512
-#: Members of a bucket, mostly of as many components, from which on it is parted by a second band.
-REFINE_ABOVE = 4096
+BLOCK_SHINGLES = 1 << 20
 
 _RNG = np.random.default_rng(96)
 _A = _RNG.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,75 +158,89 @@ def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(u) + len(v) - both)
 
 
-def _refine(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Buckets of those members of a bucket that share a second band too: a row becomes at most 31, however large the bucket."""
-    rows = rest.join(classes.select("r", F.explode("bands").alias("k2")), "r").where(F.col("k2") != F.col("key"))
-    rows = rows.select(F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key"), "r", "c").distinct()
-    return _mixed(rows)
-
-
 def _mixed(members: DataFrame) -> DataFrame:
     """Members (key, r, c) of the buckets that hold several components."""
     keys = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
     return members.join(keys, "key", "left_semi")
 
 
+class _Block:
+    """Members of a bucket as arrays."""
+
+    def __init__(self, members: pa.Array):
+        f = dict(zip((x.name for x in members.type), members.flatten()))
+        self.r, self.c = f["r"].to_numpy(), f["c"].to_numpy()
+        self.bands = f["bands"].flatten().to_numpy().reshape(len(self.r), -1)
+        self.bits = f["bits"].flatten().to_numpy().view(np.uint64).reshape(len(self.r), -1)
+        self.sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in f["s"]]
+
+
+def _links_between(x: _Block, y: _Block, key: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join components, of the members of x with those of y, which may be the same block."""
+    ones, floor = np.uint64(int("1" * (64 // BITS), 16)), percent / 100 - SLACK
+    names, comp = np.unique(np.concatenate([x.c, y.c]), return_inverse=True)
+    root, xc, yc = np.arange(len(names)), comp[: len(x.c)], comp[len(x.c) :]
+    out = []
+    for i in range(len(x.r)):
+        j = np.flatnonzero(root[yc] != root[xc[i]])
+        if x is y:
+            j = j[j > i]
+        d = y.bits[j] ^ x.bits[i]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        est = (1 - np.bitwise_count(d & ones).sum(axis=1) / PERMS - 2.0**-BITS) / (1 - 2.0**-BITS)
+        j, est = j[est >= floor], est[est >= floor]
+        if len(j):  # in the first band that both share
+            mine = x.bands[i][(y.bands[j] == x.bands[i]).argmax(axis=1)] == key
+            j, est = j[mine], est[mine]
+        for k in j[np.argsort(-est, kind="stable")]:
+            if root[yc[k]] != root[xc[i]] and _similar(x.sets[i], y.sets[k], percent):
+                root[root == root[yc[k]]] = root[xc[i]]
+                out.append((min(x.r[i], y.r[k]), max(x.r[i], y.r[k])))
+    return out
+
+
 def _block_links(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between the components within the buckets of rest (key, r, c).
 
-    A bucket's main component (that of its smallest member) and the other members are dealt into
-    blocks; others meet the main component's blocks and one another's. Pairs in one component are not
-    compared; a pair is compared in the first band that it shares.
+    A bucket's members stand in blocks, each member in one: the main component (that of the
+    bucket's smallest member) apart from the others. Blocks of others meet the main
+    component's blocks and one another, so a bucket of n members gives some (n / block)^2 pairs of
+    blocks and never rows of pairs. Pairs in one component are not compared; a pair is
+    compared in the first band that it shares.
     """
     main = rest.groupBy("key").agg(F.min(F.struct("r", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-    rest = rest.join(main, "key").withColumn("out", F.col("c") != F.col("main"))
-    size = rest.groupBy("key").agg(F.count_if(~F.col("out")).alias("n_in"), F.count_if("out").alias("n_out"))
-    rest = rest.join(size, "key")
-    n_in, n_out = (F.ceil(F.col(c) / F.lit(float(block))).cast("int") for c in ("n_in", "n_out"))
-    rest = rest.withColumn("blk", F.pmod(F.xxhash64("r", F.lit(5)), F.when(F.col("out"), n_out).otherwise(n_in)).cast("int"))
-    at = lambda p, q, cross: F.struct(p.alias("p"), q.alias("q"), F.lit(cross).alias("cross"))
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    inner = F.transform(upto(n_out), lambda q: at(F.col("blk"), q, True))
-    outer = F.concat(F.transform(upto(n_in), lambda p: at(p, F.col("blk"), True)), F.transform(upto(n_out), lambda o: at(F.least("blk", o), F.greatest("blk", o), False)))
-    rows = rest.withColumn("g", F.explode(F.when(F.col("out"), outer).otherwise(inner))).select("key", "g.*", "blk", "out", "r", "c")
-    rows = rows.join(classes.select("r", "bands", "bits"), "r").join(sets, "r").select("key", "p", "q", "cross", "blk", "out", "r", "c", "bands", "bits", "s")
-    ones, floor = np.uint64(int("1" * (64 // BITS), 16)), percent / 100 - SLACK
+    data = rest.select("r").distinct().join(classes.select("r", "n_shingles", "bands", "bits"), "r").join(sets, "r")
+    rows = rest.join(main, "key").select("key", "r", "c", (F.col("c") != F.col("main")).alias("out")).join(data, "r")
+    rows = materialize(rows)
+    blocks = lambda c: F.ceil(F.greatest(F.count_if(c) / F.lit(float(block)), F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+    size = materialize(rows.groupBy("key").agg(blocks(~F.col("out")).alias("n_in"), blocks(F.col("out")).alias("n_out")))
+    dealt = rows.join(size, "key").withColumn("blk", F.pmod(F.xxhash64("r", F.lit(5)), F.when(F.col("out"), F.col("n_out")).otherwise(F.col("n_in"))).cast("int"))
+    packed_ = materialize(dealt.groupBy("key", "out", "blk").agg(F.collect_list(F.struct("r", "c", "bands", "bits", "s")).alias("members")))  # one block
+    # ids of blocks that meet: blocks of others (b1) with all of the main component's, and with those of others from themselves on
+    upto = lambda lo, n: F.sequence(lo, n - 1)
+    own = size.where(F.col("n_out") > 0).select("key", "n_in", "n_out", F.explode(upto(F.lit(0), F.col("n_out"))).alias("b1"))
+    meet = F.concat(F.transform(upto(F.lit(0), F.col("n_in")), lambda k: F.struct(F.lit(False).alias("o2"), k.alias("b2"))), F.transform(upto(F.col("b1"), F.col("n_out")), lambda k: F.struct(F.lit(True).alias("o2"), k.alias("b2"))))
+    meet = own.select("key", "b1", F.explode(meet).alias("m")).select("key", "b1", "m.*")
+    left = packed_.where("out").select("key", F.col("blk").alias("b1"), F.col("members").alias("x"))
+    right = packed_.select("key", F.col("out").alias("o2"), F.col("blk").alias("b2"), F.col("members").alias("y"))
+    both = meet.join(left, ["key", "b1"]).join(right, ["key", "o2", "b2"])
+    same = F.col("o2") & (F.col("b1") == F.col("b2"))
+    both = both.select("key", "x", F.when(~same, F.col("y")).alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _Block(batch.column(1)[i].values)
+                y = x if not batch.column(2)[i].is_valid else _Block(batch.column(2)[i].values)
+                got = _links_between(x, y, batch.column(0)[i].as_py(), percent)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def run(t: pa.Table) -> pa.Table:
-        key, p, q, cross = (t[x][0].as_py() for x in ("key", "p", "q", "cross"))
-        blk, r = t["blk"].to_numpy(), t["r"].to_numpy()
-        out = t["out"].to_numpy(zero_copy_only=False)
-        _, c = np.unique(t["c"].to_numpy(), return_inverse=True)
-        bands, bits = np.array(t["bands"].to_pylist(), dtype=np.int64), np.array(t["bits"].to_pylist(), dtype=np.int64).view(np.uint64)
-        is_band = (bands == key).any()
-        sets_ = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t["s"]]
-        root = np.arange(c.max() + 1)
-        a, b = [], []
-        for i in range(len(r)):
-            j = np.flatnonzero((out != out[i]) & ~out if cross else (blk != blk[i]) | (p == q))
-            if cross and not out[i]:
-                continue
-            j = j[(root[c[j]] != root[c[i]]) & ((j > i) | cross)]
-            d = bits[j] ^ bits[i]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            est = (1 - np.bitwise_count(d & ones).sum(axis=1) / PERMS - 2.0**-BITS) / (1 - 2.0**-BITS)
-            j, est = j[est >= floor], est[est >= floor]
-            if is_band and len(j):
-                same = bands[j] == bands[i]
-                mine = bands[i][same.argmax(axis=1)] == key
-                j, est = j[mine], est[mine]
-            for k in j[np.argsort(-est, kind="stable")]:
-                if root[c[k]] != root[c[i]] and _similar(sets_[i], sets_[k], percent):
-                    root[root == root[c[k]]] = root[c[i]]
-                    a.append(min(r[i], r[k]))
-                    b.append(max(r[i], r[k]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("key", "p", "q", "cross").applyInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, block: int = BLOCK, refine_above: int = REFINE_ABOVE) -> DataFrame:
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     floor = percent / 100 - SLACK
     signed = materialize(signatures(docs))
@@ -273,11 +285,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, bloc
         met = rest.join(lead, "key").where(F.col("r") != F.col("lead"))
         also(confirm(likely(met.where(F.col("c") != F.col("lc")).select(F.least("lead", "r").alias("a"), F.greatest("lead", "r").alias("b"))), sets, percent))
         rest = named(met)
-    for _ in range(2):  # very large buckets of many components
-        large = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.approx_count_distinct("c").alias("parts")).where((F.col("n") > refine_above) & (F.col("parts") * 8 > F.col("n"))).select("key"))
-        if large.isEmpty():
-            break
-        rest = materialize(rest.join(large, "key", "left_anti").unionAll(_refine(rest.join(large, "key", "left_semi"), classes)))
     if not rest.isEmpty():
         also(_block_links(rest, classes, sets, percent, block))
 
@@ -292,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, bloc
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each group the one of the smallest doc_id, all rows of other documents."""
     gone = near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,6 +307,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest doc_id. Null and empty texts and null ids stay, as do all rows of a doc_id that stays; columns are those of docs."""
     return dedup(docs, percent=80)
 
 

@@ -209,6 +209,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places. Null and empty texts are their end id alone; repeated rows and null ids are packed each; an empty table gives no rows."""
     return pack_documents(docs)
 
 

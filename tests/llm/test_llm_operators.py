@@ -106,6 +106,42 @@ def test_language_id(spark):
     assert langid.train(df.limit(0)) is None and {r.lang_pred for r in langid.identify(new, None).collect()} == {"und"}
 
 
+def test_language_network_against_plain_loops():
+    rng = np.random.default_rng(3)
+    m = langid.ByteCnn(["a", "b", "c"], seed=5)
+    x = rng.integers(0, 256, (7, 40), dtype=np.uint8)
+    want = np.zeros((7, len(langid.WIDTHS) * langid.FILTERS))
+    for n in range(7):
+        for k, w in enumerate(langid.WIDTHS):
+            for f in range(langid.FILTERS):
+                want[n, k * langid.FILTERS + f] = max(0.0, max(sum(m.conv[k][j, x[n, i + j], f] for j in range(w)) for i in range(40 - w + 1)) + m.bias[k][f])
+    assert np.allclose(m.features(x), want, atol=1e-5)
+    z = want @ m.out + m.out_bias
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    assert np.allclose(m.probabilities(x, step=3), e / e.sum(axis=1, keepdims=True), atol=1e-5)
+
+
+def test_language_scores_do_not_depend_on_the_batch():
+    rng = random.Random(2)
+    m = langid.ByteCnn(["a", "b"], seed=1)
+    texts = [prose(rng, rng.randint(1, 400)) for _ in range(30)] + [None, "", "12 ?"]
+    one = [langid.predict_texts(m, [t])[0] for t in texts]
+    for batch in (3, 4096):
+        got = langid.predict_texts(m, texts, batch=batch)
+        assert [g[0] for g in got] == [o[0] for o in one] and np.allclose([g[1] for g in got], [o[1] for o in one], atol=1e-5)
+    assert langid.predict_texts(m, []) == []
+
+
+def test_language_stage(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "ing", "oath"]) for _ in range(40)), "aa", 1, "r") for i in range(30)] + [(30, None, "aa", 2, None), (31, "12", None, 3, "r"), (None, "the oath the ing", None, 4, "r"), (0, "", "aa", 5, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string")
+    got = langid.language_stage(spark, df, "")
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == sorted([*map(str, range(30)), "None"])
+    assert got.where("doc_id = 3").first().score == 1
+    assert langid.language_stage(spark, df.limit(0), "").count() == 0
+
+
 # --- 2
 
 
@@ -173,6 +209,16 @@ def test_line_dedup_defined_cases(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_leaves_columns_of_its_working_names(spark):
+    names = ["ord", "dkey", "gone", "pos", "f", "h1", "line", "_lines", "_others", "a.b"]
+    line = "one two three four five six"
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate([line, line + "\nown", "x"])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = line_dedup.line_dedup(df).orderBy("doc_id").collect()
+    assert [tuple(r)[:-3] for r in got] == [rows[0], (1, "own", *rows[1][2:]), rows[2]]
+    assert line_dedup.line_stage(spark, df, "").columns == df.columns
+
+
 def test_line_stage_keeps_what_is_left(spark):
     line = "one two three four five six"
     texts = [line, line, line + "\nown text", line + "\n \n", None, "", " \n", "漢字の行\n" + line]
@@ -213,7 +259,7 @@ def brute_groups(docs):
     return {d: (len(s[d]), find(d)) for d in docs}
 
 
-@pytest.mark.parametrize("options", [{}, {"stars": 1, "block": 4}, {"stars": 1, "block": 4, "refine_above": 3}])
+@pytest.mark.parametrize("options", [{}, {"stars": 1, "block": 4}])
 def test_minhash_against_all_pairs(spark, options):
     rng = random.Random(11)
     docs = {}
@@ -305,6 +351,18 @@ def test_decontamination_against_scanning(spark):
     assert decontam.contamination(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_follows_the_row(spark):
+    rng = random.Random(41)
+    item, clean = prose(rng, 30), prose(rng, 60)
+    rows = [(None, item, "a"), (None, clean, "b"), (7, item, "c"), (7, clean, "d"), (7, item, "e"), (8, None, "f"), (None, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_key string").repartition(3)
+    bench = spark.createDataFrame([(None, item), ("x", item), ("x", None)], "item_id string, text string")
+    got = decontam.decontaminate(df, bench)
+    assert sorted(r.text_key for r in got.collect()) == ["b", "d", "f", "g"] and got.columns == df.columns
+    verdicts = decontam.contamination(df, bench).collect()
+    assert len(verdicts) == 7 and {r.n_items for r in verdicts} == {0, 1} and sum(r.contaminated for r in verdicts) == 3
+
+
 def test_proximity():
     from clinloom.llm.common import ALNUM_WORD, text_words
 
@@ -523,6 +581,13 @@ def test_bytes_are_told_apart_and_follow_the_definition(spark):
         assert got[i].bits == pytest.approx(np.mean(want), rel=1e-6) and got[i].n_bytes == len(want)
 
 
+def test_thresholds_keep_languages_of_any_name_apart(spark):
+    rows = [("*", 9.0)] * 3 + [("aa", 1.0)] * 5 + [(None, 2.0)] * 2
+    scored = spark.createDataFrame([(lang, bits, True) for lang, bits in rows] + [("bb", 4.0, False)], "lang string, bits double, trusted boolean")
+    got = {(r.whole, r.lang): r.level for r in kneser_ney.thresholds(scored, 0.5).collect()}
+    assert got == {(False, "*"): 9000, (False, "aa"): 1000, (False, None): 2000, (True, None): 1000}
+
+
 def test_quality(spark):
     rng = random.Random(29)
     good = [prose(rng, 60) for _ in range(60)]
