@@ -506,79 +506,92 @@ def test_repeats_against_all_windows(spark):
 
 
 def brute_kneser_ney(texts):
-    """Probability of any 4-gram, straight from the definition."""
-    counts = [defaultdict(int) for _ in range(5)]
+    """Probability of a last byte after any bytes, straight from the definition."""
+    n = kneser_ney.ORDER
+    counts = [defaultdict(int) for _ in range(n + 1)]
     for t in texts:
-        for g in kneser_ney.grams(t).tolist():
-            counts[4][g] += 1
-    for k in (3, 2, 1):
+        b = b"\n" * (n - 1) + t.encode()
+        for i in range(len(b) - n + 1):
+            counts[n][b[i : i + n]] += 1
+    for k in range(n - 1, 0, -1):
         for g in counts[k + 1]:
-            counts[k][g & ((1 << 6 * k) - 1)] += 1
+            counts[k][g[1:]] += 1
     disc = {}
-    for k in range(1, 5):
-        n = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
-        disc[k] = (0.5, 0.5, 0.5) if y is None else (max(0, min(1 - 2 * y * n[1] / n[0], 1)), max(0, min(2 - 3 * y * n[2] / n[1], 2)), max(0, min(3 - 4 * y * n[3] / n[2], 3)) if n[2] else 1.5)
+    for k in range(1, n + 1):
+        m = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
+        y = m[0] / (m[0] + 2 * m[1]) if m[0] and m[1] else None
+        disc[k] = (0.5, 0.5, 0.5) if y is None else (max(0, min(1 - 2 * y * m[1] / m[0], 1)), max(0, min(2 - 3 * y * m[2] / m[1], 2)), max(0, min(3 - 4 * y * m[3] / m[2], 3)) if m[2] else 1.5)
 
-    def prob(g, k):
-        if k == 0:
-            return 1 / 64
-        mine = {x: c for x, c in counts[k].items() if x >> 6 == g >> 6}
-        less = prob(g & ((1 << 6 * (k - 1)) - 1), k - 1)
-        if not mine:
-            return less
+    def prob(g):
+        if not g:
+            return 1 / 256
+        k, less = len(g), prob(g[1:])
+        mine = [c for x, c in counts[k].items() if x[:-1] == g[:-1]]
         d = lambda c: disc[k][min(c, 3) - 1]
-        total, c = sum(mine.values()), counts[k].get(g, 0)
-        return (c - d(c) if c else 0) / total + sum(map(d, mine.values())) / total * less
+        c = counts[k].get(g, 0)
+        return ((c - d(c) if c else 0) + sum(map(d, mine)) * less) / sum(mine) if mine else less
 
     return prob
 
 
-def test_kneser_ney_against_the_definition(spark):
-    texts = ["ab abc abba", "abc, cab!", "ba ba", "Zebra é 12"]
-    probs, gammas = kneser_ney.train(spark.createDataFrame([(t,) for t in texts + [None, ""]], "text string"))
-    bits, prob = kneser_ney.dense(probs, gammas), brute_kneser_ney(texts)
-    for g in kneser_ney.grams("abc zab! é 9 ab").tolist():
-        assert 2.0 ** -bits[g] == pytest.approx(prob(g, 4), rel=1e-4)
-    block = bits[(17 << 6 * 3 | 3 << 12 | 9 << 6) : (17 << 6 * 3 | 3 << 12 | 9 << 6) + 64]
-    assert (2.0**-block).sum() == pytest.approx(1, rel=1e-4)
+def brute_bits(prob, text):
+    n = kneser_ney.ORDER
+    b = b"\n" * (n - 1) + text.encode()
+    return np.mean([-np.log2(max(prob(b[j : j + n]), 1e-12)) for j in range(len(b) - n + 1)])
 
 
-def test_bytes_are_told_apart_and_follow_the_definition(spark):
+def test_kneser_ney_against_the_definition(spark):
+    texts = ["ab abc abba", "abc, cab!", "ba ba", "Zebra é 12"]
+    model, prob = kneser_ney.train(spark.createDataFrame([(t,) for t in texts + [None, ""]], "text string")), brute_kneser_ney(texts)
+    for g in (b"ab", b"zz", b"b ", "é".encode()):
+        assert model.low[int.from_bytes(g, "big")] == pytest.approx(prob(g), rel=1e-9)
+    q = np.sort(np.concatenate([kneser_ney.grams("abc zab! é 9 ab"), (int.from_bytes(b" abba", "big") << 8) + np.arange(256)]))
+    q = np.unique(q)
+    order, at = kneser_ney._by_shard(q)
+    asked = [(0, k, bytearray(kneser_ney._packed_sorted(q[order][at[k] : at[k + 1]]))) for k in range(kneser_ney.SHARDS) if at[k] < at[k + 1]]
+    got = kneser_ney.answers(spark.createDataFrame(asked, "bucket long, shard int, g binary"), model, 1).collect()
+    bits = np.concatenate([kneser_ney._unpacked(bytes(r.bits), np.float32) for r in sorted(got, key=lambda r: r.shard)])
+    p = dict(zip(q[order].tolist(), (2.0**-bits).tolist()))
+    for g, x in p.items():
+        assert x == pytest.approx(prob(int(g).to_bytes(6, "big")), rel=1e-4)
+    assert sum(x for g, x in p.items() if g >> 8 == int.from_bytes(b" abba", "big")) == pytest.approx(1, rel=1e-4)
+
+
+@pytest.mark.parametrize("bucket,lists", [(16 << 20, 256), (12, 2)])
+def test_bytes_are_told_apart_and_follow_the_definition(spark, monkeypatch, bucket, lists):
+    monkeypatch.setattr(kneser_ney, "BUCKET", bucket)
+    monkeypatch.setattr(kneser_ney, "LISTS", lists)
     learn = ["ABBA 12 ABBA", "ABBA ab 12", "λόγος λόγος", "漢字"]
     texts = ["ABBA 12", "CDDC 12", "λόγος", "бгдет", None, "", "ab " * 20]
-    probs, gammas = kneser_ney.train(spark.createDataFrame([(t,) for t in learn], "text string"), kneser_ney.DEEP, kneser_ney.BYTE)
-    got = {r.doc_id: r for r in kneser_ney.score(frame(spark, texts).withColumn("lang", F.lit("x")), probs, gammas).collect()}
+    model, prob = kneser_ney.train(spark.createDataFrame([(t,) for t in learn], "text string")), brute_kneser_ney(learn)
+    got = {r.doc_id: r for r in kneser_ney.score(frame(spark, texts).withColumn("lang", F.lit("x")), model).collect()}
     assert len(got) == len(texts) and got[4].bits is None and got[5].bits is None
     assert got[0].bits < got[1].bits and got[2].bits < got[3].bits
-
-    counts = [defaultdict(int) for _ in range(7)]
-    for t in learn:
-        b = b"\n" * 5 + t.encode()
-        for i in range(len(b) - 5):
-            counts[6][b[i : i + 6]] += 1
-    for k in range(5, 0, -1):
-        for g in counts[k + 1]:
-            counts[k][g[1:]] += 1
-    disc = {}
-    for k in range(1, 7):
-        n = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
-        disc[k] = (0.5, 0.5, 0.5) if y is None else (max(0, min(1 - 2 * y * n[1] / n[0], 1)), max(0, min(2 - 3 * y * n[2] / n[1], 2)), max(0, min(3 - 4 * y * n[3] / n[2], 3)) if n[2] else 1.5)
-
-    def prob(g):
-        if not g:
-            return 1 / 256
-        k, less = len(g), prob(g[1:])
-        mine = [c for x, c in counts[k].items() if x[:-1] == g[:-1]]
-        d = lambda c: disc[k][min(c, 3) - 1]
-        c = counts[k].get(g, 0)
-        return ((c - d(c) if c else 0) + sum(map(d, mine)) * less) / sum(mine) if mine else less
-
     for i in (0, 1, 2, 3, 6):
-        b = b"\n" * 5 + texts[i].encode()
-        want = [-np.log2(max(prob(b[j : j + 6]), 1e-12)) for j in range(len(b) - 5)]
-        assert got[i].bits == pytest.approx(np.mean(want), rel=1e-6) and got[i].n_bytes == len(want)
+        assert got[i].bits == pytest.approx(brute_bits(prob, texts[i]), rel=1e-6) and got[i].n_bytes == len(texts[i].encode())
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(31)
+    texts = [prose(rng, rng.randint(2, 12)) + rng.choice(["", " é", " 漢字"]) for _ in range(24)] + ["#!" * 9, None, ""]
+    rows = [(i, t, ["aa", "bb", None][i % 3]) for i, t in enumerate(texts)] + [(None, texts[0], "dd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    marks = {r.doc_id: r.k for r in spark.createDataFrame([(i,) for i in range(18)], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("k")).collect()}
+    prob = brute_kneser_ney([texts[i] for i, k in marks.items() if k > 0])
+    bits = [brute_bits(prob, t) if t else None for _, t, _ in rows]
+    levels = defaultdict(list)
+    for i, k in marks.items():
+        if k == 0:
+            for key in (rows[i][2], "all"):
+                levels[key].append(int(np.ceil(bits[i] * 1000)))
+    cut = {key: sorted(v)[int(np.ceil(0.5 * len(v))) - 1] for key, v in levels.items()}
+    assert len(levels) > 1
+    got = kneser_ney.quality(df, spark.createDataFrame([(i,) for i in range(18)], "doc_id long"), quantile=0.5).collect()
+    by = {(r.doc_id, r.lang): r for r in got}
+    for (i, t, lang), b in zip(rows, bits):
+        r, level = by[i, lang], cut.get(lang, cut["all"])
+        assert r.threshold == pytest.approx(2 ** (level / 1000))
+        assert (r.perplexity is None and not r.kept) if b is None else (r.perplexity == pytest.approx(2**b, rel=1e-5) and r.kept == (2**b <= 2 ** (level / 1000)))
 
 
 def test_thresholds_keep_languages_of_any_name_apart(spark):
