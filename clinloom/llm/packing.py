@@ -3,10 +3,10 @@
 Only documents longer than the capacity are cut. All pieces of one length are alike, so
 the problem is its length histogram, of at most `capacity` numbers: a configuration linear
 program (which sets of lengths fit a sequence, and how many sequences take each set).
-It is solved by multiplicative weights. Lengths that are covered more than others lose
-weight; a knapsack dynamic program over the capacity prices, in one pass, the best set
-around every length. Rounding takes whole numbers of each set as far as pieces remain,
-solves again for what is left, and fills the last sequences with the best fits.
+It is solved by multiplicative weights on its dual. A knapsack dynamic program over the
+capacity prices, in one pass, the best set around every length, which also bounds the
+number of sequences from below; lengths that are covered more than others lose weight. Rounding
+takes whole numbers of each set as far as pieces remain and solves again for what is left.
 
 The plan is small and by length and rank; pieces find their place by their rank among
 the pieces of their length, so no piece list ever meets in one place.
@@ -20,7 +20,7 @@ columns are not returned.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,12 @@ from clinloom.llm.common import in_bounded_batches, materialize, table
 from clinloom.llm.tokens import encoder, public_path
 
 CAPACITY = 4096
-ROUNDS, PASSES = 8, 3
+#: Rounds of the weights.
+ROUNDS = 5
+#: A set takes part in a round if its worth is within this share of the best; the step of the weights.
+NEAR, STEP = 0.02, 0.25
+#: By pass of the rounding, the share of a sequence that a column may leave empty.
+SLACKS = (0.0, 0.002, 0.01, 1.0)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -58,109 +63,145 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def best_values(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """By capacity the best total value of lengths that fit (any number of each), and the place of one of them, or -1. lengths ascend."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], choice[c] = best[c - 1], -2  # -2: as with one less
-        if m := upto[c]:
-            v = best[c - lengths[:m]] + value[:m]
-            k = int(v.argmax())
-            if v[k] > best[c]:
-                best[c], choice[c] = v[k], k
-    return best, choice
-
-
-def _set_for(choice: np.ndarray, lengths: list[int], room: int) -> dict[int, int]:
-    got: dict[int, int] = {}
-    while room > 0:
-        k = choice[room]
-        if k == -2:
-            room -= 1
-        elif k < 0:
-            break
-        else:
-            got[lengths[k]] = got.get(lengths[k], 0) + 1
-            room -= lengths[k]
-    return got
-
-
-def solve(hist: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Sets of lengths and how many sequences should take each, about: the program's fractional solution."""
-    lengths = np.array(sorted(hist))
-    n = np.array([hist[x] for x in lengths], dtype=float)
-    cover, place = np.zeros(len(lengths)), {int(x): i for i, x in enumerate(lengths)}
-    share = float((n * lengths).sum()) / (capacity * n.sum()) / rounds  # of each length's pieces that found a sequence in a round
-    amount: dict[tuple, float] = {}
-    listed = lengths.tolist()
+def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """By room the greatest total value of pieces that fit, any number of each: the knapsack program over the capacity."""
+    worth = np.full(capacity + 1, -np.inf)
+    worth[lengths] = value
+    best = np.zeros(capacity + 1)
+    for c in range(int(lengths[0]), capacity + 1):
+        best[c] = max(best[c - 1], (best[:c][::-1] + worth[1 : c + 1]).max())
+    return best
+
+
+class Tracer:
+    """Reads best sets off a priced table, from the pieces that there are."""
+
+    def __init__(self, lengths: np.ndarray, value: np.ndarray, capacity: int):
+        self.lengths, self.value, self.capacity = lengths, value, capacity
+        self.best = price(lengths, value, capacity)
+        self.upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+
+    def around(self, i: int, left: np.ndarray, cover: np.ndarray | None = None) -> dict[int, int]:
+        """A best set with a piece of length i, as places and numbers. Of equally good pieces the less covered, then the longer is taken."""
+        s, room = {i: 1}, self.capacity - int(self.lengths[i])
+        while m := int(self.upto[room]):
+            short = self.lengths[:m]
+            v = self.best[room - short] + self.value[:m]
+            have = left[:m] > 0
+            for k, c in s.items():
+                if k < m:
+                    have[k] = left[k] > c
+            v = np.where(have, v, -1.0)
+            top = v.max()
+            if top < 0:
+                break
+            tie = np.flatnonzero(v >= top - 1e-9)
+            k = int(tie[-1] if cover is None else tie[np.argmax(short[tie] - self.capacity * cover[tie])])
+            s[k] = s.get(k, 0) + 1
+            room -= int(short[k])
+        return s
+
+
+class Program(NamedTuple):
+    """Weights of the lengths, the greatest lower bound found, and sets with the fractional numbers of sequences that take them."""
+
+    weight: np.ndarray
+    bound: float
+    columns: dict[tuple, float]
+
+
+def solve(lengths: np.ndarray, n: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Program:
+    """The configuration program by multiplicative weights: fewest sequences that cover every length's pieces.
+
+    A length's dual value is its share of the capacity times its weight. Each round prices all sets
+    at once; as no set is worth more than the best, the values of all pieces over that worth bound
+    the number of sequences from below. Best sets around the lengths whose worth comes near
+    the best take the round's sequences; lengths that they cover more than others lose weight.
+    The average of the rounds is the primal solution.
+    """
+    base = lengths / capacity
+    weight, bound, columns = np.ones(len(lengths)), float(n @ base), {}
     for _ in range(rounds):
-        weight = np.exp(-4 * (cover - cover.mean()).clip(-2, 2))
-        _, choice = best_values(lengths, lengths * weight, capacity)
-        add = np.zeros(len(lengths))
-        rest: dict[int, dict[int, int]] = {}
-        for i, x in enumerate(listed):
-            if weight[i] < 0.05:
+        y = base * weight
+        tracer = Tracer(lengths, y, capacity)
+        top = tracer.best[capacity]
+        bound = max(bound, float(n @ y) / top)
+        near = np.flatnonzero(y + tracer.best[capacity - lengths] >= (1 - NEAR) * top)[::-1]
+        cover = np.zeros(len(lengths))
+        for i in near.tolist():
+            if cover[i] >= 1:
                 continue
-            room = capacity - x
-            if room not in rest:
-                rest[room] = _set_for(choice, listed, room)
-            s = dict(rest[room])
-            s[x] = s.get(x, 0) + 1
-            much = share * n[i] * min(1.0, weight[i])
+            s = tracer.around(i, n, cover)
+            z = min(n[k] * (1 - min(cover[k], 0.9)) / m for k, m in s.items())
             key = tuple(sorted(s.items()))
-            amount[key] = amount.get(key, 0) + much
-            for y, k in key:
-                add[place[y]] += much * k
-        cover += add / n
-    return sorted(((dict(k), v) for k, v in amount.items()), key=lambda x: (-sum(a * b for a, b in x[0].items()), x[0].__repr__()))
-
-
-def _fill(left: np.ndarray, capacity: int) -> dict[int, int]:
-    """The longest piece left, then again and again the longest that still fits."""
-    have = np.flatnonzero(left).tolist()
-    s, room, at = {}, capacity, len(have) - 1
-    while room and at >= 0:
-        at = min(at, bisect_right(have, room) - 1)
-        if at < 0:
-            break
-        x = have[at]
-        s[x] = min(room // x, int(left[x]))
-        room -= s[x] * x
-        at -= 1
-    return s
+            columns[key] = columns.get(key, 0.0) + z / rounds
+            for k, m in key:
+                cover[k] += z * m / n[k]
+        weight = weight * np.exp(-STEP * np.clip(cover - np.average(cover, weights=n * base), -1, 1))
+        weight = np.clip(weight / np.average(weight, weights=n * base), 0.5, 2.0)
+    return Program(weight, bound, columns)
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, passes: int = PASSES) -> list[tuple[dict[int, int], int]]:
-    """Sets of lengths with the number of sequences that take each; together they take every piece once."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for x, k in hist.items():
-        left[x] = k
-    out: list[tuple[dict[int, int], int]] = []
+class Plan(NamedTuple):
+    sets: list[tuple[dict[int, int], int]]  # sets of lengths with the number of sequences that take each
+    bound: float  # no packing takes fewer sequences
+
 
-    def take(s: dict[int, int], m: int) -> None:
-        out.append((s, m))
-        for x, k in s.items():
-            left[x] -= k * m
+def _rounded(lengths: np.ndarray, n: np.ndarray, capacity: int, columns: dict[tuple, float], weight: np.ndarray, slacks: tuple[float, ...]) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of the columns as long as pieces last, then columns priced anew for the pieces left.
 
-    if left[capacity]:
-        take({capacity: 1}, int(left[capacity]))
-    for _ in range(passes):
-        rest = {int(x): int(left[x]) for x in np.flatnonzero(left)}
-        if len(rest) < 2:
+    Each pass takes best sets around the pieces left, the longest first, if they are full up
+    to the pass's slack. The last pass takes any, so every sequence is a priced column.
+    """
+    left, listed = n.copy(), lengths.tolist()
+    out: list[tuple[dict[int, int], int]] = []
+
+    def take(s: dict[int, int], most: int) -> None:
+        m = min(most, *(int(left[i]) // k for i, k in s.items()))
+        if m > 0:
+            out.append(({listed[i]: k for i, k in s.items()}, m))
+            for i, k in s.items():
+                left[i] -= k * m
+
+    for key, z in sorted(columns.items(), key=lambda x: (-x[0][-1][0], x[0])):
+        take(dict(key), int(z))
+    for slack in slacks:
+        have = np.flatnonzero(left)
+        if not len(have):
             break
-        for s, amount in solve(rest, capacity):
-            if sum(x * k for x, k in s.items()) < 0.995 * capacity:
-                continue
-            m = min(int(np.ceil(amount)), *(int(left[x]) // k for x, k in s.items()))
-            if m > 0:
-                take(s, m)
-    while left.any():
-        s = _fill(left, capacity)
-        take(s, min(int(left[x]) // k for x, k in s.items()))
+        tracer = Tracer(lengths[have], lengths[have] / capacity * weight[have], capacity)
+        for at in range(len(have) - 1, -1, -1):
+            while left[have[at]]:
+                s = {int(have[i]): k for i, k in tracer.around(at, left[have]).items()}
+                if sum(listed[i] * k for i, k in s.items()) < (1 - slack) * capacity:
+                    break
+                take(s, int(left[have[at]]))
     return out
 
 
+def plan_with_bound(hist: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The program solved and rounded: by its first and by its last dual values, strictly and at once; the shortest plan stays."""
+    lengths = np.array(sorted(hist), dtype=np.int64)
+    if not len(lengths):
+        return Plan([], 0.0)
+    n = np.array([hist[x] for x in lengths.tolist()], dtype=np.int64)
+    got = solve(lengths, n, capacity)
+    best: list[tuple[dict[int, int], int]] | None = None
+    for weight in (np.ones(len(lengths)), got.weight):
+        for slacks in (SLACKS, SLACKS[-1:]):
+            sets = _rounded(lengths, n, capacity, got.columns, weight, slacks)
+            if best is None or sum(m for _, m in sets) < sum(m for _, m in best):
+                best = sets
+            if sum(m for _, m in best) <= np.ceil(got.bound - 1e-9):  # as few as can be
+                return Plan(best, got.bound)
+    return Plan(best, got.bound)
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Sets of lengths with the number of sequences that take each; together they take every piece once."""
+    return plan_with_bound(hist, capacity).sets
+
+
 def places(planned: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     """The plan by (length, rank): from each first rank on, which sequences and offsets follow."""
     used: dict[int, int] = {}
@@ -181,7 +222,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     counts = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    # the plan has at most ROUNDS * PASSES sets a length, and the capacity bounds the lengths
+    # at most one set a length and round, and while rounding one a length's last pieces: the capacity bounds them
     shared = spark.sparkContext.broadcast(places(plan(hist, capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranked = cut.join(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")), ["part", "length"])

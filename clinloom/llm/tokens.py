@@ -2,9 +2,10 @@
 
 A tokenizer's pre-tokenizer often never joins what stands on two sides of a space or line
 end: then a text may be cut there, and each part's ids, with the separator before it, are
-the same as within the text. Parts are known again by a 64-bit hash. Which way a tokenizer's file
-allows is read from the file; where neither way holds, or a text has two separators in a
-row, whole texts go through the library.
+the same as within the text. Parts are known again by a 64-bit hash and then compared byte by
+byte. Which way a tokenizer's file allows is read from the file; where neither way holds, and
+for texts that have two separators in a row, may hold one of the tokenizer's added tokens (such
+as the end of a text, written out) or hold a part whose hash another part has, whole texts go through the library.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from clinloom.llm.common import hash_words
 
 #: Parts of texts, and words of letters among them, of which the ids are kept, at most, in a worker: some 250 MB.
 KEEP_PARTS, KEEP_WORDS = 1_000_000, 400_000
+#: Bytes of parts that are kept, about.
+KEEP_BYTES = 64 << 20
 PLAIN, SPACED, LINED = 0, 1, 2
 LEADS = ("", " ", "\n")
 _SALT = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], dtype=np.uint64)
@@ -49,10 +52,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         with open(path, encoding="utf-8") as f:
-            self.mode = self._mode(json.load(f))
+            spec = json.load(f)
+        self.mode = self._mode(spec)
+        # added tokens are found before a text is cut; these beginnings are alike before and after normal forms and lower-casing
+        self.marks = {t["content"][:2] for t in spec.get("added_tokens") or []}
+        if any(len(m) < 2 or not m.isascii() or m.isalnum() or any(c.isspace() or c.isalnum() for c in m) for m in self.marks):
+            self.mode = "whole"
         if array("I", [1]).tobytes() != b"\x01\0\0\0":
             self.mode = "whole"
         self.clear()
@@ -75,6 +82,10 @@ class Encoder:
         self.pool = np.empty(1 << 20, dtype="<u4")
         self.first = np.zeros(1 << 16, dtype=np.int64)
         self.count = np.zeros(1 << 16, dtype=np.int64)
+        self.raw = np.empty(1 << 22, dtype=np.uint8)  # the parts themselves
+        self.raw_used = 0
+        self.raw_first = np.zeros(1 << 16, dtype=np.int64)
+        self.raw_size = np.zeros(1 << 16, dtype=np.int64)
 
     def _encode(self, text: str) -> bytes:
         return _bytes(self.library.encode(text, add_special_tokens=False).ids)
@@ -114,13 +125,13 @@ class Encoder:
             known[part] = got
         return got
 
-    def _add(self, keys: list[int], parts: list[str], leads: list[int]) -> None:
-        """Keep the ids of new parts."""
-        got = [self._part(p, k) for p, k in zip(parts, leads)]
+    def _add(self, keys: list[int], raw: list[bytes], leads: list[int]) -> None:
+        """Keep new parts and their ids."""
+        got = [self._part(p.decode(), k) for p, k in zip(raw, leads)]
         ids = np.frombuffer(b"".join(got), dtype="<u4")
         n, k = len(self.slots), len(keys)
         while n + k > len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+            self.first, self.count, self.raw_first, self.raw_size = (np.resize(x, 2 * len(x)) for x in (self.first, self.count, self.raw_first, self.raw_size))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         size = np.array([len(g) // 4 for g in got], dtype=np.int64)
@@ -128,13 +139,39 @@ class Encoder:
         self.first[n : n + k] = self.used + np.cumsum(size) - size
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        text = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        while self.raw_used + len(text) > len(self.raw):
+            self.raw = np.resize(self.raw, 2 * len(self.raw))
+        size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.raw_size[n : n + k] = size
+        self.raw_first[n : n + k] = self.raw_used + np.cumsum(size) - size
+        self.raw[self.raw_used : self.raw_used + len(text)] = text
+        self.raw_used += len(text)
         self.slots.update(zip(keys, range(n, n + k)))
 
+    def _strange(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Places of parts that are not the part kept under their hash."""
+        size = ends - starts
+        odd = [np.flatnonzero(self.raw_size[slot] != size)]
+        for lo in range(0, len(starts), 1 << 18):
+            part = slice(lo, lo + (1 << 18))
+            n = np.where(self.raw_size[slot[part]] == size[part], size[part], 0)
+            upto = np.r_[0, np.cumsum(n)]
+            at = np.arange(upto[-1])
+            here = np.repeat(starts[part] - upto[:-1], n)
+            here += at
+            kept = np.repeat(self.raw_first[slot[part]] - upto[:-1], n)
+            kept += at
+            wrong = np.flatnonzero(data[here] != self.raw[kept])
+            if len(wrong):
+                odd.append(lo + np.searchsorted(upto, wrong, side="right") - 1)
+        return np.concatenate(odd)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, as little-endian bytes of 32 bits each; null is empty."""
         if self.mode == "whole":
             return [self._encode(t or "") for t in texts]
-        if len(self.slots) > KEEP_PARTS:
+        if len(self.slots) > KEEP_PARTS or self.raw_used > KEEP_BYTES:
             self.clear()
         if sum(map(len, self.words)) > KEEP_WORDS:
             self.words = ({}, {}, {})
@@ -148,7 +185,7 @@ class Encoder:
         first = np.searchsorted(starts, begin)
         h = hash_words(data, starts, ends)
         lead = np.zeros(len(starts), dtype=np.int64)
-        whole: list[int] = []
+        whole = [i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)]
         if self.mode == "leading":
             lead[1:] = np.where(data[gaps] == 32, SPACED, LINED)
             inner = np.ones(len(starts), dtype=bool)
@@ -159,7 +196,7 @@ class Encoder:
             last = np.zeros(len(starts), dtype=bool)
             last[np.r_[first[1:], len(starts)] - 1] = True
             twice = np.flatnonzero((starts == ends) & ~last)
-            whole = np.unique(np.searchsorted(first, twice, side="right") - 1).tolist()
+            whole += (np.searchsorted(first, twice, side="right") - 1).tolist()
         keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         known = keys.tolist()
         slot = np.array([self.slots.get(k, -1) for k in known], dtype=np.int64)
@@ -168,15 +205,16 @@ class Encoder:
             blob = data.tobytes()
             lo, hi = starts[at[new]].tolist(), ends[at[new]].tolist()
             n = len(self.slots)
-            self._add(keys[new].tolist(), [blob[a:b].decode() for a, b in zip(lo, hi)], lead[at[new]].tolist())
+            self._add(keys[new].tolist(), [blob[a:b] for a, b in zip(lo, hi)], lead[at[new]].tolist())
             slot[new] = np.arange(n, n + len(new))
         slot = slot[inverse]
+        whole += (np.searchsorted(first, self._strange(data, starts, ends, slot), side="right") - 1).tolist()
         count = self.count[slot]
         upto = np.r_[0, np.cumsum(count)]
         ids = self.pool[np.repeat(self.first[slot] - upto[:-1], count) + np.arange(upto[-1])]
         cuts = upto[np.r_[first, len(starts)]].tolist()
         out = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        for i in whole:
+        for i in set(whole):
             out[i] = self._encode(texts[i] or "")
         return out
 

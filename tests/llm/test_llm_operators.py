@@ -394,6 +394,32 @@ def test_encoder_is_the_library(name):
         assert e.encode(texts) == [np.array(x.ids, dtype="<u4").tobytes() for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_is_a_fresh_library(name):
+    from tokenizers import Tokenizer
+
+    path = tokens.public_path(name)
+    fresh, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert added
+    texts = [x for t in added for x in (f"a {t} b", t, f"one{t}two", f"{t}\n{t}", t.upper(), f"a {t[:-1]} b", f"x {t[:2]} y")] + ["a b c", "plain text"]
+    for path_ in ("/root/testdata/sf0.01/documents.parquet",):
+        import pyarrow.parquet as pq
+
+        texts += [t or "" for t in pq.read_table(path_, columns=["text"])["text"].to_pylist()]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [e.encode(texts[i : i + 200]) for i in range(0, len(texts), 200)] == [want[i : i + 200] for i in range(0, len(texts), 200)]
+
+
+def test_parts_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "hash_words", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    e = tokens.Encoder(tokens.public_path("byte_bpe_50k.json"))
+    texts = ["abc def", "abd xyz", "abc", "", "q w", "zz abc"]
+    for _ in range(2):
+        assert e.encode(texts) == [np.array(x.ids, dtype="<u4").tobytes() for x in e.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(17)
     texts = [prose(rng, rng.choice([1, 5, 40, 300, 900])) for _ in range(80)] + ODD + [prose(rng, 9000), ODD[1]]
@@ -433,6 +459,54 @@ def test_plans_cover_everything(hist, most):
     assert dict(used) == hist and sum(m for _, m in p) <= most
 
 
+def test_prices_are_those_of_all_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        lengths = np.sort(rng.choice(np.arange(2, 12), 4, replace=False))
+        value = rng.random(4)
+        want = [0.0] * 16
+        for c in range(16):
+            want[c] = max([want[c - 1] if c else 0.0] + [want[c - x] + v for x, v in zip(lengths.tolist(), value) if x <= c])
+        assert np.allclose(packing.price(lengths, value, 15), want)
+
+
+def test_program_bounds_and_meets_the_fewest_sequences():
+    rng = np.random.default_rng(0)
+    for draw, over in ((rng.lognormal(6, 1.2, 3000), 1), (rng.integers(1, 4097, 3000), 60), (rng.integers(1200, 2401, 3000), 120)):
+        hist = defaultdict(int)
+        for x in np.clip(draw.astype(int), 1, 4096).tolist():
+            hist[x] += 1
+        p = packing.plan_with_bound(dict(hist))
+        used = defaultdict(int)
+        for s, m in p.sets:
+            assert m > 0 and sum(x * k for x, k in s.items()) <= 4096
+            for x, k in s.items():
+                used[x] += k * m
+        assert used == hist
+        n = sum(m for _, m in p.sets)
+        # never fewer than any bound, and few more
+        assert n >= p.bound >= sum(x * k for x, k in hist.items()) / 4096 - 1e-6 and n <= np.ceil(p.bound) + over
+
+
+def test_bound_is_one_of_the_program():
+    rng = random.Random(12)
+    for _ in range(30):
+        hist = {x: rng.randint(1, 3) for x in rng.sample(range(1, 11), 3)}
+        items = sorted((x for x, k in hist.items() for _ in range(k)), reverse=True)
+
+        def fewest(rest, bins):
+            if not rest:
+                return len(bins)
+            best = fewest(rest[1:], [*bins, 10 - rest[0]])
+            for i, room in enumerate(bins):
+                if room >= rest[0] and room not in bins[:i]:
+                    best = min(best, fewest(rest[1:], [*bins[:i], room - rest[0], *bins[i + 1 :]]))
+            return best
+
+        p = packing.plan_with_bound(hist, 10)
+        assert p.bound <= fewest(items, []) + 1e-9 <= sum(m for _, m in p.sets) + 2e-9
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 1), (513, 900), (3000, 70_000)):
