@@ -9,18 +9,18 @@ dimension. A query stops in a block only on proof: when its kth best lower bound
 the best bound brought from earlier blocks) exceeds what every non-member can reach.
 Possible members are then rescored exactly.
 
-Queries are a stated set, taken in blocks of bounded size against all index blocks.
+Queries are a stated set. Blocks of queries meet all blocks of the index as rows of two tables,
+so nothing passes through the driver; a task carries each query's bar from block to block.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take
 no part, as queries or candidates; vectors of another length than the query's are no
 candidates of it; a query's own row is every row of its id; ties go to the smaller id;
-fewer than k candidates are returned all; repeated ids count as separate candidates.
+fewer than k candidates are returned all; repeated ids count as separate candidates; equal
+rows of a query count once, and different vectors of one query id are each a query with k results.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from clinloom.llm.common import materialize, table
 
 BLOCK_ROWS = 2048
-#: Queries broadcast at a time: 4096 vectors, at most 4096 * 8 bytes a component.
+#: Queries in a block, at most.
 QUERY_BLOCK = 4096
 #: Lower edges of the impact classes, as shares of the block's largest impact.
 EDGES = (0.5, 0.25, 0.125, 0.0)
@@ -90,14 +90,11 @@ def search_block(block: dict, qids: np.ndarray, q: np.ndarray, k: int, floor: np
     ids = np.frombuffer(block["ids"], dtype="<i8")
     n, dim = len(ids), block["dim"]
     levels = len(block["rows"])
-    seg = []
     full = np.zeros((n, dim), dtype=np.int64)
-    for j in range(levels):
-        r, d, v = (np.frombuffer(block[c][j], dtype=t) for c, t in (("rows", "<u4"), ("dims", "<u4"), ("vals", "<i8")))
-        m = np.zeros((n, dim), dtype=np.int64)
-        m[r, d] = v
-        full += m
-        seg.append(m)
+    postings = [tuple(np.frombuffer(block[c][j], dtype=t) for c, t in (("rows", "<u4"), ("dims", "<u4"), ("vals", "<i8"))) for j in range(levels)]
+    for r, d, v in postings:
+        full[r, d] = v
+    rows = np.arange(n)  # that some query may still need
     left = [np.frombuffer(x, dtype="<i8") for x in block["left"]] + [np.zeros(dim, dtype=np.int64)]
     live = np.arange(len(q))
     acc = np.zeros((len(q), n), dtype=np.int64)
@@ -107,7 +104,14 @@ def search_block(block: dict, qids: np.ndarray, q: np.ndarray, k: int, floor: np
     for j in range(levels):
         if not len(live):
             break
-        acc[live] += _dot(q[live], seg[j].T)
+        r, d, v = postings[j]
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        here = place[r]
+        part = np.zeros((len(rows), dim), dtype=np.int64)
+        part[here[here >= 0], d[here >= 0]] = v[here >= 0]
+        used = np.flatnonzero(part.any(axis=0))  # dimensions with postings in this segment
+        acc[np.ix_(live, rows)] += _dot(q[np.ix_(live, used)], part[:, used].T)
         slack = size[live] @ left[j + 1]
         a = np.where(own[live], np.iinfo(np.int64).min // 4, acc[live])
         kth = np.full(len(live), np.iinfo(np.int64).min // 2)
@@ -122,7 +126,11 @@ def search_block(block: dict, qids: np.ndarray, q: np.ndarray, k: int, floor: np
             qi = live[done][r]
             score = np.einsum("ij,ij->i", q[qi], full[c])
             out.append((qi, ids[c], score))
-        live = live[~done]
+        # a row that no open query may need takes no more postings: its bound lies under every bar, and bars only rise
+        rows, live = np.flatnonzero(may[~done].any(axis=0)), live[~done]
+        ruled = np.ones(n, dtype=bool)
+        ruled[rows] = False
+        acc[np.ix_(live, np.flatnonzero(ruled))] = np.iinfo(np.int64).min // 4
     if not out:
         z = np.empty(0, dtype=np.int64)
         return z, z, z
@@ -138,41 +146,58 @@ def _best(qi: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndar
     return order[rank < k]
 
 
+_QUERIES = "dim int, qids binary, qkeys binary, q binary"
+
+
+def query_blocks(queries: DataFrame, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Rows of at most query_block queries of one length: their ids, keys that tell vectors of one id apart, and vectors."""
+    schema = pa.schema([("dim", pa.int32()), ("qids", pa.binary()), ("qkeys", pa.binary()), ("q", pa.binary())])
+
+    def run(batches):
+        wait: dict[int, list] = {}
+
+        def flush(dim):
+            ids, keys, rows = zip(*wait.pop(dim))
+            return pa.RecordBatch.from_pylist([{"dim": dim, "qids": np.array(ids, dtype="<i8").tobytes(), "qkeys": np.array(keys, dtype="<i8").tobytes(), "q": np.array(rows, dtype="<i8").tobytes()}], schema=schema)
+
+        for b in batches:
+            for i, k, v in zip(*(c.to_pylist() for c in b.columns)):
+                w = wait.setdefault(len(v), [])
+                w.append((i, k, v))
+                if len(w) >= query_block:
+                    yield flush(len(v))
+        for dim in list(wait):
+            yield flush(dim)
+
+    rows = queries.select("query_id", F.xxhash64("q").alias("k"), "q").dropDuplicates(["query_id", "q"])
+    return rows.mapInArrow(run, _QUERIES)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best. queries: (query_id, q array<long>).
 
-    The queries are sorted by a hash into blocks of about query_block; each block, at most
-    twice that, is broadcast once. Every task keeps a query's k best of its index blocks.
+    Every task meets some blocks of queries with some blocks of the index and keeps each query's k best of them.
     """
-    spark = index.sparkSession
-    n = queries.count()
-    parts = max(1, -(-n // query_block))
-    queries = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    found = []
-    for b in range(parts):
-        rows = queries.where(F.col("_b") == b).select("query_id", "q").toPandas()
-        for dim, g in rows.groupby(rows["q"].map(len)) if len(rows) else []:
-            for i in range(0, len(g), query_block):
-                part = g.iloc[i : i + query_block]
-                block = spark.sparkContext.broadcast((int(dim), part["query_id"].to_numpy(dtype=np.int64), np.array(part["q"].tolist(), dtype=np.int64)))
-                found.append(_search_with(index, block, k))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    local = reduce(DataFrame.unionAll, found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
+    blocks = materialize(query_blocks(queries, query_block))
+    met = blocks.hint("shuffle_replicate_nl").join(index.withColumnRenamed("dim", "d"), F.col("dim") == F.col("d"))
 
-def _search_with(index: DataFrame, block, k: int) -> DataFrame:
     def scan(batches):
-        dim, qids, q = block.value
-        floor = np.full(len(qids), np.iinfo(np.int64).min // 2)
         z = np.empty(0, dtype=np.int64)
-        best = (z, z, z)
+        now, qids, keys, q, best, floor = None, z, z, z, (z, z, z), z
+
+        def found():
+            if len(best[0]):
+                yield pa.RecordBatch.from_pydict({"query_id": qids[best[0]], "query_key": keys[best[0]], "vec_id": best[1], "score": best[2]})
+
         for b in batches:
-            for row in b.to_pylist():
-                if row["dim"] != dim:
-                    continue
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                if (row["qids"], row["q"]) != now:  # blocks of queries follow one another
+                    yield from found()
+                    now, best = (row["qids"], row["q"]), (z, z, z)
+                    qids, keys = (np.frombuffer(row[c], dtype="<i8") for c in ("qids", "qkeys"))
+                    q = np.frombuffer(row["q"], dtype="<i8").reshape(len(qids), -1)
+                    floor = np.full(len(qids), np.iinfo(np.int64).min // 2)
                 for lo in range(0, len(qids), 512):
                     s = slice(lo, lo + 512)
                     qi, ids, score = search_block(row, qids[s], q[s], k, floor[s])
@@ -183,10 +208,11 @@ def _search_with(index: DataFrame, block, k: int) -> DataFrame:
                 low = np.full(len(qids), np.iinfo(np.int64).max)
                 np.minimum.at(low, best[0], best[2])
                 floor = np.where(count >= k, low, floor)
-        if len(best[0]):
-            yield pa.RecordBatch.from_pydict({"query_id": qids[best[0]], "vec_id": best[1], "score": best[2]})
+        yield from found()
 
-    return index.mapInArrow(scan, "query_id long, vec_id long, score long")
+    local = met.select("dim", "qids", "qkeys", "q", "ids", "rows", "dims", "vals", "left").mapInArrow(scan, "query_id long, query_key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,18 @@ def test_topk_against_all_pairs(spark, monkeypatch, block):
     assert not got and topk.search(index, q.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_queries(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, query_id string, score int").repartition(2)
+    index = materialize(topk.build_index(df))
+    q = topk.quantize(df.where("vec_id = 20"), "embedding", 64.0).select(F.col("vec_id").alias("query_id"), F.col("_q").alias("q"))
+    assert sorted(tuple(r) for r in topk.search(index, q, 2).collect()) == [(20, 1, 1, 4096), (20, 2, 2, 2048)]
+    # two vectors under one id are two queries
+    two = q.unionAll(spark.createDataFrame([(20, [0, 64])], "query_id long, q array<long>"))
+    assert sorted(tuple(r) for r in topk.search(index, two, 1).collect()) == [(20, 1, 1, 4096), (20, 1, 3, 4096)]
+    assert topk.search(topk.build_index(df.limit(0)), q, 2).count() == 0
+
+
 # --- 1
 
 
