@@ -129,7 +129,7 @@ def quality_issues(df: DataFrame, outlier_method: str = "iqr", outlier_threshold
 #: What to do about each issue.
 ADVICE = {
     "numeric_as_character": "convert to numbers after cleaning",
-    "missing_values": "consider imputation, or leaving the variable out above 50 percent",
+    "missing_values": "consider imputation",
     "near_zero_variance": "consider leaving the variable out",
     "negative_in_positive": "check the sign of values",
     "empty_columns": "leave the variable out",
@@ -142,8 +142,22 @@ ADVICE = {
 }
 
 
+#: Advice where more than this percentage of a variable is missing.
+MOSTLY_MISSING, ADVICE_MOSTLY_MISSING = 50, "leave the variable out: more than half of it is missing"
+
+
+def overall(df: DataFrame) -> DataFrame:
+    """One row: n_rows, n_columns, numbers of variables by type, and the share of all cells that are missing."""
+    kinds, n = variable_types(df), len(df.columns)
+    gone = reduce(lambda a, b: a + b, [_gone(df, c).cast("long") for c in df.columns], F.lit(0))
+    counts = [F.lit(len(kinds[k])).alias(f"n_{k}") for k in ("numeric", "character", "logical", "date")]
+    one = df.select(gone.alias("gone")).agg(F.count("*").alias("n_rows"), F.sum("gone").alias("gone"))
+    return one.select("n_rows", F.lit(n).alias("n_columns"), *counts, F.round(100.0 * F.col("gone") / (n * F.col("n_rows")), 2).alias("missing_pct"))
+
+
 @dataclass
 class Overview:
+    overall: DataFrame
     variable_types: dict[str, list[str]]
     numeric: DataFrame | None
     character: DataFrame | None
@@ -159,4 +173,6 @@ def data_overview(df: DataFrame, outlier_method: str = "iqr", outlier_threshold:
     kinds = variable_types(df)
     issues = quality_issues(df, outlier_method, outlier_threshold, current_year)
     advice = F.create_map(*[F.lit(v) for p in ADVICE.items() for v in p])
-    return Overview(kinds, numeric_profile(df) if kinds["numeric"] else None, character_profile(df) if kinds["character"] else None, logical_profile(df) if kinds["logical"] else None, issues, issues.select("issue", "variable", advice[F.col("issue")].alias("recommendation")).distinct())
+    most = (F.col("issue") == "missing_values") & (F.col("value") > MOSTLY_MISSING)
+    said = F.when(most, F.lit(ADVICE_MOSTLY_MISSING)).otherwise(advice[F.col("issue")])
+    return Overview(overall(df), kinds, numeric_profile(df) if kinds["numeric"] else None, character_profile(df) if kinds["character"] else None, logical_profile(df) if kinds["logical"] else None, issues, issues.select("issue", "variable", said.alias("recommendation")).distinct())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from clinloom.plans import cleaning, cohort, statistics
+from clinloom.plans import cleaning, cohort, exports, statistics
 
-_MODULES = (cohort, cleaning, statistics)
+_MODULES = (cohort, cleaning, statistics, exports)
 flagship = cohort.flagship
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
