@@ -128,9 +128,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", row_hash: str =
         return None
     langs = sorted(counts)
     per_lang = max(1, min(per_lang, WINDOWS_IN_ALL // len(langs)))
-    shares = df.sparkSession.createDataFrame([(k, min(1.0, 1.3 * per_lang / (4 * counts[k]) + 20 / counts[k])) for k in langs], "_l string, _share double")
+    # in the plan itself: a join would deal the texts by language
+    share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, 1.3 * per_lang / (4 * counts[k]) + 20 / counts[k]))])
     draw = F.pmod(F.xxhash64(row_hash, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.join(shares, F.col(lang) == F.col("_l")).where(draw < F.col("_share")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(row_hash, F.lit(seed + 1)).alias("h"))
+    picked = known.where(draw < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(row_hash, F.lit(seed + 1)).alias("h"))
 
     def cut(batches):
         for b in in_bounded_batches(batches):
