@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +45,121 @@ def _score(s: _State, row_max: float, col_max: float, priority: float, adaptive:
     return np.where(rs > 1e-12, rs, -np.inf), np.where(cs > 1e-12, cs, -np.inf)
 
 
-def _fits(s: _State, row_max: float, col_max: float) -> bool:
-    rows = s.row_rates()[s.left > 0]
-    return bool((rows <= row_max + 1e-12).all() and (s.col_rates()[s.cols] <= col_max + 1e-12).all())
+def _first_true(holds: Callable[[np.ndarray], np.ndarray], top: int, shape: int) -> np.ndarray:
+    """The least k in 1..top-1 from which on each of the monotone conditions holds, else top."""
+    lo, hi = np.ones(shape, dtype=np.int64), np.full(shape, max(top, 1), dtype=np.int64)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        ok = holds(mid) | (lo >= hi)
+        hi, lo = np.where(ok, mid, hi), np.where(ok, lo, np.minimum(mid + 1, hi))
+    return hi
+
+
+def _remove_runs(s: _State, row_max: float, col_max: float, priority: float) -> None:
+    """The plain removal, one best row or column after the other, with a pattern's rows in runs.
+
+    Row scores change only with the columns, so the best pattern stays best until it is used up or
+    the rate of a column that it does not lack has risen beyond its score.
+    """
+    n, missing = int(s.left.sum()), (s.m * s.left[:, None]).sum(axis=0)
+
+    def col_scores(k: int, i: int) -> np.ndarray:
+        c = ((missing - k * s.m[i]) / (n - k) if n > k else np.zeros(len(missing))) - col_max
+        return np.where(s.cols & (c > 1e-12), c, -np.inf)
+
+    while n and s.cols.any():
+        r = s.row_rates() - row_max
+        score = np.where((s.left > 0) & (r > 1e-12), r / priority, -np.inf)
+        order = np.lexsort((s.first, -score))
+        column = None
+        for i in order[np.isfinite(score[order])]:
+            c = col_scores(0, i)
+            if c.max() > score[i]:
+                column = int(c.argmax())
+                break
+            top = int(s.left[i])
+            k = int(_first_true(lambda k: np.array([col_scores(int(v), i).max() > score[i] for v in k]), top, 1)[0])
+            s.left[i] -= k
+            n, missing = n - k, missing - k * s.m[i]
+            if k < top:
+                column = int(col_scores(0, i).argmax())
+                break
+            if not n:
+                return
+        if column is None:
+            c = col_scores(0, 0)
+            if not np.isfinite(c.max()):
+                return
+            column = int(c.argmax())
+        s.cols[column] = False
+
+
+def _restore(s: _State, row_max: float, col_max: float, priority: float) -> None:
+    """What was removed too early comes back, the closest to its bound first, a pattern's rows in runs.
+
+    A run ends before the first row after which another option would come first or nothing would fit.
+    """
+    eps = 1e-12
+    while True:
+        n, missing = int(s.left.sum()), (s.m * s.left[:, None]).sum(axis=0)
+        rates = s.row_rates()
+        fits_rows = bool((rates[s.left > 0] <= row_max + eps).all())
+        back = np.flatnonzero((s.left < s.total) & (rates <= row_max + eps))
+        score = -(rates - row_max) / priority
+        gone = np.flatnonzero(~s.cols)
+        col_rate = missing / n if n else np.ones(len(missing))
+        options = [(score[i], 0, s.first[i], i) for i in back] + [(-(col_rate[j] - col_max), 1, j, j) for j in gone if col_rate[j] <= col_max + eps]
+        on = s.cols
+
+        def fits_row(i: int | np.ndarray) -> np.ndarray:
+            return ((missing + s.m[i])[..., on] / (n + 1) <= col_max + eps).all(axis=-1)
+
+        def rows_with(j: int) -> bool:
+            return bool((((s.m[:, on].sum(axis=1) + s.m[:, j]) / (on.sum() + 1))[s.left > 0] <= row_max + eps).all())
+
+        can = dict(zip(back.tolist(), np.atleast_1d(fits_row(back)).tolist())) if len(back) else {}
+        options.sort()
+        for at, (_, kind, _, i) in enumerate(options):
+            if kind == 0 and fits_rows and can[i]:
+                break
+            if kind == 1 and rows_with(i) and (not n or bool((col_rate[on] <= col_max + eps).all())):
+                break
+        else:
+            return
+        if kind == 1:
+            s.cols[i] = True
+            continue
+        m, top = s.m[i], int(s.total[i] - s.left[i])
+        run = top
+        if top > 1 and on.any():
+            # i itself no longer fits
+            run = min(run, int(_first_true(lambda k: np.array([((missing + (v + 1) * m)[on] / (n + v + 1) > col_max + eps).any() for v in k]), top, 1)[0]))
+            # a pattern that comes before i begins to fit: falling rates must have come down, rising ones not yet be above
+            h = np.array([o[3] for o in options[:at] if o[1] == 0], dtype=int)
+            if len(h) and run > 1:
+                low, up = on & (m == 0), on & (m == 1)
+                begin = _first_true(lambda k: ((missing + s.m[h])[:, low] / (n + k + 1)[:, None] <= col_max + eps).all(axis=1), run, len(h))
+                end = _first_true(lambda k: ((missing + s.m[h] + k[:, None])[:, up] / (n + k + 1)[:, None] > col_max + eps).any(axis=1), run, len(h))
+                run = min(run, int(np.where(begin < end, begin, run).min()))
+        if run > 1 and len(gone):
+            s.left[i] += 1
+            j = np.array([j for j in gone if rows_with(j)], dtype=int)
+            s.left[i] -= 1
+            if len(j):
+                rate = lambda k: (missing[j] + k * m[j]) / (n + k)
+                valid, ahead = lambda k: rate(k) <= col_max + eps, lambda k: -(rate(k) - col_max) < score[i]
+                rising = m[j] == 1
+                begin = _first_true(lambda k: np.where(rising, ahead(k), valid(k)), run, len(j))
+                end = _first_true(lambda k: np.where(rising, ~valid(k), ~ahead(k)), run, len(j))
+                run = min(run, int(np.where(begin < end, begin, run).min()))
+        s.left[i] += run
 
 
 def greedy(pattern: np.ndarray, count: np.ndarray, first: np.ndarray, row_max: float, col_max: float, priority: float = 1.0, adaptive: bool = False, speedup: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """How many rows of each pattern stay, and which columns."""
     s = _State(pattern, count, first)
+    if not adaptive and not speedup:
+        _remove_runs(s, row_max, col_max, priority)
     while s.left.sum() and s.cols.any():
         rs, cs = _score(s, row_max, col_max, priority, adaptive)
         n = int((s.left * np.isfinite(rs)).sum() + np.isfinite(cs).sum())
@@ -68,30 +177,7 @@ def greedy(pattern: np.ndarray, count: np.ndarray, first: np.ndarray, row_max: f
             else:
                 s.cols[i] = False
                 todo -= 1
-    while True:  # what was removed too early comes back, the closest to its bound first
-        options = []
-        for i in np.flatnonzero(s.left < s.total):
-            rate = s.m[i, s.cols].mean() if s.cols.any() else 0.0
-            if rate <= row_max + 1e-12:
-                options.append((-(rate - row_max) / priority, 0, first[i], i))
-        n = s.left.sum()
-        for j in np.flatnonzero(~s.cols):
-            rate = (s.m[:, j] * s.left).sum() / n if n else 1.0
-            if rate <= col_max + 1e-12:
-                options.append((-(rate - col_max), 1, j, j))
-        for _, kind, _, i in sorted(options):
-            if kind == 0:
-                s.left[i] += 1
-            else:
-                s.cols[i] = True
-            if _fits(s, row_max, col_max):
-                break
-            if kind == 0:
-                s.left[i] -= 1
-            else:
-                s.cols[i] = False
-        else:
-            break
+    _restore(s, row_max, col_max, priority)
     return s.left, s.cols
 
 

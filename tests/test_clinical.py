@@ -92,6 +92,55 @@ def test_subset_keeps_its_bounds(spark, adaptive):
     assert r.row <= 0.3 + 1e-9 and r.col <= 0.2 + 1e-9 and got.count() > 20 and len(got.columns) > 2
 
 
+def _plain_subset(pattern, count, row_max, col_max, priority):
+    """One row or column a step, on lists of rows."""
+    left, cols = list(count), set(range(len(pattern[0])))
+
+    def row_rate(i, use):
+        return sum(pattern[i][j] for j in use) / len(use) if use else 0.0
+
+    def col_rate(j, left):
+        return sum(p[j] * k for p, k in zip(pattern, left)) / sum(left) if sum(left) else 0.0
+
+    def fits(left, use):
+        return all(row_rate(i, use) <= row_max + 1e-12 for i, k in enumerate(left) if k) and all(col_rate(j, left) <= col_max + 1e-12 for j in use)
+
+    while sum(left) and cols:
+        steps = [(-(row_rate(i, cols) - row_max) / priority, 0, i) for i, k in enumerate(left) if k and row_rate(i, cols) - row_max > 1e-12]
+        steps += [(-(col_rate(j, left) - col_max), 1, j) for j in cols if col_rate(j, left) - col_max > 1e-12]
+        if not steps:
+            break
+        _, kind, i = min(steps)
+        if kind:
+            cols.remove(i)
+        else:
+            left[i] -= 1
+    while True:
+        steps = [(-(row_rate(i, cols) - row_max) / priority, 0, i) for i, k in enumerate(left) if k < count[i] and row_rate(i, cols) <= row_max + 1e-12]
+        back = {j: col_rate(j, left) if sum(left) else 1.0 for j in set(range(len(pattern[0]))) - cols}
+        steps += [(-(r - col_max), 1, j) for j, r in back.items() if r <= col_max + 1e-12]
+        for _, kind, i in sorted(steps):
+            new_left, new_cols = [k + (kind == 0 and h == i) for h, k in enumerate(left)], cols | ({i} if kind else set())
+            if fits(new_left, new_cols):
+                left, cols = new_left, new_cols
+                break
+        else:
+            return left, cols
+
+
+def test_subset_in_runs_is_the_plain_loop():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        c = int(rng.integers(1, 6))
+        pattern = [[int(b) for b in f"{i:0{c}b}"] for i in rng.choice(2**c, int(rng.integers(1, 2**c + 1)), replace=False)]
+        count = rng.integers(1, 10, len(pattern))
+        row_max, col_max = rng.choice([0, 0.1, 0.25, 0.3, 0.5, 0.8], 2)
+        priority = float(rng.choice([0.5, 1, 2]))
+        left, cols = subset.greedy(np.array(pattern, dtype=bool), count, np.arange(len(pattern)), row_max, col_max, priority)
+        want = _plain_subset(pattern, count.tolist(), row_max, col_max, priority)
+        assert (left.tolist(), set(np.flatnonzero(cols).tolist())) == want
+
+
 def test_overview(spark):
     d = spark.createDataFrame([(i, float(i % 9) if i else 900.0, ["x", "X", "y"][i % 3], "5", None, i % 2 == 0) for i in range(30)], "id int, v double, s string, n string, empty string, b boolean")
     o = overview.data_overview(d)
