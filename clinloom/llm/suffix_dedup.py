@@ -5,14 +5,16 @@ minimiser: the smallest five-word hash of 26 in a row. Any passage of 50 words h
 in its first 26 places, so at least 25 words of the passage follow it, and two copies
 of a passage keep the same one.
 
-1. The sparse suffixes are sorted by the hash of their first 25 words, then by the hash of
-   all words within reach (25 to the left, 50 to the right), in ranges over all tasks. Equal neighbours
-   of different documents repeat within that whole reach: matched left and right at once.
-2. Where neighbours share the first 25 words but not the whole reach, the match ends
-   somewhere in between. The passages of 50 words that lie over such a suffix are
-   compared one by one, for each different reach once, to extend matches to the last word.
-   So are suffixes at the border of two tasks, whose neighbours a task cannot see.
-3. A document's matches merge into maximal spans.
+1. The sparse suffixes are dealt and sorted by the hash of their first 25 words, then by the hash of
+   all words within reach (25 to the left, 50 to the right). Those that nobody shares the first 25 words with go.
+   Equal neighbours of different documents repeat within that whole reach; two of them stand for all.
+2. What shares the first 25 words but not the whole reach is sorted by its words (as 64-bit codes)
+   in ranges over all tasks. Neighbours are compared word by word, which tells how far each match
+   goes to the right; ordered by the words before them, how far to the left. Each suffix gets the
+   first and last word that passages of 50 words shared with another document reach.
+3. A task cannot see the neighbours beyond its first and last 25 words in common, nor does it hold more than
+   CHUNK rows of one beginning at a time. The passages over these suffixes are compared by hash.
+4. A document's matches merge into maximal spans.
 
 Every passage of 50 words that two documents share is found, and nothing else. Words are
 runs without white space, A-Z lower-cased.
@@ -25,6 +27,8 @@ empty table gives an empty result; other columns are not returned.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +39,8 @@ from clinloom.llm.common import _BASE, SPACE_WORD, gram_hashes, in_bounded_batch
 PASSAGE = 50
 GRAM = 5
 REACH = PASSAGE // 2
+#: Suffixes that a task holds at a time.
+CHUNK = 1 << 15
 _NULL = -(2**63)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,41 +111,156 @@ def _run_ends(same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ~same])
 
 
-def compare_neighbours(suffixes: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """(doc, pos, lo, hi): with hi > lo words that repeat; with hi null a suffix whose passages are to be compared one by one."""
+def _chunks(batches, head: Callable[[pa.Table], np.ndarray], rows: int) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """Sorted rows in pieces of some size, cut between beginnings (equal entries of head) where there is a place to cut.
+
+    With each piece whether its first and its last beginning may go on outside it.
+    """
+    held: list[pa.RecordBatch] = []
+    count, started, cut = 0, False, False  # cut: the piece before ended between two beginnings
+    for b in batches:
+        held.append(b)
+        count += b.num_rows
+        if count < 2 * rows:
+            continue
+        t = pa.Table.from_batches(held)
+        h = head(t)
+        ends = np.flatnonzero(h[1:] != h[:-1]) + 1
+        at = int(ends[-1]) if len(ends) else len(h)
+        yield t.slice(0, at), not (started and cut), not len(ends)
+        started, cut = True, bool(len(ends))
+        held = t.slice(at).to_batches()
+        count = len(h) - at
+    if count:
+        yield pa.Table.from_batches(held), not (started and cut), True
+
+
+def compare_neighbours(suffixes: DataFrame, passage: int = PASSAGE, chunk: int = CHUNK) -> DataFrame:
+    """(doc, pos, lo, hi): with hi > lo words that repeat; with hi null a suffix that shares its first words, but not its reach."""
     order = ["key", "ctx", "doc", "pos"]
     ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
-        key, ctx, doc, pos, left, right = (t[c].to_numpy() for c in ("key", "ctx", "doc", "pos", "left", "right"))
-        n = len(key)
-        by_key = np.r_[_run_ends(key[1:] == key[:-1]), n]
-        by_ctx = np.r_[_run_ends((key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])), n]
-        group = np.searchsorted(by_key, by_ctx[:-1], side="right") - 1  # a reach's key
-        parts = np.bincount(group, minlength=len(by_key) - 1)
-        # sorted by document within a run, so its ends tell whether it has several
-        several = doc[by_ctx[:-1]] != doc[by_ctx[1:] - 1]
-        edge = (group == 0) | (group == len(by_key) - 2)
-        on = (parts[group] > 1) | edge
-        size = np.diff(by_ctx)
-        full = np.repeat(several, size) & (left + right >= passage)
-        lo, hi = (pos - left)[full], (pos + right)[full]
-        # a run of several documents repeats wholly: two entries, of its first and last document, stand for it
-        ask = np.unique(np.r_[by_ctx[:-1][on & several], (by_ctx[1:] - 1)[on & several], np.flatnonzero(np.repeat(on & ~several, size))])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[full]), pa.array(pos[full]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc", "pos", "lo", "hi"])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[ask]), pa.array(pos[ask]), pa.array(np.zeros(len(ask), np.int32)), pa.nulls(len(ask), pa.int32())], names=["doc", "pos", "lo", "hi"])
+        for t, open_start, open_end in _chunks((b for b in batches if b.num_rows), lambda t: t["key"].to_numpy(), 8 * chunk):
+            key, ctx, doc, pos, left, right = (t[c].to_numpy() for c in ("key", "ctx", "doc", "pos", "left", "right"))
+            n = len(key)
+            by_key = np.r_[_run_ends(key[1:] == key[:-1]), n]
+            by_ctx = np.r_[_run_ends((key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])), n]
+            group = np.searchsorted(by_key, by_ctx[:-1], side="right") - 1  # a reach's key
+            parts = np.bincount(group, minlength=len(by_key) - 1)
+            # sorted by document within a run, so its ends tell whether it has several
+            several = doc[by_ctx[:-1]] != doc[by_ctx[1:] - 1]
+            edge = (open_start & (group == 0)) | (open_end & (group == len(by_key) - 2))
+            on = (parts[group] > 1) | edge
+            size = np.diff(by_ctx)
+            full = np.repeat(several, size) & (left + right >= passage)
+            lo, hi = (pos - left)[full], (pos + right)[full]
+            # a run of several documents repeats wholly: two entries, of its first and last document, stand for it
+            ask = np.unique(np.r_[by_ctx[:-1][on & several], (by_ctx[1:] - 1)[on & several], np.flatnonzero(np.repeat(on & ~several, size))])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[full]), pa.array(pos[full]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc", "pos", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[ask]), pa.array(pos[ask]), pa.array(np.zeros(len(ask), np.int32)), pa.nulls(len(ask), pa.int32())], names=["doc", "pos", "lo", "hi"])
+
+    return ranged.mapInArrow(run, "doc long, pos int, lo int, hi int")
+
+
+def _places(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc, text, places): texts that hold suffixes asked for."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), "text")
+    return texts.join(asked.groupBy("doc").agg(F.collect_set("pos").alias("places")), "doc").select("doc", "text", "places")
+
+
+def _coded(words: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The words at these places, 0 beyond the text, as bytes that sort like the words' codes."""
+    codes = np.where((at >= 0) & (at < len(words)), words[np.clip(at, 0, len(words) - 1)], 0).astype(">u8")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * at.shape[1]), len(at), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
+
+
+def suffix_words(docs: DataFrame, asked: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """(after, before, doc, pos, left, right): the words from a suffix's place on, and those before it, the nearest first."""
+    reach = passage // 2
+
+    def run(batches):
+        for b in in_bounded_batches(batches):
+            for doc, t, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                w = Words(t.as_py())
+                every = np.sort(places.values.to_numpy())
+                every = every[every < len(w)].astype(np.int64)
+                for i in range(0, len(every), 4096):
+                    at = every[i : i + 4096]
+                    after, before = _coded(w.w, at[:, None] + np.arange(passage)), _coded(w.w, at[:, None] - 1 - np.arange(reach))
+                    ints = [pa.array(v.astype(np.int32)) for v in (at, np.minimum(at, reach), np.minimum(len(w) - at, passage))]
+                    yield pa.RecordBatch.from_arrays([after, before, pa.array(np.full(len(at), doc)), *ints], names=["after", "before", "doc", "pos", "left", "right"])
+
+    return _places(docs, asked).mapInArrow(run, "after binary, before binary, doc long, pos int, left int, right int")
+
+
+def _codes(t: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t[name].to_pylist()), dtype=">u8").reshape(t.num_rows, -1)
+
+
+def _common(a: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many words each row has in common with the one before, within the lengths of both; 0 for the first."""
+    out = np.zeros(len(a), dtype=np.int64)
+    other = a[1:] != a[:-1]
+    out[1:] = np.where(other.any(axis=1), other.argmax(axis=1), a.shape[1])
+    out[1:] = np.minimum(out[1:], np.minimum(length[1:], length[:-1]))
+    return out
+
+
+def extend_matches(after: np.ndarray, before: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes sorted by `after`: how many words to the left passages shared with another document begin, at most and at least (-1: none is).
+
+    A passage that begins l words to the left is shared by suffixes that have passage - l words after and
+    l words before in common: runs of neighbours in one order that are in one run of the other order too.
+    """
+    n = len(doc)
+    to_right = _common(after, right)
+    order = np.argsort(np.ascontiguousarray(before).view(f"S{8 * before.shape[1]}").ravel(), kind="stable")
+    to_left = _common(before[order], left[order])
+    most, least = np.full(n, -1), np.full(n, -1)
+    same_left = np.empty(n, dtype=np.int64)
+    for step in range(passage // 2 + 1):
+        same_left[order] = np.cumsum(to_left < step)
+        rows = np.flatnonzero((left >= step) & (right >= passage - step))
+        if not len(rows):
+            continue
+        both = np.cumsum(to_right < passage - step)[rows] * (n + 1) + same_left[rows]
+        by = np.lexsort((doc[rows], both))
+        rows, both = rows[by], both[by]
+        ends = np.r_[_run_ends(both[1:] == both[:-1]), len(rows)]
+        several = doc[rows[ends[:-1]]] != doc[rows[ends[1:] - 1]]
+        hit = rows[np.repeat(several, np.diff(ends))]
+        most[hit] = step
+        least[hit] = np.where(least[hit] < 0, step, least[hit])
+    return most, least
+
+
+def compare_words(words: DataFrame, passage: int = PASSAGE, chunk: int = CHUNK) -> DataFrame:
+    """(doc, pos, lo, hi): as compare_neighbours, by the words themselves; hi is null where neighbours may be out of sight."""
+    ranged = words.repartitionByRange("after", "doc", "pos").sortWithinPartitions("after")
+    head = 8 * (passage // 2)
+
+    def first_words(t: pa.Table) -> np.ndarray:
+        return np.array([v[:head] for v in t["after"].to_pylist()], dtype=f"S{head}")
+
+    def run(batches):
+        for t, open_start, open_end in _chunks((b for b in batches if b.num_rows), first_words, chunk):
+            h = first_words(t)
+            doc, pos, left, right = (t[c].to_numpy() for c in ("doc", "pos", "left", "right"))
+            outside = (open_start & (h == h[0])) | (open_end & (h == h[-1]))
+            most, least = extend_matches(_codes(t, "after"), _codes(t, "before"), doc, left, right, passage)
+            hit = most >= 0
+            lo, hi = (pos - most)[hit], (pos - least + passage)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(pos[hit]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc", "pos", "lo", "hi"])
+            if outside.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[outside]), pa.array(pos[outside]), pa.array(np.zeros(outside.sum(), np.int32)), pa.nulls(int(outside.sum()), pa.int32())], names=["doc", "pos", "lo", "hi"])
 
     return ranged.mapInArrow(run, "doc long, pos int, lo int, hi int")
 
 
 def _passages(docs: DataFrame, asked: DataFrame, passage: int) -> DataFrame:
     """(h, doc, at): hashes of the passages that lie over the suffixes asked for."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), "text")
-    rows = texts.join(asked.groupBy("doc").agg(F.collect_set("pos").alias("places")), "doc").select("doc", "text", "places")
+    rows = _places(docs, asked)
 
     def run(batches):
         for b in in_bounded_batches(batches):
@@ -177,13 +298,15 @@ def _merge(spans: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "doc_id long, start_word long, n_words long")
 
 
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, start_word, n_words): maximal spans made of passages that another document has too."""
-    found = materialize(compare_neighbours(materialize(sparse_suffixes(docs, passage)), passage))
-    single = materialize(_passages(docs, found.where(F.col("hi").isNull()), passage))
+    found = materialize(compare_neighbours(materialize(sparse_suffixes(docs, passage)), passage, chunk))
+    words = materialize(suffix_words(docs, found.where(F.col("hi").isNull()), passage))
+    compared = materialize(compare_words(words, passage, chunk))
+    single = materialize(_passages(docs, compared.where(F.col("hi").isNull()), passage))
     shared = single.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where(F.col("a") != F.col("b")).select("h")
     again = single.join(materialize(shared), "h").select("doc", F.col("at").alias("lo"), (F.col("at") + passage).alias("hi"))
-    whole = found.where(F.col("hi").isNotNull()).select("doc", "lo", "hi")
+    whole = found.unionAll(compared).where(F.col("hi").isNotNull()).select("doc", "lo", "hi")
     return _merge(whole.unionAll(again))
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -582,12 +583,43 @@ def test_repeats_against_all_windows(spark):
                 n = next(m for m in range(1, len(w) + 1) if k + m not in hit)
                 want.add((i, k, n))
     df = frame(spark, list(text.values()), list(text))
-    assert {tuple(r) for r in suffix_dedup.repeated_passages(df).collect()} == want and want
+    for chunk in (suffix_dedup.CHUNK, 2):
+        assert {tuple(r) for r in suffix_dedup.repeated_passages(df, chunk=chunk).collect()} == want and want
     assert suffix_dedup.repeated_passages(df.limit(0)).count() == 0
     same = frame(spark, [text[30], text[30], None], [1, 1, None])
     assert suffix_dedup.repeated_passages(same).count() == 0
 
 
+def test_matches_extended_word_by_word():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        n, passage = int(rng.integers(1, 30)), 8
+        left, right = rng.integers(0, 5, n), rng.integers(4, 9, n)
+        after = np.where(np.arange(8) < right[:, None], rng.integers(1, 3, (n, 8)) if rng.random() < 0.5 else 1 + (rng.random((n, 8)) < 0.1), 0)
+        before = np.where(np.arange(4) < left[:, None], 1 + (rng.random((n, 4)) < 0.2), 0)
+        doc = rng.integers(0, 4, n)
+        by = np.lexsort(after.T[::-1])
+        after, before, doc, left, right = (np.ascontiguousarray(a[by]) for a in (after.astype(">u8"), before.astype(">u8"), doc, left, right))
+        most, least = suffix_dedup.extend_matches(after, before, doc, left, right, passage)
+        for i in range(n):
+            want = [k for k in range(5) if left[i] >= k and right[i] >= passage - k and any(doc[j] != doc[i] and left[j] >= k and right[j] >= passage - k and (after[i, : passage - k] == after[j, : passage - k]).all() and (before[i, :k] == before[j, :k]).all() for j in range(n))]
+            assert (most[i], least[i]) == ((max(want), min(want)) if want else (-1, -1))
+
+
+def test_pieces_of_sorted_rows():
+    rng = random.Random(5)
+    for _ in range(100):
+        values = sorted(rng.choices(range(rng.choice([1, 3, 40])), k=rng.randint(0, 60)))
+        cuts = sorted(rng.choices(range(len(values) + 1), k=4))
+        batches = [pa.RecordBatch.from_pydict({"v": pa.array(values[a:b], pa.int64())}) for a, b in zip([0, *cuts], [*cuts, len(values)]) if b > a]
+        pieces = list(suffix_dedup._chunks(iter(batches), lambda t: t["v"].to_numpy(), 4))
+        got = [t["v"].to_pylist() for t, _, _ in pieces]
+        assert sum(got, []) == values
+        for k, (v, (_, first, last)) in enumerate(zip(got, pieces)):
+            assert first if not k or got[k - 1][-1] == v[0] else True
+            assert last if k == len(got) - 1 or got[k + 1][0] == v[-1] else True
+
+
 # --- 10
 
 
