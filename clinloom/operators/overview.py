@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinloom.functions.numbers import as_numeric
@@ -126,6 +126,35 @@ def quality_issues(df: DataFrame, outlier_method: str = "iqr", outlier_threshold
     return _union(rows)
 
 
+def issue_examples(df: DataFrame, n: int = 3, current_year: int | None = None) -> DataFrame:
+    """(issue, variable, kind, examples): the n least values, as text, that make or (kind "problematic") hinder an issue.
+
+    Of letter case: for the n least folded values that stand in several spellings, one row each with all spellings.
+    """
+    kinds = variable_types(df)
+    year = F.lit(current_year) if current_year else F.year(F.current_date())
+    cells = []
+    for c in kinds["character"] + kinds["numeric"] + kinds["date"]:
+        x, na = F.col(f"`{c}`"), _gone(df, c)
+        if c in kinds["character"]:
+            found = [("numeric_as_character", F.when(as_numeric(x).isNotNull(), "convertible").otherwise("problematic"), ~na), ("case_issues", F.lower(x), ~na)]
+        elif c in kinds["numeric"]:
+            found = [("negative_in_positive", F.lit("negative"), ~na & (x < 0))]
+        else:
+            found = [("suspicious_dates", F.lit("suspicious"), (F.year(x) < 1910) | (F.year(x) > year))]
+        cells += [F.when(on, F.struct(F.lit(i).alias("issue"), F.lit(c).alias("variable"), k.alias("kind"), x.cast("string").alias("value"))) for i, k, on in found]
+    if not cells:
+        return df.sparkSession.createDataFrame([], "issue string, variable string, kind string, examples array<string>")
+    values = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*").distinct()
+    first = Window.partitionBy("issue", "variable", "kind").orderBy("value")
+    cased = values.where("issue = 'case_issues'").groupBy("issue", "variable", "kind").agg(F.array_sort(F.collect_list("value")).alias("examples")).where(F.size("examples") > 1)
+    cased = cased.withColumn("r", F.row_number().over(Window.partitionBy("variable").orderBy("kind"))).where(F.col("r") <= n).drop("r")
+    others = values.where("issue <> 'case_issues'").withColumn("r", F.row_number().over(first)).where(F.col("r") <= n)
+    others = others.groupBy("issue", "variable", "kind").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    issues = quality_issues(df, current_year=current_year).select("issue", "variable").distinct()
+    return others.unionByName(cased).join(F.broadcast(issues), ["issue", "variable"], "left_semi")
+
+
 #: What to do about each issue.
 ADVICE = {
     "numeric_as_character": "convert to numbers after cleaning",
@@ -164,6 +193,7 @@ class Overview:
     logical: DataFrame | None
     issues: DataFrame
     recommendations: DataFrame
+    examples: DataFrame
 
 
 def data_overview(df: DataFrame, outlier_method: str = "iqr", outlier_threshold: float | None = None, sample: int | None = None, seed: int = 0, current_year: int | None = None) -> Overview:
@@ -175,4 +205,4 @@ def data_overview(df: DataFrame, outlier_method: str = "iqr", outlier_threshold:
     advice = F.create_map(*[F.lit(v) for p in ADVICE.items() for v in p])
     most = (F.col("issue") == "missing_values") & (F.col("value") > MOSTLY_MISSING)
     said = F.when(most, F.lit(ADVICE_MOSTLY_MISSING)).otherwise(advice[F.col("issue")])
-    return Overview(overall(df), kinds, numeric_profile(df) if kinds["numeric"] else None, character_profile(df) if kinds["character"] else None, logical_profile(df) if kinds["logical"] else None, issues, issues.select("issue", "variable", said.alias("recommendation")).distinct())
+    return Overview(overall(df), kinds, numeric_profile(df) if kinds["numeric"] else None, character_profile(df) if kinds["character"] else None, logical_profile(df) if kinds["logical"] else None, issues, issues.select("issue", "variable", said.alias("recommendation")).distinct(), issue_examples(df, current_year=current_year))

@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinloom.functions.numbers import as_numeric
+
 PATIENT, VISIT, DATE = "patient_id", "visit_id", "date"
 LEVELS = {PATIENT: (PATIENT,), VISIT: (PATIENT, VISIT), DATE: (PATIENT, DATE)}
 
@@ -202,16 +204,36 @@ def _keep(db: Database, name: str, df: DataFrame, selected: DataFrame, level: st
     return df.join(chosen, [df[db.maps[p][name]].eqNullSafe(chosen[f"_k_{p}"]) for p in LEVELS[use]], "left_semi")
 
 
+def _all_numbers(x: Column) -> Column:
+    return F.count(x) == F.count(as_numeric(x.cast("string")))
+
+
 def _anchor(db: Database, tables: dict[str, DataFrame], rule: Rule, level: str) -> dict[str, DataFrame]:
+    """Rows at or after each patient's first key that satisfies the rule.
+
+    Keys that are text order as numbers where all on both sides are numbers, else as text.
+    """
     keys = satisfied(db, tables, rule, level)
-    first = keys.groupBy(f"_k_{PATIENT}").agg(F.min(f"_k_{level}").alias("_from"))
+    key = F.col(f"_k_{level}")
+    text = dict(keys.dtypes)[f"_k_{level}"] == "string"
+    least = F.when(_all_numbers(key), F.min_by(key, as_numeric(key))).otherwise(F.min(key)) if text else F.min(key)
+    first = keys.groupBy(f"_k_{PATIENT}").agg(least.alias("_from"))
     out = {}
     for name, df in tables.items():
-        cond = df[db.maps[PATIENT][name]] == first[f"_k_{PATIENT}"]
-        if name in db.maps[level]:
-            out[name] = df.join(first, cond & (df[db.maps[level][name]] >= first["_from"]), "left_semi")
+        column = db.maps[level].get(name)
+        if column is None:
+            out[name] = df.join(first, df[db.maps[PATIENT][name]] == first[f"_k_{PATIENT}"], "left_semi")
+            continue
+        from_ = first
+        if text or dict(df.dtypes)[column] == "string":
+            # one row: whether either side holds other text than numbers
+            told = df.agg(_all_numbers(F.col(f"`{column}`")).alias("_here")).join(first.agg(_all_numbers(F.col("_from")).alias("_there")), F.lit(True))
+            from_ = first.join(told.select((F.col("_here") & F.col("_there")).alias("_num")), F.lit(True))
+            left, right = df[column].cast("string"), from_["_from"].cast("string")
+            later = F.when(from_["_num"], as_numeric(left) >= as_numeric(right)).otherwise(left >= right)
         else:
-            out[name] = df.join(first, cond, "left_semi")
+            later = df[column] >= from_["_from"]
+        out[name] = df.join(from_, (df[db.maps[PATIENT][name]] == from_[f"_k_{PATIENT}"]) & later, "left_semi")
     return out
 
 

@@ -176,6 +176,16 @@ def screen_anchor(spark: SparkSession, d: str) -> DataFrame:
     return _anchored(spark, d).data["visit"].select("pid", "vid", "o_totalprice")
 
 
+@query(f"""WITH {_VISIT}, a AS (SELECT pid, min(vid) AS v0 FROM visit WHERE o_totalprice > 300000 GROUP BY pid)
+ SELECT visit.pid AS pid, CAST(vid AS VARCHAR) AS vid FROM visit JOIN a ON visit.pid = a.pid WHERE vid >= v0""")
+def screen_anchor_text(spark: SparkSession, d: str) -> DataFrame:
+    """Visit ids that are text but hold numbers, from a patient's first dear one on."""
+    tables, maps = _db(spark, d)
+    tables = {n: t.withColumn("vid", F.col("vid").cast("string")) if "vid" in t.columns else t for n, t in tables.items()}
+    always = S.any_("visit", "true")
+    return S.screen_data_list(tables, always, anchor=S.any_("visit", "o_totalprice > 300000"), anchor_level=S.VISIT, **maps).data["visit"].select("pid", "vid")
+
+
 @query(f"{_ANCHOR} SELECT pid, vid FROM kept WHERE pid IN (SELECT pid FROM kept GROUP BY pid HAVING count(DISTINCT vid) >= 5)")
 def screen_followup(spark: SparkSession, d: str) -> DataFrame:
     return _anchored(spark, d, followup_min_visits=5).data["visit"].select("pid", "vid")

@@ -190,6 +190,27 @@ def data_overview_missing_advice(spark: SparkSession, d: str) -> DataFrame:
     return overview.data_overview(_faulty(spark, d), outlier_threshold=3.0, current_year=2030).recommendations.where("issue = 'missing_values'").select("variable", "recommendation")
 
 
+_SPELT = """SELECT CASE WHEN event_id % 40 = 0 THEN 'Yes' WHEN event_id % 40 = 1 THEN 'yes' WHEN event_id % 40 = 2 THEN 'no' ELSE CAST(event_id % 40 AS VARCHAR) END AS code,
+ CASE WHEN event_id % 20 = 0 THEN -(event_id % 100) - 1.5::DOUBLE ELSE CAST(event_id AS DOUBLE) END AS sign,
+ CASE WHEN event_id % 10 = 0 THEN DATE '1890-01-01' ELSE DATE '2020-05-05' END AS day FROM events"""
+
+
+@query(f"""WITH f AS ({_SPELT}), v AS (
+ SELECT DISTINCT 'numeric_as_character' AS issue, 'code' AS variable, CASE WHEN regexp_full_match(code, '[0-9]+') THEN 'convertible' ELSE 'problematic' END AS kind, code AS value FROM f
+ UNION SELECT 'negative_in_positive', 'sign', 'negative', CAST(sign AS VARCHAR) FROM f WHERE sign < 0
+ UNION SELECT 'suspicious_dates', 'day', 'suspicious', CAST(day AS VARCHAR) FROM f WHERE year(day) < 1910),
+r AS (SELECT *, row_number() OVER (PARTITION BY issue, variable, kind ORDER BY value) AS r FROM v)
+SELECT issue, variable, kind, string_agg(value, '|' ORDER BY value) AS examples FROM r WHERE r <= 3 GROUP BY 1, 2, 3
+UNION ALL SELECT 'case_issues', 'code', 'yes', 'Yes|yes'""")
+def data_overview_examples(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    code = F.when(k % 40 == 0, "Yes").when(k % 40 == 1, "yes").when(k % 40 == 2, "no").otherwise((k % 40).cast("string"))
+    sign = F.when(k % 20 == 0, -(k % 100) - 1.5).otherwise(k.cast("double"))
+    day = F.when(k % 10 == 0, "1890-01-01").otherwise("2020-05-05").cast("date")
+    found = overview.issue_examples(table(spark, d, "events").select(code.alias("code"), sign.alias("sign"), day.alias("day")), current_year=2030)
+    return found.withColumn("examples", F.array_join("examples", "|"))
+
+
 @query(f"""WITH {cohort._VISIT}, {cohort._LAB} SELECT vid FROM visit WHERE pid IN (SELECT pid FROM visit GROUP BY pid HAVING bool_or(o_totalprice > 300000))
  AND pid IN (SELECT pid FROM lab GROUP BY pid HAVING sum(l_quantity) > 900)""")
 def screen_by_text(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinloom.functions.distributions import adjust, chi2_sf, f_sf, norm_ppf, t_ppf, t_sf2, tukey_sf
-from clinloom.operators import baseline, classification, cut, encoding, models, normality, outliers, overview, quality, regression, subset, survival, units, views
+from clinloom.operators import baseline, classification, cut, encoding, models, normality, outliers, overview, quality, regression, screening, subset, survival, units, views
 from clinloom.sources import files
 
 
@@ -265,3 +265,20 @@ def test_stream(spark, tmp_path):
         assert [(r.ward, r.since_start) for r in spark.sql("SELECT * FROM streamed").collect()] == [("w1", 5)]
     finally:
         q.stop()
+
+
+def test_anchor_by_text_that_is_no_number(spark):
+    rows = [(1, "9", 0), (1, "10", 1), (1, "11", 0), (1, "8", 0), (2, "7", 1)]
+    kept = {}
+    for extra in ([], [(3, "x", 0)]):
+        visit = spark.createDataFrame(rows + extra, "patient_id int, visit_id string, hit int")
+        out = screening.screen_data_list({"visit": visit}, screening.any_("visit", "true"), anchor=screening.any_("visit", "hit = 1"), anchor_level="visit_id", patient_id_map="patient_id", visit_id_map="visit_id")
+        kept[len(extra)] = {(r.patient_id, r.visit_id) for r in out.data["visit"].collect()}
+    assert kept[0] == {(1, "10"), (1, "11"), (2, "7")}
+    assert kept[1] == kept[0] | {(1, "9"), (1, "8")}  # one visit that is no number: all compare as text
+
+
+def test_covariates_in_conflict():
+    with pytest.warns(UserWarning, match="age"):
+        assert regression.remove_conflict(("age", "sex"), ("age",)) == ("sex",)
+    assert regression.remove_conflict(("age",), ("age",), warn=False) == ()
