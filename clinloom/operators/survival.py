@@ -6,7 +6,6 @@ import warnings
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,45 +75,31 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> dict:
     return {"groups": groups, "observed": o, "expected": e, "statistic": stat, "df": k - 1, "p": chi2_sf(stat, k - 1)}
 
 
-def _pairs(m: np.ndarray, t: np.ndarray, e: np.ndarray, mo: np.ndarray, to: np.ndarray, eo: np.ndarray) -> tuple[int, int, int]:
-    """Of events (m, t) against others: pairs of which the event comes first, those whose marker is higher, those that tie."""
-    order = np.argsort(to, kind="stable")
-    mo, to, eo = mo[order], to[order], eo[order]
-    pairs = high = ties = 0
-    for i in np.flatnonzero(e == 1):
-        lo = np.searchsorted(to, t[i], side="right")
-        tied = slice(np.searchsorted(to, t[i], side="left"), lo)
-        other = np.concatenate([mo[lo:], mo[tied][eo[tied] == 0]])
-        pairs += len(other)
-        high += int((m[i] > other).sum())
-        ties += int((m[i] == other).sum())
-    return pairs, high, ties
-
-
-def concordance(df: DataFrame, time: str, event: str, marker: str, block: int = 2000) -> DataFrame:
+def concordance(df: DataFrame, time: str, event: str, marker: str) -> DataFrame:
     """(pairs, concordant, tied): pairs of which the earlier time is an event (or ties with a censored one).
 
-    Rows are dealt into blocks; a block's events meet each block once, in a task that holds two
-    blocks. So the work is the number of pairs, as it is for any pairwise measure, evenly dealt.
+    Places in the order of times, events before censored ones, are halved again and again: an
+    earlier and a later place are in the two halves of one piece at exactly one level. There the
+    later rows of lower marker are a running count, so the work is n log n, split over pieces and markers.
     """
     d = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(marker).cast("double").alias("m")).dropna()
-    n = d.count()
-    k = max(1, -(-n // block))
-    d = d.withColumn("b", F.pmod(F.xxhash64("t", "e", "m", F.monotonically_increasing_id()), F.lit(k)).cast("int"))
-    both = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    rows = both.select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "t", "e", "m")
-
-    def one(t: pa.Table) -> pa.Table:
-        p, q, b = t["p"][0].as_py(), t["q"][0].as_py(), t["b"].to_numpy()
-        time_, ev, mk = t["t"].to_numpy(), t["e"].to_numpy(), t["m"].to_numpy()
-        x, y = b == p, b == q
-        out = _pairs(mk[x], time_[x], ev[x], mk[y], time_[y], ev[y])
-        if p != q:
-            out = tuple(a + c for a, c in zip(out, _pairs(mk[y], time_[y], ev[y], mk[x], time_[x], ev[x])))
-        return pa.table({"pairs": [out[0]], "concordant": [out[1]], "tied": [out[2]]})
-
-    parts = rows.groupBy("p", "q").applyInArrow(one, "pairs long, concordant long, tied long")
-    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "concordant", "tied")])
+    d = d.groupBy("t", (F.col("e") != 1).cast("long").alias("c"), "m").agg(F.count("*").alias("n"))
+    places = running_sum(d.select("t").distinct().withColumn("one", F.lit(1).cast("long")), [], "t", ["one"]).select(F.col("t").alias("_t"), F.col("cum_one").alias("r"))
+    d = d.join(places, F.col("t") == F.col("_t")).select((2 * F.col("r") + F.col("c")).alias("place"), "c", "m", "n")
+    last = d.agg(F.max("place")).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(max(last.bit_length() - 1, 0)))
+    cut = d.withColumn("level", F.explode(levels)).withColumn("later", F.expr("(shiftright(place, level) & 1) = 1"))
+    halves = cut.groupBy("level", F.expr("shiftright(place, level + 1)").alias("piece"), "m").agg(
+        F.coalesce(F.sum(F.when(~F.col("later") & (F.col("c") == 0), F.col("n"))), F.lit(0)).alias("events"),
+        F.coalesce(F.sum(F.when(F.col("later"), F.col("n"))), F.lit(0)).alias("others"),
+    )
+    run = running_sum(halves, ["level", "piece"], "m", ["others"])
+    run = run.groupBy("level", "piece").agg(
+        (F.sum("events") * F.sum("others")).alias("pairs"),
+        F.sum(F.col("events") * (F.col("cum_others") - F.col("others"))).alias("concordant"),
+        F.sum(F.col("events") * F.col("others")).alias("tied"),
+    )
+    return run.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("pairs", "concordant", "tied")])
 
 
 def calc_cindex(df: DataFrame, time: str, event: str, marker: str) -> float:

@@ -282,3 +282,12 @@ def test_covariates_in_conflict():
     with pytest.warns(UserWarning, match="age"):
         assert regression.remove_conflict(("age", "sex"), ("age",)) == ("sex",)
     assert regression.remove_conflict(("age",), ("age",), warn=False) == ()
+
+
+def test_concordance_against_all_pairs(spark):
+    rng = random.Random(8)
+    for n, times in ((40, 6), (60, 1000), (1, 3)):
+        rows = [(float(rng.randrange(times)), rng.randrange(2), float(rng.randrange(12))) for _ in range(n)]
+        got = survival.concordance(spark.createDataFrame([*rows, (None, 1, 1.0), (1.0, 1, None)], "t double, e int, m double"), "t", "e", "m").first()
+        pairs = [(m, w) for t, e, m in rows if e for u, f, w in rows if u > t or (u == t and not f)]
+        assert tuple(got) == (len(pairs), sum(m > w for m, w in pairs), sum(m == w for m, w in pairs))
