@@ -40,8 +40,9 @@ from clinloom.llm.common import in_bounded_batches, quoted, table
 from clinloom.llm.tokens import public_path
 
 #: Characters (or ids) of a piece, words whose ids are kept in a worker and their characters, and those of a word that is no longer awaited whole.
-PIECE, KEEP_WORDS, KEEP_LENGTH, LONG_WORD = 1 << 16, 300_000, 40, 4096
+PIECE, KEEP_WORDS, KEEP_LENGTH, LONG_WORD = 1 << 16, 400_000, 40, 4096
 _SPACE = re.compile("[ \n]")
+_NO_MERGE = (1 << 60, 0)
 _OPEN: dict[str, Vocabulary] = {}
 
 
@@ -52,7 +53,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-_BYTE = byte_symbols()
 #: The words that such tokenizers tell apart; and the same in text below U+0300, with white space as the library knows it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BELOW_300 = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
@@ -103,6 +103,7 @@ class Vocabulary:
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         self.symbol = {s: vocab[s] for s in byte_symbols()}
         self.last = {s: vocab[s + end] for s in byte_symbols()}
+        self.of_byte, self.of_last_byte = ([of[c] for c in byte_symbols()] for of in (self.symbol, self.last))
         length = dict.fromkeys([*self.symbol.values(), *self.last.values()], 1)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -144,16 +145,20 @@ def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -
     """The tokens of a word: the earliest merge first, leftmost first."""
     if len(symbols) > 64:
         return _merged_long(symbols, merges)
-    ids = symbols
-    while True:
-        best, at = None, 0
-        for k, pair in enumerate(zip(ids, ids[1:])):
-            got = merges.get(pair)
-            if got and (best is None or got < best):
-                best, at = got, k
-        if best is None:
-            return ids
-        ids = [*ids[:at], best[1], *ids[at + 2 :]]
+    ids, get = list(symbols), merges.get
+    steps = [get(pair, _NO_MERGE) for pair in zip(ids, ids[1:])]
+    while steps:
+        best = min(steps)
+        if best is _NO_MERGE:
+            break
+        k = steps.index(best)
+        ids[k] = best[1]
+        del ids[k + 1], steps[k]
+        if k < len(steps):
+            steps[k] = get((ids[k], ids[k + 1]), _NO_MERGE)
+        if k:
+            steps[k - 1] = get((ids[k - 1], ids[k]), _NO_MERGE)
+    return ids
 
 
 def _merged_long(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -300,14 +305,15 @@ class Encoder:
     def _word(self, text: str) -> bytes:
         """Ids of what stands between two spaces."""
         low = text.lower()
-        if not text or max(max(text), max(low)) >= "\u0300":
+        if not text or not text.isascii() and max(max(text), max(low)) >= "\u0300":
             return _packed([i for word, _ in self.v.split(self.v.normal(text)) for i in WordStream(self.v).end(word)]) if text else b""
         # below U+0300 all characters are in normal form and their classes are settled
         ids = []
         for word in _BELOW_300.findall(low):
             got = self.v.runs.get(word)
             if got is None:
-                got = WordStream(self.v).end("".join([_BYTE[b] for b in word.encode()]))
+                v, data = self.v, word.encode()
+                got = merged([*[v.of_byte[b] for b in data[:-1]], v.of_last_byte[data[-1]]], v.merges)
                 if len(self.v.runs) > KEEP_WORDS:
                     self.v.runs.clear()
                 if len(word) <= KEEP_LENGTH:
