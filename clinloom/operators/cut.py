@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinloom.operators.quantiles import quantiles
+
 NUDGE = 1e-8
 
 
@@ -72,15 +74,16 @@ def cut_by(df: DataFrame, column: str, breaks: list[float], out: str, breaks_as_
         if not breaks_as_quantiles:
             raise ValueError("groups go with quantiles")
         names = _labels(len(breaks) + 1, "LMH" if labels is None else "ori" if label_type == "ori" else label_type, labels or [], labels)
-        q = df.groupBy(F.col(group).alias("_g")).agg(F.percentile(x, F.array(*[F.lit(b) for b in breaks])).alias("_q"), F.max(x).alias("_hi"), F.min(x).alias("_lo"))
+        q = quantiles(df, {"x": x}, [*breaks, 0.0, 1.0], [group]).select(F.col(group).alias("_g"), F.col("q_x").alias("_q"), F.col("q_x")[len(breaks) + 1].alias("_hi"), F.col("q_x")[len(breaks)].alias("_lo"))
         joined = df.join(q, df[group].eqNullSafe(q["_g"]), "left")
         flat = F.when(x.isNotNull() & (F.col("_lo") == F.col("_hi")), F.lit(names[0]))
         cat = F.coalesce(flat, _chain(x, [F.col("_q")[i] for i in range(len(breaks))], names, right))
         return joined.withColumn(out, cat).select(*df.columns, out)
-    aggs = [F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")]
     if breaks_as_quantiles:
-        aggs.append(F.percentile(x, F.array(*[F.lit(float(b)) for b in breaks])).alias("q"))
-    row = df.agg(*aggs).first()
+        q = F.col("q_x")
+        row = quantiles(df, {"x": x}, [*breaks, 0.0, 1.0]).select(q[len(breaks)].alias("lo"), q[len(breaks) + 1].alias("hi"), F.slice(q, 1, len(breaks)).alias("q")).first()
+    else:
+        row = df.agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")).first()
     if row["lo"] is None:
         return df.withColumn(out, F.lit(None).cast("string"))
     inner = list(row["q"]) if breaks_as_quantiles else [float(b) for b in breaks]

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinloom.operators.quantiles import quantiles
+
 MAD_SCALE = 1.4826
 DEFAULTS = {"mad": MAD_SCALE * 3, "iqr": 1.5, "zscore": 3.0}
 
 
+def _with_quantiles(df: DataFrame, by: list[str], x: Column, probs: list[float]) -> DataFrame:
+    """Quantiles of each group, as _q, beside its rows."""
+    q = quantiles(df, {"x": x}, probs, by).withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(by)}).withColumnRenamed("q_x", "_q").drop("n_x")
+    return df.join(q, [df[c].eqNullSafe(q[f"_g{i}"]) for i, c in enumerate(by)] or F.lit(True)).drop(*[f"_g{i}" for i in range(len(by))])
+
+
 def _with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
     """Statistics of each group beside its rows: an aggregate joined back, not a window over whole groups."""
     named = [v.alias(k) for k, v in aggs.items()]
@@ -26,11 +34,11 @@ def flag_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: fl
         raise ValueError(f"unknown method {method}")
     k, by, x = DEFAULTS[method] if threshold is None else threshold, partition_by or [], F.col(column).cast("double")
     if method == "mad":
-        one = _with_stats(df, by, _med=F.percentile(x, F.lit(0.5)))
-        two = _with_stats(one, by, _mad=F.percentile(F.abs(x - F.col("_med")), F.lit(0.5)))
-        return two.withColumn(out, F.abs(x - F.col("_med")) > k * MAD_SCALE * F.col("_mad")).select(*df.columns, out)
+        one = _with_quantiles(df, by, x, [0.5]).withColumn("_med", F.col("_q")[0]).drop("_q")
+        two = _with_quantiles(one, by, F.abs(x - F.col("_med")), [0.5])
+        return two.withColumn(out, F.abs(x - F.col("_med")) > k * MAD_SCALE * F.col("_q")[0]).select(*df.columns, out)
     if method == "iqr":
-        one = _with_stats(df, by, _q=F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
+        one = _with_quantiles(df, by, x, [0.25, 0.75])
         q1, q3 = F.col("_q")[0], F.col("_q")[1]
         return one.withColumn(out, (x < q1 - k * (q3 - q1)) | (x > q3 + k * (q3 - q1))).select(*df.columns, out)
     one = _with_stats(df, by, _m=F.avg(x), _s=F.stddev_samp(x))
@@ -66,21 +74,21 @@ def detect_outliers(df: DataFrame, column: str, method: str = "iqr", threshold:
 
 
 def outlier_counts(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float | None = None) -> DataFrame:
-    """(variable, n): the outliers of each column; two passes over the data (three for mad), however many columns."""
+    """(variable, n): the outliers of each column; a few passes over the data, however many columns."""
     if method not in DEFAULTS:
         raise ValueError(f"unknown method {method}")
     k = DEFAULTS[method] if threshold is None else threshold
     x = {i: F.col(f"`{c}`").cast("double") for i, c in enumerate(columns)}
     if method == "iqr":
-        stats = df.agg(*[F.percentile(x[i], F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{i}") for i in x])
+        stats = quantiles(df, {str(i): x[i] for i in x}, [0.25, 0.75]).select(*[F.col(f"q_{i}").alias(f"_q{i}") for i in x])
         flag = {i: (x[i] < F.col(f"_q{i}")[0] - k * (F.col(f"_q{i}")[1] - F.col(f"_q{i}")[0])) | (x[i] > F.col(f"_q{i}")[1] + k * (F.col(f"_q{i}")[1] - F.col(f"_q{i}")[0])) for i in x}
     elif method == "zscore":
         stats = df.agg(*[a for i in x for a in (F.avg(x[i]).alias(f"_m{i}"), F.stddev_samp(x[i]).alias(f"_s{i}"))])
         flag = {i: F.abs(x[i] - F.col(f"_m{i}")) / F.nullif(F.col(f"_s{i}"), F.lit(0.0)) > k for i in x}
     else:
-        mid = df.agg(*[F.percentile(x[i], F.lit(0.5)).alias(f"_m{i}") for i in x])
+        mid = quantiles(df, {str(i): x[i] for i in x}, [0.5]).select(*[F.col(f"q_{i}")[0].alias(f"_m{i}") for i in x])
         df = df.join(mid, F.lit(True))
-        stats = df.agg(*[F.percentile(F.abs(x[i] - F.col(f"_m{i}")), F.lit(0.5)).alias(f"_d{i}") for i in x])
+        stats = quantiles(df, {str(i): F.abs(x[i] - F.col(f"_m{i}")) for i in x}, [0.5]).select(*[F.col(f"q_{i}")[0].alias(f"_d{i}") for i in x])
         flag = {i: F.abs(x[i] - F.col(f"_m{i}")) > k * MAD_SCALE * F.col(f"_d{i}") for i in x}
     row = df.join(stats, F.lit(True)).agg(*[F.count_if(flag[i]).alias(f"n{i}") for i in x])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)])).alias("r")).select("r.*")

@@ -11,21 +11,21 @@ from pyspark.sql import functions as F
 
 from clinloom.functions.distributions import chi2_sf
 
-PIECES = 256
+PIECES = 128
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, cols: list[str], descending: bool = False, pieces: int = PIECES) -> DataFrame:
     """Adds cum_<c> for each c: the sum over the group's rows up to each row, inclusive, by a numeric order without ties.
 
-    A group's range is cut into pieces of equal width; windows run within pieces and over the
-    pieces' totals, so no task holds a whole group.
+    A group is cut at quantiles of a sketch of its order, so its pieces have about the same number of rows however
+    the values lie. Windows run within pieces and over the pieces' totals, so no task holds a whole group.
     """
     names = [F.col(k) for k in keys]
-    ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")).select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], "_lo", "_hi")
-    cond = [df[k].eqNullSafe(ends[f"_e{i}"]) for i, k in enumerate(keys)] or [F.lit(True)]
-    wide = F.col("_hi") - F.col("_lo")
-    cut = df.join(ends, cond).withColumn("_p", F.when(wide > 0, F.least(F.floor((F.col(order) - F.col("_lo")) / wide * pieces), F.lit(pieces - 1))).otherwise(F.lit(0)).cast("int"))
-    cut = cut.drop("_lo", "_hi", *[f"_e{i}" for i in range(len(keys))])
+    # the sketch's error is a small part of a piece
+    edges = df.groupBy(*keys).agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_cuts")).select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], "_cuts")
+    cond = [df[k].eqNullSafe(edges[f"_e{i}"]) for i, k in enumerate(keys)] or [F.lit(True)]
+    cut = df.join(edges, cond).withColumn("_p", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
+    cut = cut.drop("_cuts", *[f"_e{i}" for i in range(len(keys))])
     totals = cut.groupBy(*keys, "_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     o = F.desc("_p") if descending else F.asc("_p")
     before = Window.partitionBy(*names).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)

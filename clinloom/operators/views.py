@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clinloom.functions.aggregates import get_samples, get_valid
 from clinloom.functions.numbers import as_numeric
+from clinloom.operators.quantiles import quantiles as exact_quantiles
 
 
 def _number(df: DataFrame, c: str) -> Column:
@@ -18,12 +19,12 @@ def _number(df: DataFrame, c: str) -> Column:
 def unit_view(df: DataFrame, subject_col: str, value_col: str, unit_col: str, quantiles: tuple[float, ...] = (0.025, 0.975), conflicts_only: bool = True) -> DataFrame:
     """By subject and unit: label (null), count, nvalid, mean, sd, median and quantiles; a null unit is a unit.
 
-    conflicts_only keeps subjects of several units. One aggregate gives all quantiles; the unit
-    groups are counted from its small result.
+    conflicts_only keeps subjects of several units.
     """
     v = _number(df, value_col)
-    qs = F.percentile(v, F.array(F.lit(0.5), *[F.lit(q) for q in quantiles])).alias("_q")
-    g = df.groupBy(F.col(subject_col).alias("subject"), F.col(unit_col).alias("unit")).agg(F.count("*").alias("count"), F.count(v).alias("nvalid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), qs)
+    g = df.groupBy(F.col(subject_col).alias("subject"), F.col(unit_col).alias("unit")).agg(F.count("*").alias("count"), F.count(v).alias("nvalid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+    q = exact_quantiles(df, {"x": v}, [0.5, *quantiles], [subject_col, unit_col]).toDF("_s", "_u", "_n", "_q")
+    g = g.join(q, g["subject"].eqNullSafe(q["_s"]) & g["unit"].eqNullSafe(q["_u"])).drop("_s", "_u", "_n")
     named = [F.col("_q")[0].alias("median"), *[F.col("_q")[i].alias(f"q_{q:g}") for i, q in enumerate(quantiles, 1)]]
     out = g.select("subject", "unit", F.lit(None).cast("string").alias("label"), "count", "nvalid", "mean", "sd", *named)
     if not conflicts_only:

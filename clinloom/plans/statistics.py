@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.operators import baseline, classification, encoding, models, normality, overview, quality, regression, subset, survival
+from clinloom.operators import baseline, batched, classification, encoding, models, normality, overview, quality, regression, subset, survival
 from clinloom.plans.tables import HOLED, holed, table
 from clinloom.sources import files
 
@@ -144,6 +144,36 @@ def regression_scan(spark: SparkSession, d: str) -> DataFrame:
     return regression.to_spark(spark, regression.regression_scan(_cohort(spark, d), regression.ModelSpec("y")))
 
 
+@query()
+def regression_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The model of a yes or no, with limits of the profile likelihood."""
+    return regression.to_spark(spark, pd.DataFrame(regression.regression_fit(_cohort(spark, d), regression.ModelSpec("y", covars=("c_mktsegment",)), "age", returned="full")))
+
+
+@query()
+def rcs_plot(spark: SparkSession, d: str) -> DataFrame:
+    return regression.to_spark(spark, regression.rcs_plot(_cohort(spark, d), regression.ModelSpec("y"), "age", knot=None)["curve"])
+
+
+@query()
+def interaction_p_value(spark: SparkSession, d: str) -> DataFrame:
+    p = regression.interaction_p_value(_cohort(spark, d), regression.ModelSpec("y"), "age", "site")
+    return spark.createDataFrame([(p,)], "p double")
+
+
+_LINEAR = ("age", "site", "y")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS term, round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS statistic, n FROM (SELECT regr_slope(x, {c}) AS b, sqrt(regr_syy(x, {c}) * (1 - regr_r2(x, {c})) / regr_sxx(x, {c}) / (regr_count(x, {c}) - 2)) AS se, CAST(regr_count(x, {c}) AS BIGINT) AS n
+ FROM (SELECT c_acctbal AS x, CAST(c_custkey % 50 + 1 AS DOUBLE) AS age, CAST(c_nationkey % 4 AS DOUBLE) AS site, CAST(c_custkey % 3 = 0 AS DOUBLE) AS y FROM customer))""" for c in _LINEAR))
+def linear_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Linear models of the account balance, one a column, fitted side by side."""
+    made = [batched.Model("linear", batched.Term("value", "c_acctbal"), (c,), (batched.Term("value", c),), ("c_acctbal", c)) for c in _LINEAR]
+    fits = batched.fit_many(_cohort(spark, d), made)
+    rows = [(c, *(round(float(r[k]), 6) for k in ("estimate", "std_error", "statistic")), f.n) for c, f in zip(_LINEAR, fits) for r in f.table()[1:]]
+    return spark.createDataFrame(rows, "term string, estimate double, std_error double, statistic double, n long")
+
+
 @query()
 def interaction_scan(spark: SparkSession, d: str) -> DataFrame:
     return regression.to_spark(spark, regression.interaction_scan(_cohort(spark, d), regression.ModelSpec("y"), ["c_acctbal", "age"], ["c_mktsegment", "site"]))
@@ -151,27 +181,27 @@ def interaction_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def regression_basic_results(spark: SparkSession, d: str) -> DataFrame:
-    return regression.to_spark(spark, regression.regression_basic_results(_cohort(spark, d).toPandas(), regression.ModelSpec("y"), "age", {"Adjusted": ["c_acctbal"]}))
+    return regression.to_spark(spark, regression.regression_basic_results(_cohort(spark, d), regression.ModelSpec("y"), "age", {"Adjusted": ["c_acctbal"]}))
 
 
 @query()
 def regression_forest(spark: SparkSession, d: str) -> DataFrame:
-    return regression.to_spark(spark, regression.regression_forest(_cohort(spark, d).toPandas(), regression.ModelSpec("y"), ["age", "c_mktsegment"]))
+    return regression.to_spark(spark, regression.regression_forest(_cohort(spark, d), regression.ModelSpec("y"), ["age", "c_mktsegment"]))
 
 
 @query()
 def subgroup_forest(spark: SparkSession, d: str) -> DataFrame:
-    return regression.to_spark(spark, regression.subgroup_forest(_cohort(spark, d).toPandas(), regression.ModelSpec("y"), "age", ["site", "c_mktsegment"]))
+    return regression.to_spark(spark, regression.subgroup_forest(_cohort(spark, d), regression.ModelSpec("y"), "age", ["site", "c_mktsegment"]))
 
 
 @query()
 def predictor_effect_plot(spark: SparkSession, d: str) -> DataFrame:
-    return regression.to_spark(spark, regression.predictor_effect_plot(_cohort(spark, d).toPandas(), regression.ModelSpec("y"), "age")["curve"])
+    return regression.to_spark(spark, regression.predictor_effect_plot(_cohort(spark, d), regression.ModelSpec("y"), "age")["curve"])
 
 
 @query()
 def interaction_plot(spark: SparkSession, d: str) -> DataFrame:
-    return regression.to_spark(spark, regression.interaction_plot(_cohort(spark, d).toPandas(), regression.ModelSpec("y"), "age", "site"))
+    return regression.to_spark(spark, regression.interaction_plot(_cohort(spark, d), regression.ModelSpec("y"), "age", "site"))
 
 
 @query("""SELECT s, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median FROM
