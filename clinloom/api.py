@@ -1,6 +1,6 @@
 """Every operator by its own name."""
 
-from clinloom.functions.aggregates import fill_with_last, first_mode, get_samples, get_valid, indicate_duplicates, na_max, na_min
+from clinloom.functions.aggregates import fill_with_last, first_mode, get_valid, indicate_duplicates, na_max, na_min, sample_values
 from clinloom.functions.choice import answer_check, calculate_index, combine_multichoice, na2false, split_multichoice
 from clinloom.functions.dates import to_date
 from clinloom.functions.names import EMP_COLORS, add_lists, common_prefix, merge_ordered_vectors, name2code, vec2code
@@ -17,6 +17,7 @@ from clinloom.operators.overview import data_overview
 from clinloom.operators.quality import check_nonnum, df_view_nonnum, exclusion_count, filter_rcs_predictors, max_missing_rates
 from clinloom.operators.range_join import merge_by_range
 from clinloom.operators.regression import ModelSpec, break_at, formula_add_covs, interaction_p_value, interaction_plot, interaction_scan, predictor_effect_plot, rcs_plot, regression_basic_results, regression_fit, regression_forest, regression_scan, subgroup_forest
+from clinloom.operators.scan import last_valid
 from clinloom.operators.screen_text import parse_rule
 from clinloom.operators.screening import agg_, all_, any_, row_, screen_data_list, sql_
 from clinloom.operators.subset import get_valid_subset
@@ -27,4 +28,5 @@ from clinloom.operators.views import subject_view, to_wide, unit_view
 from clinloom.sources.files import combine_files, combine_frames, write_table
 
 time_roc_plot = time_roc
+get_samples = sample_values
 __all__ = [n for n in dir() if not n.startswith("_")]

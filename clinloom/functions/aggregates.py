@@ -48,11 +48,21 @@ def first_mode(df: DataFrame, keys: list[str], x: str, order: str, out: str = "m
     return groups.join(got, cond, "left").select(*keys, out)
 
 
-def get_samples(x: Column, n_samples: int = 10, unique_only: bool = False, collapse: str = "\n", seed: int = 0) -> Column:
-    """Up to n values of a group, chosen by a hash, joined; the same for the same data."""
-    values = F.collect_set(x) if unique_only else F.collect_list(x)
-    ranked = F.array_sort(F.transform(values, lambda v: F.struct(F.xxhash64(v, F.lit(seed)).alias("h"), v.cast("string").alias("v"))))
-    return F.array_join(F.transform(F.slice(ranked, 1, n_samples), lambda s: s["v"]), collapse)
+def sample_values(df: DataFrame, keys: list[str], x: str, n_samples: int = 10, unique_only: bool = False, collapse: str = "\n", out: str = "samples") -> DataFrame:
+    """By group (keys..., out) up to n values that are not null, those of the least md5 of their text, joined; the same for the same data.
+
+    Equal values are counted where they lie, and no task passes on more than n values of a group. A value that comes
+    several times is shown as often, unless unique_only. A group without values has an empty text.
+    """
+    v = F.col(x).cast("string")
+    counts = df.where(F.col(x).isNotNull()).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], v.alias("_v")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(F.md5(F.col("_v").cast("binary")), "_v")
+    first = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n_samples)
+    times = F.lit(1) if unique_only else F.least("_n", F.lit(n_samples)).cast("int")
+    listed = first.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.array_sort(F.collect_list(F.struct("_r", F.array_repeat("_v", times).alias("v")))).alias("_l"))
+    listed = listed.withColumn(out, F.array_join(F.slice(F.flatten(F.transform("_l", lambda s: s["v"])), 1, n_samples), collapse)).drop("_l")
+    groups = df.select(*keys).distinct()
+    return groups.join(listed, [groups[k].eqNullSafe(listed[f"_k{i}"]) for i, k in enumerate(keys)], "left").select(*keys, F.coalesce(out, F.lit("")).alias(out))
 
 
 def indicate_duplicates(df: DataFrame, columns: list[str] | None = None, out: str = "duplicated") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clinloom.functions.distributions import adjust, chi2_sf, f_sf, norm_sf, tukey_sf
 from clinloom.operators.normality import VarTypes, get_var_types
+from clinloom.operators.quantiles import quantiles
 
 EXACT_DRAWS = 10_000
 
@@ -60,7 +61,7 @@ def fisher(t: np.ndarray, draws: int = EXACT_DRAWS, seed: int = 0) -> float:
 
 def rank_sums(df: DataFrame, value: str, strata: str) -> tuple[list, np.ndarray, np.ndarray, float, int]:
     """Strata, their sizes and rank sums, the tie term and n, from counts by distinct value: ranks are running counts."""
-    from clinloom.operators.survival import running_sum
+    from clinloom.operators.scan import running_sum
 
     d = df.where(F.col(f"`{value}`").isNotNull() & F.col(f"`{strata}`").isNotNull())
     cells = d.groupBy(F.col(f"`{value}`").cast("double").alias("x"), F.col(f"`{strata}`").cast("string").alias("s")).agg(F.count("*").alias("n"))
@@ -99,10 +100,15 @@ def summaries(df: DataFrame, numeric: list[str], strata: str | None) -> pd.DataF
     cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("x")) for c in numeric])
     s = F.col(f"`{strata}`").cast("string") if strata else F.lit(None).cast("string")
     long = df.select(s.alias("s"), F.explode(cells).alias("e")).select("s", "e.*")
-    aggs = [F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")]
-    out = long.groupBy("variable").agg(*aggs).withColumn("s", F.lit(None).cast("string"))
+    aggs = [F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")]
+
+    def by(rows: DataFrame, *keys: str) -> DataFrame:
+        q = quantiles(rows, {"x": F.col("x")}, [0.25, 0.5, 0.75], list(keys)).withColumnRenamed("q_x", "q").drop("n_x")
+        return rows.groupBy(*keys).agg(*aggs).join(q, list(keys))
+
+    out = by(long, "variable").withColumn("s", F.lit(None).cast("string"))
     if strata:
-        out = out.unionByName(long.where(F.col("s").isNotNull()).groupBy("variable", "s").agg(*aggs))
+        out = out.unionByName(by(long.where(F.col("s").isNotNull()), "variable", "s"))
     return out.select("s", "variable", "n", "missing", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).toPandas()
 
 

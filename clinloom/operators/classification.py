@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinloom.functions.distributions import chi2_sf, norm_ppf
-from clinloom.operators.survival import running_sum
+from clinloom.operators.quantiles import quantiles
+from clinloom.operators.scan import running_sum
 
 
 def stack(df: DataFrame, target: str, models: list[str], as_probability: bool | list[str] = False) -> DataFrame:
@@ -59,7 +60,7 @@ def calibration(stacked: DataFrame, bins: int = 10) -> DataFrame:
 
 def _hosmer_lemeshow(stacked: DataFrame, groups: int = 10) -> dict[str, float]:
     """By model the p-value over groups of predicted probability, cut at quantiles."""
-    q = stacked.groupBy(F.col("model").alias("_m")).agg(F.percentile("p", F.array(*[F.lit(i / groups) for i in range(1, groups)])).alias("q"))
+    q = quantiles(stacked, {"p": F.col("p")}, [i / groups for i in range(1, groups)], ["model"]).select(F.col("model").alias("_m"), F.col("q_p").alias("q"))
     g = stacked.join(q, F.col("model") == F.col("_m")).withColumn("g", F.size(F.filter("q", lambda v: v < F.col("p"))))
     cells = g.groupBy("model", "g").agg(F.count("*").alias("n"), F.sum("y").alias("o"), F.sum("p").alias("e"))
     part = F.pow(F.col("o") - F.col("e"), 2) / (F.col("e") * (1 - F.col("e") / F.col("n")))
@@ -67,29 +68,32 @@ def _hosmer_lemeshow(stacked: DataFrame, groups: int = 10) -> dict[str, float]:
     return {r["model"]: chi2_sf(r["x"], r["k"] - 2) if r["k"] > 2 and r["x"] is not None else math.nan for r in out}
 
 
-def auc_table(stacked: DataFrame, level: float = 0.95) -> DataFrame:
-    """model, auc, se (DeLong), prauc, from running counts: each distinct p's share of the other class below it."""
-    t = roc_table(stacked)
+def _auc_parts() -> dict:
+    """Sums over the table of thresholds from which the AUC and its standard error (DeLong) follow: each distinct p's share of the other class below it."""
     below_neg = (F.col("N") - F.col("fp") + F.col("neg") / 2) / F.col("N")  # for cases here
     above_pos = (F.col("tp") - F.col("pos") / 2) / F.col("P")  # for controls here
-    t = t.withColumns({"v10": below_neg, "v01": above_pos})
-    g = t.groupBy("model", "P", "N").agg(
-        (F.sum(F.col("pos") * F.col("v10")) / F.first("P")).alias("auc"),
-        F.sum(F.col("pos") * F.col("v10") ** 2).alias("s10"), F.sum(F.col("neg") * F.col("v01") ** 2).alias("s01"),
-    )
+    return {"auc": F.sum(F.col("pos") * below_neg) / F.first("P"), "s10": F.sum(F.col("pos") * below_neg**2), "s01": F.sum(F.col("neg") * above_pos**2)}
+
+
+def _with_limits(g: DataFrame, level: float = 0.95) -> DataFrame:
     v10 = (F.col("s10") - F.col("P") * F.col("auc") ** 2) / (F.col("P") - 1)
     v01 = (F.col("s01") - F.col("N") * F.col("auc") ** 2) / (F.col("N") - 1)
     g = g.withColumn("se", F.sqrt(F.greatest(v10 / F.col("P") + v01 / F.col("N"), F.lit(0.0))))
     z = norm_ppf(0.5 + level / 2)
-    return g.select("model", "auc", "se", F.greatest(F.col("auc") - z * F.col("se"), F.lit(0.0)).alias("lower"), F.least(F.col("auc") + z * F.col("se"), F.lit(1.0)).alias("upper"))
+    return g.withColumns({"lower": F.greatest(F.col("auc") - z * F.col("se"), F.lit(0.0)), "upper": F.least(F.col("auc") + z * F.col("se"), F.lit(1.0))}).drop("s10", "s01")
+
+
+def auc_table(stacked: DataFrame, level: float = 0.95) -> DataFrame:
+    """model, auc, se (DeLong), lower, upper."""
+    g = roc_table(stacked).groupBy("model", "P", "N").agg(*[v.alias(k) for k, v in _auc_parts().items()])
+    return _with_limits(g, level).select("model", "auc", "se", "lower", "upper")
 
 
-def _prauc(stacked: DataFrame) -> DataFrame:
-    """The trapezoid area under precision by recall; points are one for each distinct p, so a lag over a model's range pieces."""
-    t = roc_table(stacked).withColumns({"r": F.col("tp") / F.col("P"), "q": F.col("tp") / (F.col("tp") + F.col("fp"))})
-    last = (F.col("tp") - F.col("pos")) / F.col("P")
-    before = F.when(F.col("tp") + F.col("fp") > F.col("pos") + F.col("neg"), (F.col("tp") - F.col("pos")) / (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")))
-    return t.groupBy("model").agg(F.sum(F.when(before.isNotNull(), (F.col("r") - last) * (F.col("q") + before) / 2)).alias("prauc"))
+def _prauc_part():
+    """The trapezoid area under precision by recall: what lies between each distinct p and the one above it."""
+    tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
+    before = F.when(tp + fp > pos + neg, (tp - pos) / (tp + fp - pos - neg))
+    return F.sum(F.when(before.isNotNull(), pos / F.col("P") * (tp / (tp + fp) + before) / 2))
 
 
 def classif_metrics(stacked: DataFrame, digits: int | None = None) -> DataFrame:
@@ -98,14 +102,16 @@ def classif_metrics(stacked: DataFrame, digits: int | None = None) -> DataFrame:
     The cutoff has the highest Youden index, the largest of ties; p >= cutoff is a case.
     """
     t = roc_table(stacked).withColumn("j", F.col("tp") / F.col("P") - F.col("fp") / F.col("N"))
-    best = t.groupBy("model").agg(F.max(F.struct(F.round("j", 12).alias("_j"), "threshold", "tp", "fp", "P", "N", "j")).alias("b")).select("model", "b.*")
+    top = F.max(F.struct(F.round("j", 12).alias("_j"), "threshold", "tp", "fp", "j")).alias("b")
+    one = t.groupBy("model", "P", "N").agg(*[v.alias(k) for k, v in _auc_parts().items()], _prauc_part().alias("prauc"), top)
+    best = _with_limits(one).select("model", "P", "N", "auc", "lower", "upper", "prauc", "b.*")
     tp, fp, p, n = (F.col(c).cast("double") for c in ("tp", "fp", "P", "N"))
     fn, tn, all_ = p - tp, n - fp, p + n
     acc = (tp + tn) / all_
     chance = ((tp + fp) * p + (fn + tn) * n) / (all_ * all_)
-    m = best.select("model", acc.alias("accuracy"), (tp / p).alias("sensitivity"), (tn / n).alias("specificity"), (tp / (tp + fp)).alias("ppv"), (tn / (tn + fn)).alias("npv"), (2 * tp / (2 * tp + fp + fn)).alias("f1"), ((acc - chance) / (1 - chance)).alias("kappa"), F.col("threshold").alias("cutoff"), F.col("j").alias("youden"))
+    m = best.select("model", "auc", "lower", "upper", "prauc", acc.alias("accuracy"), (tp / p).alias("sensitivity"), (tn / n).alias("specificity"), (tp / (tp + fp)).alias("ppv"), (tn / (tn + fn)).alias("npv"), (2 * tp / (2 * tp + fp + fn)).alias("f1"), ((acc - chance) / (1 - chance)).alias("kappa"), F.col("threshold").alias("cutoff"), F.col("j").alias("youden"))
     brier = stacked.groupBy("model").agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
-    out = auc_table(stacked).drop("se").join(_prauc(stacked), "model").join(m, "model").join(brier, "model")
+    out = m.join(brier, "model").select("model", "auc", "lower", "upper", "prauc", "accuracy", "sensitivity", "specificity", "ppv", "npv", "f1", "kappa", "brier", "cutoff", "youden")
     return out if digits is None else out.select("model", *[F.round(c, digits).alias(c) for c in out.columns if c != "model"])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clinloom.functions.numbers import as_numeric
 from clinloom.operators.outliers import outlier_counts
+from clinloom.operators.quantiles import quantiles
 
 NUMERIC = {"double", "float", "int", "bigint", "smallint", "tinyint"}
 
@@ -44,8 +45,13 @@ def numeric_profile(df: DataFrame, digits: int = 2) -> DataFrame:
     for c in variable_types(df)["numeric"]:
         x, na = F.col(f"`{c}`").cast("double"), _gone(df, c)
         x = F.when(~na, x)
-        parts[c] = {"n": F.count(x), "missing": F.count_if(na), "missing_pct": F.round(100 * F.avg(na.cast("double")), digits), "mean": F.round(F.avg(x), digits), "median": F.round(F.percentile(x, F.lit(0.5)), digits), "min": F.round(F.min(x), digits), "max": F.round(F.max(x), digits), "sd": F.round(F.stddev_samp(x), digits)}
-    return _unpivot(df, parts)
+        parts[c] = {"n": F.count(x), "missing": F.count_if(na), "missing_pct": F.round(100 * F.avg(na.cast("double")), digits), "mean": F.round(F.avg(x), digits), "min": F.round(F.min(x), digits), "max": F.round(F.max(x), digits), "sd": F.round(F.stddev_samp(x), digits)}
+    if not parts:
+        return _unpivot(df, parts)
+    names = list(parts)
+    mid = quantiles(df, {str(i): F.col(f"`{c}`").cast("double") for i, c in enumerate(names)}, [0.5])
+    mid = mid.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.round(F.col(f"q_{i}")[0], digits).alias("median")) for i, c in enumerate(names)])).alias("r")).select("r.*")
+    return _unpivot(df, parts).join(mid, "variable").select("variable", "n", "missing", "missing_pct", "mean", "median", "min", "max", "sd")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

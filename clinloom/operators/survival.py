@@ -6,35 +6,11 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinloom.functions.distributions import chi2_sf
-
-PIECES = 128
-
-
-def running_sum(df: DataFrame, keys: list[str], order: str, cols: list[str], descending: bool = False, pieces: int = PIECES) -> DataFrame:
-    """Adds cum_<c> for each c: the sum over the group's rows up to each row, inclusive, by a numeric order without ties.
-
-    A group is cut at quantiles of a sketch of its order, so its pieces have about the same number of rows however
-    the values lie. Windows run within pieces and over the pieces' totals, so no task holds a whole group.
-    """
-    names = [F.col(k) for k in keys]
-    # the sketch's error is a small part of a piece
-    edges = df.groupBy(*keys).agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_cuts")).select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], "_cuts")
-    cond = [df[k].eqNullSafe(edges[f"_e{i}"]) for i, k in enumerate(keys)] or [F.lit(True)]
-    cut = df.join(edges, cond).withColumn("_p", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-    cut = cut.drop("_cuts", *[f"_e{i}" for i in range(len(keys))])
-    totals = cut.groupBy(*keys, "_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    o = F.desc("_p") if descending else F.asc("_p")
-    before = Window.partitionBy(*names).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in cols])
-    out = cut.join(totals, [*[cut[k].eqNullSafe(totals[f"_e{i}"]) for i, k in enumerate(keys)], cut["_p"] == totals["_q"]])
-    inside = Window.partitionBy(*names, "_p").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {f"cum_{c}": F.sum(c).over(inside) + F.col(f"_b_{c}") for c in cols}
-    return out.withColumns(sums).select(*df.columns, *sums)
-
+from clinloom.operators.scan import next_value, running_sum
 
 def life_table(df: DataFrame, time: str, event: str, by: list[str] | None = None) -> DataFrame:
     """by..., time, n_risk, n_event, n_censor at every distinct time."""
@@ -116,8 +92,9 @@ def time_roc(df: DataFrame, time: str, event: str, marker: str, times: tuple[flo
     """AUC by time, and the curve (time, threshold, tpr, fpr): cases had the event by then, controls are beyond; censoring is weighed out."""
     d = df.select(F.col(time).cast("double").alias("t"), (F.col(event) != 0).cast("int").alias("e"), F.col(marker).cast("double").alias("m")).dropna()
     g = km_curve(d.withColumn("c", 1 - F.col("e")), "t", "c").select(F.col("time"), F.col("surv").alias("g"))
-    w = Window.orderBy("time")  # one row a distinct time
-    g = g.withColumn("before", F.coalesce(F.lag("g").over(w), F.lit(1.0)))
+    # the curve falls, so what stands before a time is the value at the next later one, going back
+    back = next_value(g.withColumn("_back", -F.col("time")), [], "_back", "g", "before").drop("_back")
+    g = back.withColumn("before", F.coalesce("before", F.lit(1.0)))
     at = {r["u"]: r["g"] for r in g.agg(*[F.min(F.when(F.col("time") <= u, F.col("g"))).alias(f"g{i}") for i, u in enumerate(times)]).select(F.explode(F.array(*[F.struct(F.lit(float(u)).alias("u"), F.coalesce(f"g{i}", F.lit(1.0)).alias("g")) for i, u in enumerate(times)])).alias("x")).select("x.*").collect()}
     d = d.join(g.select(F.col("time").alias("t"), "before"), "t")
     entry = [F.struct(F.lit(float(u)).alias("at"), F.when((F.col("t") <= u) & (F.col("e") == 1), 1 / F.col("before")).otherwise(0.0).alias("case"), F.when(F.col("t") > u, F.lit(1 / at[float(u)] if at[float(u)] else 0.0)).otherwise(0.0).alias("control")) for u in times]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinloom.functions.aggregates import get_samples, get_valid
+from clinloom.functions.aggregates import get_valid, sample_values
 from clinloom.functions.numbers import as_numeric
 from clinloom.operators.quantiles import quantiles as exact_quantiles
 
@@ -35,12 +35,20 @@ def unit_view(df: DataFrame, subject_col: str, value_col: str, unit_col: str, qu
 
 def subject_view(df: DataFrame, subject_col: str, info_cols: list[str], value_col: str | None = None, info_n_samples: int = 10, info_collapse: str = "\n", info_unique: bool = False) -> DataFrame:
     """By subject: target_subject (null), count, for a numeric value nvalid, mean, sd and median, and samples of info columns."""
+    number = bool(value_col) and dict(df.dtypes)[value_col] != "string"
     aggs = [F.first(F.lit(None).cast("string")).alias("target_subject"), F.count("*").alias("count")]
-    if value_col and dict(df.dtypes)[value_col] != "string":
+    named = df.withColumn("_subject", F.col(subject_col))
+    if number:
         v = F.col(value_col).cast("double")
-        aggs += [F.count(v).alias("nvalid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, F.lit(0.5)).alias("median")]
-    aggs += [get_samples(F.col(c), info_n_samples, info_unique, info_collapse).alias(c) for c in info_cols]
-    return df.groupBy(F.col(subject_col).alias("subject")).agg(*aggs)
+        aggs += [F.count(v).alias("nvalid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")]
+    out = df.groupBy(F.col(subject_col).alias("subject")).agg(*aggs)
+    if number:
+        q = exact_quantiles(df, {"v": v}, [0.5], [subject_col]).toDF("_s", "_n", "_q")
+        out = out.join(q, out["subject"].eqNullSafe(q["_s"])).withColumn("median", F.col("_q")[0]).drop("_s", "_n", "_q")
+    for c in info_cols:
+        one = sample_values(named, ["_subject"], c, info_n_samples, info_unique, info_collapse).toDF("_s", c)
+        out = out.join(one, out["subject"].eqNullSafe(one["_s"])).drop("_s")
+    return out
 
 
 def to_wide(df: DataFrame, keys: list[str], item_col: str, value_col: str, items: list[str] | None = None, order_by: str | None = None, agg: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clinloom.functions import aggregates as A
 from clinloom.functions import choice, dates, numbers, text
-from clinloom.operators import cut, outliers, quality, units, views
+from clinloom.operators import cut, outliers, quality, scan, units, views
 from clinloom.plans.tables import HOLED, MESSY, UNITS, holed, messy, table
 from clinloom.plans.tables import units as unit_rows
 
@@ -180,9 +180,10 @@ def get_valid(spark: SparkSession, d: str) -> DataFrame:
     return holed(spark, d).groupBy("user_id").agg(*[A.get_valid(v, o, m).alias(m) for m in ("first", "mid", "last")])
 
 
-@query()
+@query("""WITH v AS (SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(v), v) AS k FROM v)
+ SELECT event_type, string_agg(v, chr(10) ORDER BY k) AS samples FROM r WHERE k <= 10 GROUP BY 1""")
 def get_samples(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(A.get_samples(F.col("user_id"), 10, unique_only=True).alias("samples"))
+    return A.sample_values(table(spark, d, "events"), ["event_type"], "user_id", 10, unique_only=True)
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS duplicated FROM lineitem")
@@ -192,7 +193,7 @@ def indicate_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT event_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM ({HOLED})")
 def fill_with_last(spark: SparkSession, d: str) -> DataFrame:
-    return holed(spark, d).select("event_id", A.fill_with_last("value", "ts", ["user_id"]).alias("filled"))
+    return scan.last_valid(holed(spark, d), ["user_id"], "ts", "value", "filled").select("event_id", "filled")
 
 
 @query(f"SELECT max(CAST(value IS NULL AS INT)) / 5.0::DOUBLE AS row, avg(CAST(value IS NULL AS INT)) AS col FROM ({HOLED})")
