@@ -120,6 +120,7 @@ class Data:
         cols = [number(c).alias(f"c{i}") for i, c in enumerate(self.names)]
         self.clusters = clusters
         self.df = df.select(*cols, *[F.col(f"`{c}`").cast("string").alias(f"k{i}") for i, c in enumerate(clusters)]).persist()
+        self.parts = self.df.rdd.getNumPartitions()
 
     def close(self) -> None:
         self.df.unpersist()
@@ -139,7 +140,10 @@ class Data:
             for i, v in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["m", "k", "v"])
 
-        rows = self.df.select(*[f"c{i}" for i in range(k)]).mapInArrow(run, "m int, k int, v double").groupBy("m", "k").agg(F.sum("v").alias("v")).toPandas()
+        rows = self.df.select(*[f"c{i}" for i in range(k)]).mapInArrow(run, "m int, k int, v double")
+        if self.parts * len(jobs) > 4096:  # else so few numbers that the driver may add those of the partitions
+            rows = rows.groupBy("m", "k").agg(F.sum("v").alias("v"))
+        rows = rows.toPandas().groupby(["m", "k"], as_index=False)["v"].sum()
         out: list[np.ndarray | None] = [None] * len(jobs)
         for m, part in rows.groupby("m"):
             out[m] = part.sort_values("k")["v"].to_numpy()
@@ -286,7 +290,9 @@ def _logistic(data: Data, models: list[Scaled]) -> list[Fit]:
     def evaluate(asked):
         return [_split(v, len(b)) for v, (_, b) in zip(data.sums([(models[i], b) for i, b in asked], _logistic_at), asked)]
 
-    got = _newton([np.zeros(len(s.keep) + 1) for s in models], evaluate)
+    # from the share of events on
+    share = [min(max(s.y_mean, 1e-6), 1 - 1e-6) for s in models]
+    got = _newton([np.r_[math.log(y / (1 - y)), np.zeros(len(s.keep))] for s, y in zip(models, share)], evaluate)
     return [s.fit(b, cov, ll, bread=cov) for s, (b, cov, ll) in zip(models, got)]
 
 

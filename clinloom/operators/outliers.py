@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinloom.operators.quantiles import quantiles
+from clinloom.operators.quantiles import largest, quantiles
 
 MAD_SCALE = 1.4826
 DEFAULTS = {"mad": MAD_SCALE * 3, "iqr": 1.5, "zscore": 3.0}
 
 
-def _with_quantiles(df: DataFrame, by: list[str], x: Column, probs: list[float]) -> DataFrame:
+def _with_quantiles(df: DataFrame, by: list[str], x: Column, probs: list[float], most: int | None = None) -> DataFrame:
     """Quantiles of each group, as _q, beside its rows."""
-    q = quantiles(df, {"x": x}, probs, by).withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(by)}).withColumnRenamed("q_x", "_q").drop("n_x")
+    q = quantiles(df, {"x": x}, probs, by, most=most).withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(by)}).withColumnRenamed("q_x", "_q").drop("n_x")
     return df.join(q, [df[c].eqNullSafe(q[f"_g{i}"]) for i, c in enumerate(by)] or F.lit(True)).drop(*[f"_g{i}" for i in range(len(by))])
 
 
@@ -34,8 +34,9 @@ def flag_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: fl
         raise ValueError(f"unknown method {method}")
     k, by, x = DEFAULTS[method] if threshold is None else threshold, partition_by or [], F.col(column).cast("double")
     if method == "mad":
-        one = _with_quantiles(df, by, x, [0.5]).withColumn("_med", F.col("_q")[0]).drop("_q")
-        two = _with_quantiles(one, by, F.abs(x - F.col("_med")), [0.5])
+        most = largest(df, by)
+        one = _with_quantiles(df, by, x, [0.5], most).withColumn("_med", F.col("_q")[0]).drop("_q")
+        two = _with_quantiles(one, by, F.abs(x - F.col("_med")), [0.5], most)
         return two.withColumn(out, F.abs(x - F.col("_med")) > k * MAD_SCALE * F.col("_q")[0]).select(*df.columns, out)
     if method == "iqr":
         one = _with_quantiles(df, by, x, [0.25, 0.75])
@@ -86,9 +87,10 @@ def outlier_counts(df: DataFrame, columns: list[str], method: str = "iqr", thres
         stats = df.agg(*[a for i in x for a in (F.avg(x[i]).alias(f"_m{i}"), F.stddev_samp(x[i]).alias(f"_s{i}"))])
         flag = {i: F.abs(x[i] - F.col(f"_m{i}")) / F.nullif(F.col(f"_s{i}"), F.lit(0.0)) > k for i in x}
     else:
-        mid = quantiles(df, {str(i): x[i] for i in x}, [0.5]).select(*[F.col(f"q_{i}")[0].alias(f"_m{i}") for i in x])
+        most = largest(df, [])
+        mid = quantiles(df, {str(i): x[i] for i in x}, [0.5], most=most).select(*[F.col(f"q_{i}")[0].alias(f"_m{i}") for i in x])
         df = df.join(mid, F.lit(True))
-        stats = quantiles(df, {str(i): F.abs(x[i] - F.col(f"_m{i}")) for i in x}, [0.5]).select(*[F.col(f"q_{i}")[0].alias(f"_d{i}") for i in x])
+        stats = quantiles(df, {str(i): F.abs(x[i] - F.col(f"_m{i}")) for i in x}, [0.5], most=most).select(*[F.col(f"q_{i}")[0].alias(f"_d{i}") for i in x])
         flag = {i: F.abs(x[i] - F.col(f"_m{i}")) > k * MAD_SCALE * F.col(f"_d{i}") for i in x}
     row = df.join(stats, F.lit(True)).agg(*[F.count_if(flag[i]).alias(f"n{i}") for i in x])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n")) for i, c in enumerate(columns)])).alias("r")).select("r.*")

@@ -1,6 +1,7 @@
 """Exact quantiles (type 7) of any number of groups and rows, with state of fixed size.
 
-A sketch of each group brackets every quantile between two of its values. Rows below a bracket are only
+Where no group has more than PLAIN values, Spark's own percentile is used: what it keeps of a group is then bounded. Else
+a sketch of each group brackets every quantile between two of its values. Rows below a bracket are only
 counted, rows within it are counted by value, and the two neighbours of the quantile are read off the running
 counts. Where a bracket would hold many values it is first narrowed by sketches of what lies in it. So a task holds
 for a group a sketch, or a few thousand values, however large the group is and however often a value comes.
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Values of a group that are counted one by one for a quantile, about; and the sketch's accuracy (an error of 1 in so many ranks).
 GATHER, ACCURACY, GRID = 8192, 2000, 128
+#: Values of a group up to which percentile, which keeps each distinct one, is taken.
+PLAIN = 100_000
 _INF = float("inf")
 
 
@@ -23,14 +26,25 @@ def _joined(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(named, on).drop(*[f"_s{k}" for k in keys])
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], by: list[str] | None = None, gather: int = GATHER) -> DataFrame:
+def largest(df: DataFrame, by: list[str]) -> int:
+    """The rows of the largest group."""
+    return df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], by: list[str] | None = None, gather: int = GATHER, plain: int = PLAIN, most: int | None = None) -> DataFrame:
     """By group (columns by...), for each named number n_<name>, its values that are neither null nor NaN, and q_<name>, an array of its quantiles.
 
-    A group without values has an array of nulls. Several numbers are summed up side by side, as groups of one column.
+    most: how many rows the largest group has, if that is known. A group without values has an array of nulls. Several numbers are summed up side by side, as groups of one column.
     """
     by, names = by or [], list(columns)
     groups = [f"_g{i}" for i in range(len(by))]
     clean = [F.when(F.isnan(c.cast("double")), None).otherwise(c.cast("double")) for c in columns.values()]
+    if (largest(df, by) if most is None else most) <= plain:
+        flat = df.select(*[F.col(c).alias(g) for c, g in zip(by, groups)], *[c.alias(f"_x{j}") for j, c in enumerate(clean)])
+        aggs = [a for j, name in enumerate(names) for a in (F.count(f"_x{j}").alias(f"n_{name}"), F.percentile(f"_x{j}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"_q{j}"))]
+        none = F.array(*[F.lit(None).cast("double")] * len(probs))
+        res = [c for j, name in enumerate(names) for c in (F.col(f"n_{name}"), F.coalesce(f"_q{j}", none).alias(f"q_{name}"))]
+        return flat.groupBy(*groups).agg(*aggs).select(*[F.col(g).alias(c) for c, g in zip(by, groups)], *res)
     rows = df.select(*[F.col(c).alias(g) for c, g in zip(by, groups)], *([clean[0].alias("_x")] if len(names) == 1 else [F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), c.alias("_x")) for j, c in enumerate(clean)])).alias("e")]))
     if len(names) > 1:
         rows = rows.select(*groups, "e._j", "e._x")

@@ -187,7 +187,9 @@ def regression_scan(df: DataFrame, spec: ModelSpec, predictors: list[str] | None
                 forms["categorized"] = [f"{p}{v}" for v in values[1:]], [B.Term("is", p, (v,)) for v in values[1:]]
         plan += [(p, t, part[0], s.model([part], [p], covars)) for t, part in forms.items()]
     fits = {(p, t): (names, f) for (p, t, names, _), f in zip(plan, s.fit([m for *_, m in plan], least=10))}
-    counts = {p: n for p, (n, _) in zip(predictors, B.tally(s.df, [s.model([], [p], ()) for p in predictors], s.levels))}
+    counts = {p: f.n for (p, t), (_, f) in fits.items() if f and t == "original"}
+    if rest := [p for p in predictors if p not in counts]:
+        counts |= {p: n for p, (n, _) in zip(rest, B.tally(s.df, [s.model([], [p], ()) for p in rest], s.levels))}
     out = []
     for p in predictors:
         r = {"predictor": p, "nvalid": counts[p]}

@@ -153,8 +153,8 @@ def test_few_values(spark):
     assert few_values(d.limit(0), ["a"]) == {"a": []}
 
 
-@pytest.mark.parametrize(("gather", "accuracy", "grid"), [(8192, 2000, 128), (100, 200, 32)], ids=["one bracket", "narrowed"])
-def test_quantiles_equal_numpy(spark, monkeypatch, gather, accuracy, grid):
+@pytest.mark.parametrize(("gather", "accuracy", "grid", "plain"), [(8192, 2000, 128, 0), (100, 200, 32, 0), (8192, 2000, 128, 100_000)], ids=["one bracket", "narrowed", "plain"])
+def test_quantiles_equal_numpy(spark, monkeypatch, gather, accuracy, grid, plain):
     monkeypatch.setattr("clinloom.operators.quantiles.ACCURACY", accuracy)
     monkeypatch.setattr("clinloom.operators.quantiles.GRID", grid)
     rng = np.random.default_rng(0)
@@ -163,12 +163,12 @@ def test_quantiles_equal_numpy(spark, monkeypatch, gather, accuracy, grid):
     p.loc[0, "x"], p.loc[p.index % 7 == 0, "y"] = 1e300, np.nan  # one far value; ties and missing ones
     d = spark.createDataFrame(p).unionAll(spark.createDataFrame([("empty", None, None)], "g string, x double, y double")).repartition(5)
     for by in ([], ["g"]):
-        for r in quantiles(d, {"x": F.col("x"), "y": F.col("y")}, probs, by, gather).collect():
+        for r in quantiles(d, {"x": F.col("x"), "y": F.col("y")}, probs, by, gather, plain).collect():
             part = p if not by else p[p["g"].isna()] if r["g"] is None else p[p["g"] == r["g"]]
             for c in "xy":
                 v = part[c].dropna().to_numpy()
                 assert r[f"n_{c}"] == len(v)
                 assert r[f"q_{c}"] == ([None] * 5 if not len(v) else pytest.approx(np.quantile(v, probs).tolist(), rel=1e-12))
-    none = quantiles(d.limit(0), {"x": F.col("x")}, [0.5]).first()
+    none = quantiles(d.limit(0), {"x": F.col("x")}, [0.5], plain=plain - 1).first()
     assert none["n_x"] == 0 and none["q_x"] == [None]
-    assert quantiles(d, {"x": F.col("x")}, [0.5], ["g"], gather).where("g = 'empty'").first()["q_x"] == [None]
+    assert quantiles(d, {"x": F.col("x")}, [0.5], ["g"], gather, plain).where("g = 'empty'").first()["q_x"] == [None]

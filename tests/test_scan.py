@@ -24,10 +24,10 @@ def rows():
 def test_scans_equal_loops(spark, rows, keys):
     d = spark.createDataFrame(rows, "g string, o double, x double").dropDuplicates(["o"] if not keys else ["g", "o"]).repartition(4).persist()
     p = d.toPandas()
-    got = scan.last_valid(d, keys, "o", "x", "last", 16)
-    got = scan.max_before(got, keys, "o", "x", "top", 16)
-    got = scan.next_value(got, keys, "o", "o", "next", 16)
-    got = scan.running_sum(got.withColumn("one", F.lit(1)), keys, "o", ["one"], pieces=16)
+    got = scan.last_valid(d, keys, "o", "x", "last", 16, 10)
+    got = scan.max_before(got, keys, "o", "x", "top", 16, 10)
+    got = scan.next_value(got, keys, "o", "o", "next", 16, 10)
+    got = scan.running_sum(got.withColumn("one", F.lit(1)), keys, "o", ["one"], pieces=16, most=10)
     got = {(r.g, r.o): (r.last, r.top, r.next, r.cum_one) for r in got.collect()}
     assert len(got) == len(p)
     for _, part in p.groupby("g", dropna=False) if keys else [(None, p)]:
@@ -42,16 +42,24 @@ def test_scans_equal_loops(spark, rows, keys):
 
 
 def test_pieces_have_equal_shares(spark, rows):
-    n = [r["count"] for r in scan.cut(spark.createDataFrame(rows, "g string, o double, x double").where("g = 'hot'"), ["g"], "o", 16).groupBy("_p").count().collect()]
+    n = [r["count"] for r in scan.cut(spark.createDataFrame(rows, "g string, o double, x double").where("g = 'hot'"), ["g"], "o", 16, 10).groupBy("_p").count().collect()]
     assert len(n) == 16 and max(n) <= 2 * sum(n) / len(n)  # the far value is in a piece with others
 
 
-def test_last_valid_without_a_place(spark):
+@pytest.mark.parametrize("most", [2, 100])
+def test_last_valid_without_a_place(spark, most):
     d = spark.createDataFrame([(None, 5.0), (1.0, None), (2.0, 3.0), (3.0, None)], "o double, x double")
-    assert sorted((r.o or 0, r.f) for r in scan.last_valid(d, [], "o", "x", "f").collect()) == [(0, 5.0), (1.0, 5.0), (2.0, 3.0), (3.0, 3.0)]
+    assert sorted((r.o or 0, r.f) for r in scan.last_valid(d, [], "o", "x", "f", most=most).collect()) == [(0, 5.0), (1.0, 5.0), (2.0, 3.0), (3.0, 3.0)]
     assert scan.last_valid(d.limit(0), [], "o", "x", "f").count() == 0
 
 
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_bounds_of_ranges_split_or_not(spark, rows, keys):
+    d = spark.createDataFrame(rows, "g string, o double, x double").dropDuplicates(["o"]).withColumns({"e": F.col("o") + 40 * F.hash("o") % 7, "r": F.col("o") - 20})
+    a, b = (sorted(map(tuple, scan.clip_bounds(d, keys, "o", "e", "r", 1e300, most).collect()), key=str) for most in (10, 10**6))
+    assert a == b and len(a) > 3000
+
+
 @pytest.mark.parametrize("fold", [True, False])
 def test_containment_equals_brute_force(spark, fold):
     rng = random.Random(2)
