@@ -52,7 +52,7 @@ def rules_from_table(rows: list[tuple[str, str | None, str | float | None]]) ->
 def unit_standardize(df: DataFrame, subject_col: str, value_col: str, unit_col: str, rules: list[UnitRule], extract_numbers: bool = False, order_by: str | None = None) -> DataFrame:
     """Values converted by their subject's rule; the whole subject then bears the target unit.
 
-    Without a target the most frequent unit that is not being changed is taken; a subject with
+    Without a target the most frequent unit that is not being changed is taken (an error if there is none; one more job); a subject with
     one unit and no target is left alone. Units that no rule names take the target's name
     without conversion. Rules are a small table that joins on subject and unit.
     """
@@ -78,6 +78,8 @@ def unit_standardize(df: DataFrame, subject_col: str, value_col: str, unit_col:
         other = mine.join(change_df, (F.col(subject_col) == F.col("_s")) & F.col(unit_col).eqNullSafe(F.col("_u")), "left_anti").where(F.col(unit_col).isNotNull())
         common = first_mode(other, [subject_col], unit_col, order_by or unit_col, "_m").select(F.col(subject_col).alias("_cs"), "_m")
         found = several.join(common, F.col("_ms") == F.col("_cs"), "left").select(F.col("_ms").alias("_fs"), "_m")
+        if bad := sorted(str(r[0]) for r in found.where(F.col("_m").isNull()).select("_fs").take(5)):
+            raise ValueError(f"no target unit can be found, as all units are to be changed: {', '.join(bad)}")
         targets = targets.join(found, F.col("_ts") == F.col("_fs"), "left").where(F.col("_t").isNotNull() | F.col("_fs").isNotNull()).select("_ts", F.coalesce("_t", "_m").alias("_t"))
     out = out.join(targets, F.col(subject_col) == F.col("_ts"), "left")
     out = out.join(change_df, (F.col(subject_col) == F.col("_s")) & F.col(unit_col).eqNullSafe(F.col("_u")), "left")

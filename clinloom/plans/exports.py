@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -221,7 +220,7 @@ def screen_by_text(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def result_table_sink(spark: SparkSession, d: str) -> DataFrame:
     """Nations written as a result table and read back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    root = files.shared_root(spark)
     path = f"{root}/result-{uuid.uuid4().hex}"
     n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     files.write_table(n, path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,9 +105,22 @@ def logrank(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(str(g), float(o), float(e), r["statistic"], r["p"]) for g, o, e in zip(r["groups"], r["observed"], r["expected"])], "grp string, observed double, expected double, statistic double, p double")
 
 
-@query()
+@query(f"""WITH {_SURV}, c AS (SELECT t, g, count(*) AS n, sum(e) AS d FROM v GROUP BY 1, 2), k AS (SELECT t, g, coalesce(n, 0) AS n, coalesce(d, 0) AS d FROM (SELECT DISTINCT t FROM v) CROSS JOIN (SELECT DISTINCT g FROM v) LEFT JOIN c USING (t, g)),
+ r AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ng FROM k), s AS (SELECT *, sum(ng) OVER (PARTITION BY t) AS na, sum(d) OVER (PARTITION BY t) AS da FROM r)
+ SELECT g AS grp, CAST(sum(d) AS DOUBLE) AS observed, round(sum(da * ng / na), 6) AS expected FROM s GROUP BY 1""")
+def logrank_expected(spark: SparkSession, d: str) -> DataFrame:
+    """What the test compares: events by group, and those expected if all groups were alike."""
+    return logrank(spark, d).select("grp", "observed", F.round("expected", 6).alias("expected"))
+
+
+@query(f"""WITH {_SURV}, c AS (SELECT t, count(*) AS n, sum(1 - e) AS d FROM v GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM c),
+ g AS (SELECT t, product(1 - d / k) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM r), b AS (SELECT t, s, coalesce(lag(s) OVER (ORDER BY t), 1.0) AS before FROM g),
+ u AS (SELECT unnest([60.0, 120.0])::DOUBLE AS until), gu AS (SELECT until, coalesce(min(s), 1.0) AS gs FROM u LEFT JOIN b ON b.t <= until GROUP BY 1),
+ w AS (SELECT until, m, CASE WHEN v.t <= until AND e = 1 THEN 1 / before ELSE 0 END AS c, CASE WHEN v.t > until THEN 1 / gs ELSE 0 END AS n FROM v JOIN b ON v.t = b.t CROSS JOIN gu), q AS (SELECT until, m, sum(c) AS c, sum(n) AS n FROM w GROUP BY 1, 2)
+ SELECT until AS time, m AS threshold, round(sum(c) OVER o / sum(c) OVER (PARTITION BY until), 6) AS tpr, round(sum(n) OVER o / sum(n) OVER (PARTITION BY until), 6) AS fpr FROM q WINDOW o AS (PARTITION BY until ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def time_roc(spark: SparkSession, d: str) -> DataFrame:
-    return survival.time_roc(_surv(spark, d), "t", "e", "m", (60, 120))[1]
+    curve = survival.time_roc(_surv(spark, d), "t", "e", "m", (60, 120))[1]
+    return curve.select("time", "threshold", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr")])
 
 
 @query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem""")
@@ -261,7 +272,7 @@ def data_overview_issues(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def combine_files(spark: SparkSession, d: str) -> DataFrame:
     """Nations in two files that overlap, written as CSV and read as one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    root = files.shared_root(spark)
     path = f"{root}/combine-{spark.sparkContext.applicationId}-{id(d)}"
     n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     n.where("n_nationkey < 15").unionAll(n.where("n_nationkey >= 10")).coalesce(2).write.mode("overwrite").option("header", True).csv(path)

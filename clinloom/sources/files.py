@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that executors and driver share, named in spark.checkpoint.dir; where that is unset, a temporary one, but only if all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="clinloom-")
+
+
 def list_files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> list[str]:
     """Files of a folder in any store that Spark reads, by a regular expression on their names."""
     jvm = spark._jvm

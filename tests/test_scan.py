@@ -84,3 +84,11 @@ def test_samples(spark):
     assert one == {"a": ",".join(order[:5]), "b": "", None: "z"}
     more = {r.g: r.samples for r in sample_values(d, ["g"], "x", 5, False, ",").collect()}
     assert more["a"] == ",".join(v for v in order for _ in range(sum(k % 12 == int(v[1:]) for k in range(40))))[: len(more["a"])] and more[None] == "z,z"
+
+
+def test_units_without_a_target(spark):
+    from clinloom.operators import units
+
+    d = spark.createDataFrame([("a", 1.0, "g"), ("a", 2.0, "mg")], "s string, v double, u string")
+    with pytest.raises(ValueError, match="no target unit"):
+        units.unit_standardize(d, "s", "v", "u", [units.UnitRule("a", None, {"g": 2.0, "mg": 3.0})])
