@@ -55,7 +55,7 @@ def test_last_valid_without_a_place(spark, most):
 
 @pytest.mark.parametrize("keys", [["g"], []])
 def test_bounds_of_ranges_split_or_not(spark, rows, keys):
-    d = spark.createDataFrame(rows, "g string, o double, x double").dropDuplicates(["o"]).withColumns({"e": F.col("o") + 40 * F.hash("o") % 7, "r": F.col("o") - 20})
+    d = spark.createDataFrame(rows, "g string, o double, x double").dropDuplicates(["o"]).withColumns({"e": F.col("o") + F.pmod(F.hash("o"), F.lit(300)), "r": F.col("o") - 20})
     a, b = (sorted(map(tuple, scan.clip_bounds(d, keys, "o", "e", "r", 1e300, most).collect()), key=str) for most in (10, 10**6))
     assert a == b and len(a) > 3000
 
