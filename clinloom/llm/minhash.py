@@ -84,27 +84,27 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-_SIGN = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
+_SIGN = "doc_id long, h long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """docs: (doc_id, text). h, a hash of the text, tells rows of one doc_id apart."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in in_bounded_batches(batches):
             rows = {k: [] for k in schema.names}
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
                 s = shingles(t.as_py())
                 k1, k2, bands, bits = 0, 0, None, None
                 if len(s):
                     m = minima(s)
                     (k1, k2), bands, bits = set_key(s), band_keys(m), packed(m)
-                for k, v in zip(schema.names, (i, len(s), k1, k2, bands, bits)):
+                for k, v in zip(schema.names, (i, h, len(s), k1, k2, bands, bits)):
                     rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGN)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, _SIGN)
 
 
 def estimate(a: list, b: list):
@@ -123,18 +123,18 @@ def estimate(a: list, b: list):
 
 
 def _sets_of(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(r, s) for the classes need (r, k1, k2): their sets, from the texts of their smallest documents."""
-    schema = pa.schema([("r", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.binary())])
+    """(r, s) for the classes need (r, doc_id, k1, k2): their sets, from the texts of their smallest documents."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.binary())])
 
     def run(batches):
         for b in in_bounded_batches(batches):
-            got = [(i, shingles(t.as_py())) for i, t in zip(b.column(0).to_pylist(), b.column(1))]
-            keys = [set_key(s) for _, s in got]
-            yield pa.RecordBatch.from_pydict({"r": [g[0] for g in got], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "s": [g[1].tobytes() for g in got]}, schema=schema)
+            got = [shingles(t.as_py()) for t in b.column(0)]
+            keys = [set_key(s) for s in got]
+            yield pa.RecordBatch.from_pydict({"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "s": [s.tobytes() for s in got]}, schema=schema)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("r"), "text").join(need.select("r").distinct(), "r", "left_semi")
-    sets = texts.mapInArrow(run, "r long, k1 long, k2 long, s binary")
-    return sets.join(need.select("r", "k1", "k2"), ["r", "k1", "k2"], "left_semi").dropDuplicates(["r", "k1", "k2"]).select("r", "s")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(need.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(run, "k1 long, k2 long, s binary")
+    return sets.join(need.select("r", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["r"]).select("r", "s")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -242,11 +242,20 @@ def _block_links(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    return _judged(docs, percent, stars, block).drop("h")
+
+
+def _judged(docs: DataFrame, percent: int, stars: int = STARS, block: int = BLOCK) -> DataFrame:
+    """near_duplicates() with h, the hash of the row's text.
+
+    A class has a number of its own, r, as texts of one doc_id may be in several classes; the
+    written table keeps it.
+    """
     floor = percent / 100 - SLACK
     signed = materialize(signatures(docs))
     whole = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    first = F.min(F.struct(F.col("doc_id").alias("r"), "n_shingles", "bands", "bits")).alias("m")
-    classes = materialize(whole.groupBy("k1", "k2").agg(first).select("k1", "k2", "m.*"))
+    first = F.min(F.struct("doc_id", "n_shingles", "bands", "bits")).alias("m")
+    classes = materialize(whole.groupBy("k1", "k2").agg(first).select("k1", "k2", "m.*", F.monotonically_increasing_id().alias("r")))
 
     members = classes.select("r", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("r").alias("lead")).where(F.col("n") > 1)
@@ -260,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, bloc
 
     pairs = likely(buckets.where(F.col("r") != F.col("lead")).select(F.col("lead").alias("a"), F.col("r").alias("b")))
     need = pairs.select(F.col("a").alias("r")).unionAll(pairs.select(F.col("b").alias("r"))).unionAll(buckets.where(F.col("n") > 2).select("r")).distinct()
-    sets = materialize(_sets_of(docs, classes.select("r", "k1", "k2").join(need, "r", "left_semi")))
+    sets = materialize(_sets_of(docs, classes.select("r", "doc_id", "k1", "k2").join(need, "r", "left_semi")))
     links = materialize(confirm(pairs, sets, percent))
     labels = materialize(connected_components(links))
     # a smallest member has met all of its bucket
@@ -288,18 +297,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, stars: int = STARS, bloc
     if not rest.isEmpty():
         also(_block_links(rest, classes, sets, percent, block))
 
-    out = signed.join(classes.select("k1", "k2", "r"), ["k1", "k2"], "left")
-    out = out.join(labels.withColumnRenamed("node", "r"), "r", "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.coalesce("component", "r", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    known = classes.select("k1", "k2", "r", F.col("doc_id").alias("least"))
+    linked = known.join(labels.withColumnRenamed("node", "r"), "r").select("k1", "k2", "component", "least")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.join(least, "component").select("k1", "k2", "component_id")
+    alone = known.join(labels.withColumnRenamed("node", "r"), "r", "left_anti").select("k1", "k2", F.col("least").alias("component_id"))
+    out = signed.join(linked.unionAll(alone), ["k1", "k2"], "left")
+    has_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(has_class, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "h", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each group the one of the smallest doc_id, all rows of other documents."""
-    gone = near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    """The rows of docs that stay: of each group those of the smallest doc_id, and all rows that are linked with nothing. Each row follows its own text."""
+    gone = _judged(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select("doc_id", "h").alias("g")
+    kept = docs.alias("d").join(gone, (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.h")), "left_anti")
+    return kept.select(*map(quoted, docs.columns))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +321,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id. Null and empty texts and null ids stay, as do all rows of a doc_id that stays; columns are those of docs."""
+    """Of each group of near-duplicates the document of the smallest doc_id. Null and empty texts and null ids stay; each row follows its own text, so other texts under a doc_id that goes stay; columns are those of docs."""
     return dedup(docs, percent=80)
 
 

@@ -297,6 +297,27 @@ def test_minhash_defined_cases(spark):
     assert minhash.near_duplicates(df.select("doc_id", "text").limit(0)).count() == 0
 
 
+def test_texts_of_one_doc_id_are_judged_apart(spark):
+    rng = random.Random(31)
+    a, b = prose(rng, 60), prose(rng, 60)
+    near = lambda t: t + " tail"
+    assert len(minhash.shingles(a)) == 56
+
+    def judged(rows):
+        df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+        out = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df.select("doc_id", "text")).collect())
+        return out, sorted((r.doc_id, r.text) for r in minhash.dedup(df).collect())
+
+    out, kept = judged([(1, a), (5, a), (5, b)])
+    assert out == [(1, 1, True), (5, 1, False), (5, 5, True)] and kept == sorted([(1, a), (5, b)])
+    out, kept = judged([(3, near(a)), (5, a), (5, b), (8, near(b))])
+    assert out == [(3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False)] and kept == sorted([(3, near(a)), (5, b)])
+    # clashing and dotted columns pass through
+    odd = frame(spark, [a, a, b], [1, 5, 5]).withColumns({"h": F.lit(1), "g.h": F.lit(2), "least": F.lit(3), "component_id": F.lit(4)})
+    left = minhash.dedup(odd)
+    assert left.columns == odd.columns and sorted((r[0], r[4], r[5], r[6], r[7]) for r in left.collect()) == [(1, 1, 2, 3, 4), (5, 1, 2, 3, 4)]
+
+
 def test_near_duplicate_stage_takes_a_similarity_of_four_fifths(spark):
     w = [f"w{i}" for i in range(94)]  # 90 shingles; each changed word far from others costs five
     a, b, c = list(w), list(w), list(w)
