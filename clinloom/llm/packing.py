@@ -5,8 +5,9 @@ the problem is its length histogram, of at most `capacity` numbers: a configurat
 program (which sets of lengths fit a sequence, and how many sequences take each set).
 It is solved by multiplicative weights on its dual. A knapsack dynamic program over the
 capacity prices, in one pass, the best set around every length, which also bounds the
-number of sequences from below; lengths that are covered more than others lose weight. Rounding
-takes whole numbers of each set as far as pieces remain and solves again for what is left.
+number of sequences from below; every round's sets cover every length, and lengths in poor sets
+gain weight. The first solution is best-fit decreasing's, so none is longer. Rounding takes whole
+numbers of each set as far as pieces remain and solves again for what is left.
 
 The plan is small and by length and rank; pieces find their place by their rank among
 the pieces of their length, so no piece list ever meets in one place.
@@ -32,12 +33,10 @@ from clinloom.llm.common import in_bounded_batches, materialize, table
 from clinloom.llm.tokens import encoder, public_path
 
 CAPACITY = 4096
-#: Rounds of the weights.
-ROUNDS = 5
-#: A set takes part in a round if its worth is within this share of the best; the step of the weights.
-NEAR, STEP = 0.02, 0.25
-#: By pass of the rounding, the share of a sequence that a column may leave empty.
-SLACKS = (0.0, 0.002, 0.01, 1.0)
+#: Rounds of the weights, and their step.
+ROUNDS, STEP = 8, 1.0
+#: By pass of a round, the share of the best worth, or of a sequence, that a set may fall short of.
+SLACKS = (0.0, 0.002, 0.01, 0.05, 1.0)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -103,98 +102,139 @@ class Tracer:
 
 
 class Program(NamedTuple):
-    """Weights of the lengths, the greatest lower bound found, and sets with the fractional numbers of sequences that take them."""
+    """Weights of the lengths, the greatest lower bound found, and sets with the fractional numbers of sequences that take them; they cover all pieces of every length."""
 
     weight: np.ndarray
     bound: float
     columns: dict[tuple, float]
 
 
-def solve(lengths: np.ndarray, n: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Program:
-    """The configuration program by multiplicative weights: fewest sequences that cover every length's pieces.
+def best_fit(lengths: np.ndarray, n: np.ndarray, capacity: int) -> dict[tuple, float]:
+    """The sets of a best-fit decreasing packing: the program's first columns."""
+    rooms: dict[int, dict[tuple, int]] = {}  # by room the sets with so much left and their numbers
+    open_ = [False] * (capacity + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        x, todo = int(lengths[i]), int(n[i])
+        while todo:
+            room = next((r for r in range(x, capacity) if open_[r]), None)
+            if room is None:
+                s, have, room = (), todo, capacity
+            else:
+                s, have = rooms[room].popitem()
+                open_[room] = bool(rooms[room])
+            k = min(room // x, todo) if have == 1 or room == capacity else 1
+            m = min(have, max(1, todo // k))
+            if m < have and s:
+                rooms[room][s] = have - m
+                open_[room] = True
+            new, left = (*s, *[i] * k), room - k * x
+            rooms.setdefault(left, {})
+            rooms[left][new] = rooms[left].get(new, 0) + m
+            open_[left] = True
+            todo -= k * m
+    out: dict[tuple, float] = {}
+    for sets in rooms.values():
+        for s, m in sets.items():
+            key = tuple((k, s.count(k)) for k in sorted(set(s)))
+            out[key] = out.get(key, 0.0) + m
+    return out
+
+
+def cover(lengths: np.ndarray, n: np.ndarray, capacity: int, weight: np.ndarray, whole: bool = False) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """Sets that cover n pieces of every length, with numbers of sequences (whole numbers if asked for); the loss of each length; the worth of the best set.
+
+    Each pass prices the lengths that are left and takes best sets around them, the longest first,
+    as often as pieces last, if they come within the pass's slack of the best; the last pass
+    takes any. A length's loss is the share of the best worth that its sets fall short of.
+    """
+    left, value = n.astype(float), lengths / capacity * weight
+    columns: dict[tuple, float] = {}
+    loss, top = np.zeros(len(lengths)), 0.0
+    for slack in SLACKS:
+        have = np.flatnonzero(left > 1e-9)
+        if not len(have):
+            break
+        size, y, rest = lengths[have], value[have], left[have]
+        tracer = Tracer(size, y, capacity)
+        top = top or float(tracer.best[capacity])
+        for at in range(len(have) - 1, -1, -1):
+            while rest[at] > 1e-9:
+                s = tracer.around(at, np.ceil(rest - 1e-9))
+                worth = sum(float(y[i]) * k for i, k in s.items())
+                if worth < (1 - slack) * top and sum(int(size[i]) * k for i, k in s.items()) < (1 - slack) * capacity:
+                    break
+                z = min(float(rest[i]) / k for i, k in s.items())
+                if whole:
+                    z = max(1.0, float(np.floor(z + 1e-9)))
+                key = tuple(sorted((int(have[i]), k) for i, k in s.items()))
+                columns[key] = columns.get(key, 0.0) + z
+                for i, k in s.items():
+                    rest[i] = max(0.0, rest[i] - z * k)
+                    loss[have[i]] += z * k * (1 - worth / top)
+        left[have] = rest
+    return columns, loss / n, top
+
+
+def solve(lengths: np.ndarray, n: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[Program]:
+    """The configuration program by multiplicative weights: fewest sequences that cover every length's pieces. Its solutions, the first one best-fit decreasing's.
 
     A length's dual value is its share of the capacity times its weight. Each round prices all sets
     at once; as no set is worth more than the best, the values of all pieces over that worth bound
-    the number of sequences from below. Best sets around the lengths whose worth comes near
-    the best take the round's sequences; lengths that they cover more than others lose weight.
-    The average of the rounds is the primal solution.
+    the number of sequences from below. The round's sets cover every length, so each round is a
+    primal solution; lengths whose sets are worth less than the best gain weight, and so are
+    priced into better sets next. It ends where a solution meets the bound; the first round is
+    also taken in whole numbers, which often does.
     """
-    base = lengths / capacity
-    weight, bound, columns = np.ones(len(lengths)), float(n @ base), {}
+    weight, bound = np.ones(len(lengths)), float(n @ lengths) / capacity
+    found = [Program(weight, bound, c) for c in (best_fit(lengths, n, capacity), cover(lengths, n, capacity, weight, whole=True)[0])]
     for _ in range(rounds):
-        y = base * weight
-        tracer = Tracer(lengths, y, capacity)
-        top = tracer.best[capacity]
-        bound = max(bound, float(n @ y) / top)
-        near = np.flatnonzero(y + tracer.best[capacity - lengths] >= (1 - NEAR) * top)[::-1]
-        cover = np.zeros(len(lengths))
-        for i in near.tolist():
-            if cover[i] >= 1:
-                continue
-            s = tracer.around(i, n, cover)
-            z = min(n[k] * (1 - min(cover[k], 0.9)) / m for k, m in s.items())
-            key = tuple(sorted(s.items()))
-            columns[key] = columns.get(key, 0.0) + z / rounds
-            for k, m in key:
-                cover[k] += z * m / n[k]
-        weight = weight * np.exp(-STEP * np.clip(cover - np.average(cover, weights=n * base), -1, 1))
-        weight = np.clip(weight / np.average(weight, weights=n * base), 0.5, 2.0)
-    return Program(weight, bound, columns)
+        if min(sum(p.columns.values()) for p in found) <= np.ceil(bound - 1e-9):
+            break
+        columns, loss, top = cover(lengths, n, capacity, weight)
+        bound = max(bound, float(n @ (lengths * weight)) / capacity / top)
+        found.append(Program(weight, bound, columns))
+        weight = weight * np.exp(STEP * (loss - np.average(loss, weights=n * lengths)))
+    return [p._replace(bound=bound) for p in found]
 
 
 class Plan(NamedTuple):
     sets: list[tuple[dict[int, int], int]]  # sets of lengths with the number of sequences that take each
     bound: float  # no packing takes fewer sequences
+    fractional: float = 0.0  # sequences of the program's solution that the plan was rounded from
+    from_program: int = 0  # sequences of the plan that are columns of that solution, not of the program solved again for what was left
 
 
-def _rounded(lengths: np.ndarray, n: np.ndarray, capacity: int, columns: dict[tuple, float], weight: np.ndarray, slacks: tuple[float, ...]) -> list[tuple[dict[int, int], int]]:
-    """Whole numbers of the columns as long as pieces last, then columns priced anew for the pieces left.
-
-    Each pass takes best sets around the pieces left, the longest first, if they are full up
-    to the pass's slack. The last pass takes any, so every sequence is a priced column.
-    """
+def rounded(lengths: np.ndarray, n: np.ndarray, capacity: int, program: Program) -> Plan:
+    """Whole numbers of the columns, then by greatest remainder one more of each, as far as pieces last; the program is solved again for what is left."""
     left, listed = n.copy(), lengths.tolist()
     out: list[tuple[dict[int, int], int]] = []
 
-    def take(s: dict[int, int], most: int) -> None:
-        m = min(most, *(int(left[i]) // k for i, k in s.items()))
+    def take(key: tuple, most: int) -> None:
+        m = min(most, *(int(left[i]) // k for i, k in key))
         if m > 0:
-            out.append(({listed[i]: k for i, k in s.items()}, m))
-            for i, k in s.items():
+            out.append(({listed[i]: k for i, k in key}, m))
+            for i, k in key:
                 left[i] -= k * m
 
-    for key, z in sorted(columns.items(), key=lambda x: (-x[0][-1][0], x[0])):
-        take(dict(key), int(z))
-    for slack in slacks:
-        have = np.flatnonzero(left)
-        if not len(have):
-            break
-        tracer = Tracer(lengths[have], lengths[have] / capacity * weight[have], capacity)
-        for at in range(len(have) - 1, -1, -1):
-            while left[have[at]]:
-                s = {int(have[i]): k for i, k in tracer.around(at, left[have]).items()}
-                if sum(listed[i] * k for i, k in s.items()) < (1 - slack) * capacity:
-                    break
-                take(s, int(left[have[at]]))
-    return out
+    for key, z in program.columns.items():
+        take(key, int(z + 1e-9))
+    for key, z in sorted(program.columns.items(), key=lambda x: (-(x[1] % 1), x[0])):
+        if 1e-9 < z % 1 < 1 - 1e-9:
+            take(key, 1)
+    taken, have = sum(m for _, m in out), np.flatnonzero(left)
+    if len(have):
+        for key, z in cover(lengths[have], left[have], capacity, program.weight[have], whole=True)[0].items():
+            out.append(({listed[have[i]]: k for i, k in key}, int(z)))
+    return Plan(out, program.bound, sum(program.columns.values()), taken)
 
 
 def plan_with_bound(hist: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The program solved and rounded: by its first and by its last dual values, strictly and at once; the shortest plan stays."""
+    """The program solved, its solutions rounded; the shortest plan stays, of equally short ones a later, priced one."""
     lengths = np.array(sorted(hist), dtype=np.int64)
     if not len(lengths):
         return Plan([], 0.0)
     n = np.array([hist[x] for x in lengths.tolist()], dtype=np.int64)
-    got = solve(lengths, n, capacity)
-    best: list[tuple[dict[int, int], int]] | None = None
-    for weight in (np.ones(len(lengths)), got.weight):
-        for slacks in (SLACKS, SLACKS[-1:]):
-            sets = _rounded(lengths, n, capacity, got.columns, weight, slacks)
-            if best is None or sum(m for _, m in sets) < sum(m for _, m in best):
-                best = sets
-            if sum(m for _, m in best) <= np.ceil(got.bound - 1e-9):  # as few as can be
-                return Plan(best, got.bound)
-    return Plan(best, got.bound)
+    return min((rounded(lengths, n, capacity, p) for p in reversed(solve(lengths, n, capacity))), key=lambda p: sum(m for _, m in p.sets))
 
 
 def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
@@ -222,7 +262,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     counts = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    # at most one set a length and round, and while rounding one a length's last pieces: the capacity bounds them
+    # each set uses up a length's pieces, or is one of its last few: the capacity bounds them
     shared = spark.sparkContext.broadcast(places(plan(hist, capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranked = cut.join(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")), ["part", "length"])

@@ -1,10 +1,11 @@
 """Defined cases of every operator, and comparison with brute force or a round trip."""
 
+import bisect
 import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -522,6 +523,50 @@ def test_program_bounds_and_meets_the_fewest_sequences():
         assert n >= p.bound >= sum(x * k for x, k in hist.items()) / 4096 - 1e-6 and n <= np.ceil(p.bound) + over
 
 
+def best_fit_decreasing(lengths, capacity):
+    rooms, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, x)
+        n += i == len(rooms)
+        room = capacity if i == len(rooms) else rooms.pop(i)
+        bisect.insort(rooms, room - x)
+    return n
+
+
+@pytest.mark.parametrize(
+    "draw,fewer",
+    [
+        (lambda g: g.lognormal(6, 1.2, 3000).astype(int).clip(1, 4096), 0),
+        (lambda g: g.integers(1, 4097, 1500), 0),
+        (lambda g: g.integers(1200, 2401, 20000), 150),  # best-fit decreasing takes 9298
+        (lambda g: g.integers(1, 60, 4000), 0),
+        (lambda g: np.full(100, 4096), 0),
+    ],
+)
+def test_program_covers_every_length_and_is_no_longer_than_best_fit(draw, fewer):
+    drawn = draw(np.random.default_rng(0)).tolist()
+    hist = Counter(drawn)
+    lengths = np.array(sorted(hist))
+    n = np.array([hist[x] for x in lengths.tolist()])
+    greedy = best_fit_decreasing(drawn, 4096)
+    programs = packing.solve(lengths, n, 4096, rounds=3)
+    assert sum(programs[0].columns.values()) == greedy
+    for p in programs:
+        got = np.zeros(len(lengths))
+        for key, z in p.columns.items():
+            assert z > 0 and sum(int(lengths[i]) * k for i, k in key) <= 4096
+            for i, k in key:
+                got[i] += z * k
+        assert (got >= n - 1e-6).all() and sum(p.columns.values()) >= p.bound - 1e-6
+    p = packing.plan_with_bound(dict(hist))
+    total = sum(m for _, m in p.sets)
+    assert total <= greedy - fewer and p.from_program >= 0.9 * total and p.bound - 1e-6 <= p.fractional <= total + 1e-6
+    used = Counter()
+    for s, m in p.sets:
+        used.update({x: k * m for x, k in s.items()})
+    assert used == hist
+
+
 def test_bound_is_one_of_the_program():
     rng = random.Random(12)
     for _ in range(30):
