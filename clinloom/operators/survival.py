@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinloom.functions.distributions import chi2_sf
+from clinloom.operators import models
 from clinloom.operators.scan import next_value, running_sum
 
 def life_table(df: DataFrame, time: str, event: str, by: list[str] | None = None) -> DataFrame:
@@ -105,3 +106,57 @@ def time_roc(df: DataFrame, time: str, event: str, marker: str, times: tuple[flo
     area = run.groupBy("at", "P", "N").agg(F.sum(F.col("case") * (F.col("N") - F.col("cum_control") + F.col("control") / 2)).alias("a"))
     auc = area.select(F.col("at").alias("time"), (F.col("a") / F.col("P") / F.col("N")).alias("auc")).toPandas()
     return auc.sort_values("time", ignore_index=True), curve
+
+
+def proportional_hazards(df: DataFrame, time: str, event: str, xs: list[str], transform: str = "km") -> list[dict]:
+    """Test of proportional hazards: by column, and for all together (term GLOBAL), chisq, df and p.
+
+    The score test, at the fitted model, of a further coefficient that changes with g(time):
+    one minus the survival just before ("km"), the time itself ("identity") or its logarithm ("log").
+    Sums at risk are running sums over the distinct times; each time's part is added up where it lies. Rows
+    lacking a value take no part; without events the fit's error is raised.
+    """
+    if transform not in ("km", "identity", "log"):
+        raise ValueError(f"unknown transform {transform}")
+    p, fit = len(xs), models.fit_cox(df, time, event, xs)
+    d = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip([*xs, time, event], [*[f"x{i}" for i in range(p)], "t", "e"])]).dropna()
+    means = d.agg(*[F.avg(f"x{i}") for i in range(p)]).first()
+    d = d.withColumns({f"x{i}": F.col(f"x{i}") - F.lit(float(means[i])) for i in range(p)})
+    w = F.exp(sum((F.col(f"x{i}") * F.lit(float(fit.beta[i])) for i in range(p)), F.lit(0.0)))
+    parts = {"0": w} | {f"1_{i}": w * F.col(f"x{i}") for i in range(p)} | {f"2_{i}_{j}": w * F.col(f"x{i}") * F.col(f"x{j}") for i in range(p) for j in range(p)}
+    sums = [F.sum(v).alias(f"s{k}") for k, v in parts.items()] + [F.sum(F.when(F.col("e") == 1, v).otherwise(0.0)).alias(f"d{k}") for k, v in parts.items()]
+    fallen = [F.sum(F.when(F.col("e") == 1, F.col(f"x{i}")).otherwise(0.0)).alias(f"f{i}") for i in range(p)]
+    c = d.groupBy("t").agg(F.count("*").cast("double").alias("n"), F.sum("e").alias("d"), *sums, *fallen)
+    at_risk = [f"cum_s{k}" for k in parts]
+    c = running_sum(c, [], "t", ["n", *[f"s{k}" for k in parts]], descending=True)
+    if transform == "km":
+        # all fall at the last time only, which no later time looks back on
+        c = c.withColumn("l", F.when(F.col("d") < F.col("cum_n"), F.log1p(-F.col("d") / F.col("cum_n"))).otherwise(0.0))
+        c = running_sum(c, [], "t", ["l"]).withColumn("g", 1 - F.exp(F.col("cum_l") - F.col("l")))
+    else:
+        c = c.withColumn("g", F.log("t") if transform == "log" else F.col("t"))
+    c = c.where("d > 0")
+    mean = c.agg((F.sum(F.col("g") * F.col("d")) / F.sum("d")).alias("g")).first()["g"]
+    c = c.withColumn("g", F.col("g") - F.lit(float(mean)))
+    k = len(parts)
+
+    def terms(a: np.ndarray) -> np.ndarray:
+        out = np.zeros(p + 3 * p * p)
+        for g, n, s, dead, f in zip(a[:, 0], a[:, 1].astype(int), a[:, 2 : 2 + k], a[:, 2 + k : 2 + 2 * k], a[:, 2 + 2 * k :]):
+            share = np.arange(n) / n
+            r = s - share[:, None] * dead
+            m = r[:, 1 : 1 + p] / r[:, :1]
+            v = (r[:, 1 + p :] / r[:, :1]).sum(axis=0) - (m.T @ m).ravel()
+            out += np.concatenate([g * (f - m.sum(axis=0)), v, g * v, g * g * v])
+        return out
+
+    got = models._partial(c, ["g", "d", *at_risk, *[f"d{x}" for x in parts], *[f"f{i}" for i in range(p)]], terms)
+    u = got[:p]
+    v, gv, ggv = (got[p + i * p * p : p + (i + 1) * p * p].reshape(p, p) for i in range(3))
+    inside = ggv - gv @ np.linalg.solve(v, gv)  # of the further coefficients, the fitted ones being free
+
+    def row(name: str, j: list[int]) -> dict:
+        x = float(u[j] @ np.linalg.solve(inside[np.ix_(j, j)], u[j]))
+        return {"term": name, "chisq": x, "df": len(j), "p": chi2_sf(x, len(j))}
+
+    return [row(x, [i]) for i, x in enumerate(xs)] + [row("GLOBAL", list(range(p)))]

@@ -145,6 +145,13 @@ def cox_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fit_rows(spark, models.fit_cox(s, "t", "e", ["m"]))
 
 
+@query()
+def proportional_hazards(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the hazard ratios of two columns change with time."""
+    s = _surv(spark, d).select("t", "e", (F.col("m") / 1e5).alias("m"), (F.col("o_orderkey") % 7).alias("k"))
+    return spark.createDataFrame([(r["term"], r["chisq"], r["df"], r["p"]) for r in survival.proportional_hazards(s, "t", "e", ["m", "k"])], "term string, chisq double, df int, p double")
+
+
 def _cohort(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     return c.select((F.col("c_custkey") % 3 == 0).cast("int").alias("y"), "c_acctbal", (F.col("c_custkey") % 50 + 1).alias("age"), "c_mktsegment", (F.col("c_nationkey") % 4).alias("site"))
