@@ -89,16 +89,22 @@ def calc_cindex(df: DataFrame, time: str, event: str, marker: str) -> float:
     return c
 
 
-def time_roc(df: DataFrame, time: str, event: str, marker: str, times: tuple[float, ...] = (12, 36, 60)) -> tuple[pd.DataFrame, DataFrame]:
-    """AUC by time, and the curve (time, threshold, tpr, fpr): cases had the event by then, controls are beyond; censoring is weighed out."""
-    d = df.select(F.col(time).cast("double").alias("t"), (F.col(event) != 0).cast("int").alias("e"), F.col(marker).cast("double").alias("m")).dropna()
+def time_roc(df: DataFrame, time: str, event: str, marker: str, times: tuple[float, ...] = (12, 36, 60), cause: int | None = None, free: bool = True) -> tuple[pd.DataFrame, DataFrame]:
+    """AUC by time, and the curve (time, threshold, tpr, fpr): cases had the event by then, controls are beyond; censoring is weighed out.
+
+    With a cause, event holds codes (nought: censored), and cases are those of that cause. Rows that
+    had another cause by then are left out, or with free=False are controls too. A cause that no row has raises.
+    """
+    d = df.select(F.col(time).cast("double").alias("t"), (F.col(event) != 0).cast("int").alias("e"), (F.lit(True) if cause is None else F.col(event) == cause).alias("own"), F.col(marker).cast("double").alias("m")).dropna()
+    if cause is not None and d.where("own AND e = 1").isEmpty():
+        raise ValueError(f"no event of cause {cause}")
     g = km_curve(d.withColumn("c", 1 - F.col("e")), "t", "c").select(F.col("time"), F.col("surv").alias("g"))
     # the curve falls, so what stands before a time is the value at the next later one, going back
     back = next_value(g.withColumn("_back", -F.col("time")), [], "_back", "g", "before").drop("_back")
     g = back.withColumn("before", F.coalesce("before", F.lit(1.0)))
     at = {r["u"]: r["g"] for r in g.agg(*[F.min(F.when(F.col("time") <= u, F.col("g"))).alias(f"g{i}") for i, u in enumerate(times)]).select(F.explode(F.array(*[F.struct(F.lit(float(u)).alias("u"), F.coalesce(f"g{i}", F.lit(1.0)).alias("g")) for i, u in enumerate(times)])).alias("x")).select("x.*").collect()}
     d = d.join(g.select(F.col("time").alias("t"), "before"), "t")
-    entry = [F.struct(F.lit(float(u)).alias("at"), F.when((F.col("t") <= u) & (F.col("e") == 1), 1 / F.col("before")).otherwise(0.0).alias("case"), F.when(F.col("t") > u, F.lit(1 / at[float(u)] if at[float(u)] else 0.0)).otherwise(0.0).alias("control")) for u in times]
+    entry = [F.struct(F.lit(float(u)).alias("at"), F.when((F.col("t") <= u) & (F.col("e") == 1) & F.col("own"), 1 / F.col("before")).otherwise(0.0).alias("case"), F.when(F.col("t") > u, F.lit(1 / at[float(u)] if at[float(u)] else 0.0)).when(F.lit(not free) & (F.col("e") == 1) & ~F.col("own"), 1 / F.col("before")).otherwise(0.0).alias("control")) for u in times]
     long = d.select("m", F.explode(F.array(*entry)).alias("x")).select("m", "x.*").groupBy("at", "m").agg(F.sum("case").alias("case"), F.sum("control").alias("control"))
     total = long.groupBy(F.col("at").alias("_a")).agg(F.sum("case").alias("P"), F.sum("control").alias("N"))
     run = running_sum(long, ["at"], "m", ["case", "control"], descending=True).join(total, F.col("at") == F.col("_a"))

@@ -123,6 +123,22 @@ def time_roc(spark: SparkSession, d: str) -> DataFrame:
     return curve.select("time", "threshold", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr")])
 
 
+@query("""WITH v AS (SELECT (o_orderkey % 211 + 1)::DOUBLE AS t, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 0 END AS e, o_totalprice AS m FROM orders),
+ c AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE e = 0) AS d FROM v GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM c),
+ g AS (SELECT t, product(1 - d / k) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM r), b AS (SELECT t, s, coalesce(lag(s) OVER (ORDER BY t), 1.0) AS before FROM g),
+ u AS (SELECT unnest([60.0, 120.0])::DOUBLE AS until), gu AS (SELECT until, coalesce(min(s), 1.0) AS gs FROM u LEFT JOIN b ON b.t <= until GROUP BY 1), f AS (SELECT unnest([true, false]) AS free),
+ w AS (SELECT until, free, m, CASE WHEN v.t <= until AND e = 1 THEN 1 / before ELSE 0 END AS c, CASE WHEN v.t > until THEN 1 / gs WHEN NOT free AND e = 2 THEN 1 / before ELSE 0 END AS n FROM v JOIN b ON v.t = b.t CROSS JOIN gu CROSS JOIN f),
+ q AS (SELECT until, free, m, sum(c) AS c, sum(n) AS n FROM w GROUP BY 1, 2, 3),
+ z AS (SELECT *, sum(n) OVER (PARTITION BY until, free ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS below FROM q)
+ SELECT until AS time, free, round(sum(c * (below + n / 2)) / sum(c) / sum(n), 6) AS auc FROM z GROUP BY 1, 2""")
+def time_roc_causes(spark: SparkSession, d: str) -> DataFrame:
+    """AUC of one of two causes, rows of the other left out or taken as controls."""
+    v = _surv(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    v = v.select("t", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("e"), "m")
+    rows = [(float(r.time), free, round(float(r.auc), 6)) for free in (True, False) for r in survival.time_roc(v, "t", "e", "m", (60, 120), cause=1, free=free)[0].itertuples()]
+    return spark.createDataFrame(rows, "time double, free boolean, auc double")
+
+
 @query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem""")
 def ols_fit(spark: SparkSession, d: str) -> DataFrame:
     f = models.fit_ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])

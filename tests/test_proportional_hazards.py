@@ -66,3 +66,12 @@ def test_a_ratio_that_changes_is_found(spark):
     assert survival.proportional_hazards(df, "s", "e", ["x"])[0]["p"] > 0.001
     with pytest.raises(ValueError):
         survival.proportional_hazards(df, "t", "e", ["x"], "rank")
+
+
+@pytest.mark.parametrize("free,auc", [(True, 1.0), (False, 0.75)])
+def test_time_roc_of_a_cause(spark, free, auc):
+    # by time 2 the first row has the cause, the second another; without censoring nothing is weighed
+    rows = spark.createDataFrame([(1.0, 1, 5.0), (2.0, 2, 5.0), (3.0, 1, 1.0)], "t double, e int, m double")
+    assert survival.time_roc(rows, "t", "e", "m", (2,), cause=1, free=free)[0]["auc"][0] == pytest.approx(auc)
+    with pytest.raises(ValueError):
+        survival.time_roc(rows, "t", "e", "m", (2,), cause=3)
