@@ -47,12 +47,15 @@ SHARDS = 256
 BUCKET = 16 << 20
 #: Lists that are summed at a time, and buckets that a shard answers at a time.
 LISTS = 256
+#: N-grams that wait to be merged, at least.
+WAITING = 1 << 20
 QUANTILE = 0.995
 SCALE = 1000
 #: Every text is preceded by line ends.
 START = 10
 
-_SHARD = (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) % np.uint64(SHARDS)).astype(np.int64)
+# one byte a shard: numpy orders those by counting
+_SHARD = (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) % np.uint64(SHARDS)).astype(np.uint8)
 
 
 def grams(text: str) -> np.ndarray:
@@ -91,7 +94,7 @@ def _unpacked_sorted(b: bytes) -> np.ndarray:
 def _by_shard(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that puts sorted n-grams shard by shard, and where each shard begins and the last ends."""
     of = _SHARD[_last(g >> 8, 2)]
-    return np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(SHARDS + 1))
+    return np.argsort(of, kind="stable"), np.r_[0, np.cumsum(np.bincount(of, minlength=SHARDS))]
 
 
 def _add_up(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,14 +167,23 @@ def _texts(z: pa.ChunkedArray | pa.Array) -> list[str | None]:
     return [zstandard.decompress(x.as_buffer()).decode("utf-8", "surrogatepass") if x.is_valid else None for x in z]
 
 
+def _only_distinct(lists: list[np.ndarray]) -> np.ndarray:
+    """The distinct numbers of lists, sorted: a sort and a look at neighbours, as np.unique is several times slower here."""
+    g = np.sort(np.concatenate(lists))
+    return g[np.r_[True, g[1:] != g[:-1]]] if len(g) else g
+
+
 def _distinct(batches) -> np.ndarray:
-    """The distinct n-grams of compressed texts (z), sorted."""
-    got = np.empty(0, dtype=np.int64)
+    """The distinct n-grams of compressed texts (z), sorted. Lists wait until they hold as much as is known, so none is sorted with every batch."""
+    got, wait, have = np.empty(0, dtype=np.int64), [], 0
     for b in in_bounded_batches(batches, chars=1 << 20):
         found = [grams(t) for t in _texts(b.column("z")) if t]
         if found:
-            got = np.union1d(got, np.concatenate(found))
-    return got
+            wait.append(_only_distinct(found))
+            have += len(wait[-1])
+            if have > max(WAITING, len(got)):
+                got, wait, have = _only_distinct([got, *wait]), [], 0
+    return _only_distinct([got, *wait])
 
 
 def _compressed(docs: DataFrame, *keep: str) -> DataFrame:
@@ -285,6 +297,19 @@ def answers(asked: DataFrame, model: Model, buckets: int) -> DataFrame:
     return asked.select("shard", groups.alias("grp"), "bucket", "g").groupBy("shard", "grp").cogroup(copies.groupBy("shard", "grp")).applyInArrow(run, "bucket long, shard int, bits binary")
 
 
+def _looked_up(flat: np.ndarray, g: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Bits of n-grams, all of which are in g; each distinct one of 65,536 in a row is searched for once, in order."""
+    value = np.empty(len(flat))
+    for lo in range(0, len(flat), 1 << 16):
+        q = flat[lo : lo + (1 << 16)].astype(np.uint64)
+        # the place below the six bytes: numpy sorts numbers much faster than it orders them
+        q = np.sort((q << np.uint64(16)) | np.arange(len(q), dtype=np.uint64))
+        place, q = (q & np.uint64(0xFFFF)).astype(np.int64), (q >> np.uint64(16)).astype(np.int64)
+        new = np.r_[True, q[1:] != q[:-1]]
+        value[lo + place] = bits[np.searchsorted(g, q[new])][np.cumsum(new) - 1]
+    return value
+
+
 def _answered(docs: pa.Table, got: pa.Table) -> pa.Table:
     """A bucket's documents with their bits a byte."""
     g = _distinct(docs.to_batches())
@@ -297,9 +322,7 @@ def _answered(docs: pa.Table, got: pa.Table) -> pa.Table:
     for b in batches:
         found = [grams(t or "") for t in _texts(b.column("z"))]
         flat = np.concatenate(found)
-        at = np.argsort(flat)  # in order, neighbours are found near one another
-        value = np.empty(len(flat))
-        value[at] = bits[np.searchsorted(g, flat[at])] if len(flat) else bits[:0]
+        value = _looked_up(flat, g, bits)
         end = 0
         for x in found:
             start, end = end, end + len(x)

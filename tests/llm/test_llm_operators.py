@@ -689,6 +689,23 @@ def test_pieces_of_sorted_rows():
 # --- 10
 
 
+def test_distinct_ngrams_are_sorted_a_few_times(monkeypatch):
+    rng, sizes, plain = random.Random(3), [], kneser_ney._only_distinct
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(3000)) for _ in range(300)]
+    z = kneser_ney.zstandard.compress
+    batches = [pa.RecordBatch.from_pydict({"z": pa.array([z(t.encode()), None, z(b"")], pa.binary())}) for t in texts]
+    monkeypatch.setattr(kneser_ney, "WAITING", 1000)
+    monkeypatch.setattr(kneser_ney, "_only_distinct", lambda lists: sizes.append(sum(map(len, lists))) or plain(lists))
+    got = kneser_ney._distinct(batches)
+    every = np.concatenate([kneser_ney.grams(t) for t in texts])
+    assert np.array_equal(got, np.unique(every))
+    assert sum(sizes) < 8 * len(every)  # merging with every batch: some 150 times
+    bits = np.arange(len(got)) / 7
+    flat = np.r_[every[:200_000], every[:3]]
+    assert np.array_equal(kneser_ney._looked_up(flat, got, bits), bits[np.searchsorted(got, flat)]) and len(kneser_ney._looked_up(every[:0], got, bits)) == 0
+    assert len(kneser_ney._distinct([])) == 0 and [len(x) for x in kneser_ney._by_shard(got[:0])] == [0, kneser_ney.SHARDS + 1]
+
+
 def brute_kneser_ney(texts):
     """Probability of a last byte after any bytes, straight from the definition."""
     n = kneser_ney.ORDER
