@@ -6,12 +6,15 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinloom.functions.distributions import chi2_sf
 from clinloom.operators import models
 from clinloom.operators.scan import next_value, running_sum
+from clinloom.sources.files import stored
+
 
 def life_table(df: DataFrame, time: str, event: str, by: list[str] | None = None) -> DataFrame:
     """by..., time, n_risk, n_event, n_censor at every distinct time."""
@@ -52,31 +55,79 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> dict:
     return {"groups": groups, "observed": o, "expected": e, "statistic": stat, "df": k - 1, "p": chi2_sf(stat, k - 1)}
 
 
-def concordance(df: DataFrame, time: str, event: str, marker: str) -> DataFrame:
+#: Cuts of the times and of the markers in concordance(); the grid of counts has at most (4 * CUTS + 2) * (2 * CUTS + 1) cells.
+CUTS = 128
+
+
+def _pieces(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Places among cuts, rising with x; the odd ones hold the values equal to a cut, one value each."""
+    return np.searchsorted(cuts, x, side="left") + np.searchsorted(cuts, x, side="right")
+
+
+def _count_pairs(place: np.ndarray, m: np.ndarray, event: np.ndarray, n: np.ndarray) -> tuple[int, int, int]:
+    """(pairs, concordant, tied) of rows that stand for n alike, from an event to those of a later place.
+
+    Places are halved again and again: an earlier and a later one are in the two halves of one piece
+    at exactly one level. There the later rows of lower marker are a running count.
+    """
+    order = np.argsort(m, kind="stable")
+    place, m, event, n = (x[order] for x in (place, m, event, n))
+    out = np.zeros(3, dtype=np.int64)
+    for level in range(int(place.max()).bit_length() if len(place) else 0):
+        order = np.argsort(place >> (level + 1), kind="stable")
+        piece, x, half = place[order] >> (level + 1), m[order], (place[order] >> level) & 1
+        first = np.r_[True, piece[1:] != piece[:-1]]
+        alike = first | np.r_[True, x[1:] != x[:-1]]
+        upto = np.r_[0, np.cumsum(np.where(half == 1, n[order], 0))]
+        starts, ties = np.flatnonzero(first), np.flatnonzero(alike)
+        group, tie = np.cumsum(first) - 1, np.cumsum(alike) - 1
+        begin, low, high = upto[starts][group], upto[ties][tie], upto[np.r_[ties[1:], len(x)]][tie]
+        w = np.where((half == 0) & event[order], n[order], 0)
+        out += [int((w * (upto[np.r_[starts[1:], len(x)]][group] - begin)).sum()), int((w * (low - begin)).sum()), int((w * (high - low)).sum())]
+    return int(out[0]), int(out[1]), int(out[2])
+
+
+def concordance(df: DataFrame, time: str, event: str, marker: str, cuts: int = CUTS) -> DataFrame:
     """(pairs, concordant, tied): pairs of which the earlier time is an event (or ties with a censored one).
 
-    Places in the order of times, events before censored ones, are halved again and again: an
-    earlier and a later place are in the two halves of one piece at exactly one level. There the
-    later rows of lower marker are a running count, so the work is n log n, split over pieces and markers.
+    Times and markers are cut at quantiles of a sketch; values equal to a cut are pieces of their own, so the others are bounded
+    shares of the rows. Pairs in different pieces of both are read off a grid of counts. Pairs within a piece of
+    times, or else within a piece of markers, are counted in that piece's task: a row is dealt twice, however many rows there are.
     """
     d = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(marker).cast("double").alias("m")).dropna()
-    d = d.groupBy("t", (F.col("e") != 1).cast("long").alias("c"), "m").agg(F.count("*").alias("n"))
-    places = running_sum(d.select("t").distinct().withColumn("one", F.lit(1).cast("long")), [], "t", ["one"]).select(F.col("t").alias("_t"), F.col("cum_one").alias("r"))
-    d = d.join(places, F.col("t") == F.col("_t")).select((2 * F.col("r") + F.col("c")).alias("place"), "c", "m", "n")
-    last = d.agg(F.max("place")).first()[0] or 0
-    levels = F.sequence(F.lit(0), F.lit(max(last.bit_length() - 1, 0)))
-    cut = d.withColumn("level", F.explode(levels)).withColumn("later", F.expr("(shiftright(place, level) & 1) = 1"))
-    halves = cut.groupBy("level", F.expr("shiftright(place, level + 1)").alias("piece"), "m").agg(
-        F.coalesce(F.sum(F.when(~F.col("later") & (F.col("c") == 0), F.col("n"))), F.lit(0)).alias("events"),
-        F.coalesce(F.sum(F.when(F.col("later"), F.col("n"))), F.lit(0)).alias("others"),
-    )
-    run = running_sum(halves, ["level", "piece"], "m", ["others"])
-    run = run.groupBy("level", "piece").agg(
-        (F.sum("events") * F.sum("others")).alias("pairs"),
-        F.sum(F.col("events") * (F.col("cum_others") - F.col("others"))).alias("concordant"),
-        F.sum(F.col("events") * F.col("others")).alias("tied"),
-    )
-    return run.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("pairs", "concordant", "tied")])
+    d = stored(d.groupBy("t", (F.col("e") != 1).cast("long").alias("c"), "m").agg(F.count("*").alias("n")))
+    probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    at = d.agg(*[F.percentile_approx(x, probs, 20 * cuts).alias(x) for x in ("t", "m")]).first()
+    t_cuts, m_cuts = (np.unique(np.array(at[x] or [], dtype=float)) for x in ("t", "m"))
+
+    def place(batches):
+        for b in batches:
+            t, c, m, n = (x.to_numpy() for x in b.columns)
+            by_time = _pieces(t, t_cuts)
+            # of one time events come before censored rows, so these are two pieces
+            cols = [2 * by_time + np.where(by_time % 2 == 1, c, 0), _pieces(m, m_cuts), t, c, m, n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["p", "q", "t", "c", "m", "n"])
+
+    rows = d.select("t", "c", "m", "n").mapInArrow(place, "p long, q long, t double, c long, m double, n long")
+    cells = rows.groupBy("p", "q").agg(F.sum(F.when(F.col("c") == 0, F.col("n")).otherwise(0)).alias("events"), F.sum("n").alias("n")).toPandas()  # bounded by the cuts
+    events, every = np.zeros((4 * cuts + 4, 2 * cuts + 3), dtype=np.int64), np.zeros((4 * cuts + 4, 2 * cuts + 3), dtype=np.int64)
+    events[cells["p"], cells["q"]], every[cells["p"], cells["q"]] = cells["events"], cells["n"]
+    later = every[::-1].cumsum(axis=0)[::-1] - every
+    lower = later.cumsum(axis=1) - later
+    single = np.arange(every.shape[1]) % 2 == 1
+    apart = events * (later.sum(axis=1, keepdims=True) - np.where(single, 0, later))  # pairs within a piece of markers that holds several come below
+    known = [int(apart.sum()), int((events * lower).sum()), int((events * later)[:, single].sum())]
+
+    def count(key, t):
+        p, times, c, m, n = (t[x].to_numpy() for x in ("p", "t", "c", "m", "n"))
+        if key[0].as_py():
+            p = 2 * np.unique(times, return_inverse=True)[1] + c
+        return pa.table([[x] for x in _count_pairs(p, m, c == 0, n)], names=["pairs", "concordant", "tied"])
+
+    # a piece of one time and kind, or of one marker, has nothing more to count
+    within = [rows.where("p % 4 = 0").select(F.lit(True).alias("times"), F.col("p").alias("piece"), "*"), rows.where("q % 2 = 0").select(F.lit(False).alias("times"), F.col("q").alias("piece"), "*")]
+    got = within[0].unionAll(within[1]).groupBy("times", "piece").applyInArrow(count, "pairs long, concordant long, tied long")
+    return got.agg(*[(F.coalesce(F.sum(c), F.lit(0)) + F.lit(k)).cast("long").alias(c) for c, k in zip(("pairs", "concordant", "tied"), known)])
 
 
 def calc_cindex(df: DataFrame, time: str, event: str, marker: str) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,6 +22,13 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="clinloom-")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what several jobs read is made once."""
+    path = f"{shared_root(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def list_files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> list[str]:
     """Files of a folder in any store that Spark reads, by a regular expression on their names."""
     jvm = spark._jvm

@@ -291,3 +291,19 @@ def test_concordance_against_all_pairs(spark):
         got = survival.concordance(spark.createDataFrame([*rows, (None, 1, 1.0), (1.0, 1, None)], "t double, e int, m double"), "t", "e", "m").first()
         pairs = [(m, w) for t, e, m in rows if e for u, f, w in rows if u > t or (u == t and not f)]
         assert tuple(got) == (len(pairs), sum(m > w for m, w in pairs), sum(m == w for m, w in pairs))
+
+
+def test_concordance_deals_a_row_twice(spark):
+    rng, count = random.Random(9), survival._count_pairs
+    rows = [(float(rng.choice([3, rng.randrange(40)])), rng.randrange(2), float(rng.choice([5, rng.randrange(60)]))) for _ in range(300)]
+    pairs = [(m, w) for t, e, m in rows if e for u, f, w in rows if u > t or (u == t and not f)]
+    want = (len(pairs), sum(m > w for m, w in pairs), sum(m == w for m, w in pairs))
+    df = spark.createDataFrame(rows, "t double, e int, m double")
+    for cuts in (1, 2, 5, 128):
+        assert tuple(survival.concordance(df, "t", "e", "m", cuts).first()) == want
+    a = [np.array(x) for x in zip(*rows)]
+    got = count(2 * a[0].astype(int) + 1 - a[1], a[2], a[1] == 1, np.ones(300, dtype=np.int64))
+    assert got == want
+    plan = survival.concordance(df, "t", "e", "m")._jdf.queryExecution().toString()
+    assert "Generate" not in plan  # no copy of a row a level
+    assert survival.concordance(df.limit(0), "t", "e", "m").first() == (0, 0, 0)
