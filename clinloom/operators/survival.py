@@ -27,7 +27,11 @@ def life_table(df: DataFrame, time: str, event: str, by: list[str] | None = None
 def km_curve(df: DataFrame, time: str, event: str, by: list[str] | None = None) -> DataFrame:
     """The life table with the share surviving beyond each time and its standard error (Greenwood)."""
     by = by or []
-    t = life_table(df, time, event, by)
+    return _survival(life_table(df, time, event, by), by)
+
+
+def _survival(t: DataFrame, by: list[str]) -> DataFrame:
+    """km_curve() of a life table."""
     t = t.withColumns({"_l": F.when(F.col("n_event") < F.col("n_risk"), F.log1p(-F.col("n_event") / F.col("n_risk"))).otherwise(F.lit(0.0)), "_z": (F.col("n_event") == F.col("n_risk")).cast("int"), "_v": F.when(F.col("n_event") < F.col("n_risk"), F.col("n_event") / (F.col("n_risk") * (F.col("n_risk") - F.col("n_event")))).otherwise(F.lit(0.0))})
     t = running_sum(t, by, "time", ["_l", "_z", "_v"])
     surv = F.when(F.col("cum__z") > 0, F.lit(0.0)).otherwise(F.exp("cum__l"))
@@ -140,29 +144,55 @@ def calc_cindex(df: DataFrame, time: str, event: str, marker: str) -> float:
     return c
 
 
+def _roc_sums(df: DataFrame, time: str, event: str, marker: str, times: tuple[float, ...], cause: int | None, ways: tuple[bool, ...]) -> DataFrame:
+    """(free, at, m, case, control): weights by time, marker and way to take rows of other causes. Rows are read twice, however many times and ways there are."""
+    d = df.select(F.col(time).cast("double").alias("t"), (F.col(event) != 0).cast("int").alias("e"), (F.lit(True) if cause is None else F.col(event) == cause).alias("own"), F.col(marker).cast("double").alias("m")).dropna()
+    # by time all that the curve of censoring needs
+    seen = stored(d.groupBy("t").agg(F.count("*").alias("n"), F.sum(1 - F.col("e")).alias("n_event"), F.max(F.col("own") & (F.col("e") == 1)).alias("own")))
+    if cause is not None and seen.where("own").isEmpty():
+        raise ValueError(f"no event of cause {cause}")
+    risk = running_sum(seen, [], "t", ["n"], descending=True).select(F.col("t").alias("time"), F.col("cum_n").alias("n_risk"), "n_event", (F.col("n") - F.col("n_event")).alias("n_censor"))
+    g = _survival(risk, []).select("time", F.col("surv").alias("g"))
+    # the curve falls, so what stands before a time is the value at the next later one, going back
+    back = next_value(g.withColumn("_back", -F.col("time")), [], "_back", "g", "before").drop("_back")
+    g = stored(back.withColumn("before", F.coalesce("before", F.lit(1.0))))
+    least = g.agg(*[F.min(F.when(F.col("time") <= u, F.col("g"))).alias(f"g{i}") for i, u in enumerate(times)]).first()
+    at = {u: 1.0 if least[i] is None else least[i] for i, u in enumerate(times)}
+    d = d.join(g.select(F.col("time").alias("t"), "before"), "t")
+    weight, fell = 1 / F.col("before"), F.col("e") == 1
+    case = {u: F.when((F.col("t") <= u) & fell & F.col("own"), weight).otherwise(0.0) for u in times}
+    control = {(free, u): F.when(F.col("t") > u, F.lit(1 / at[u] if at[u] else 0.0)).when(F.lit(not free) & fell & ~F.col("own"), weight).otherwise(0.0) for free in ways for u in times}
+    # one row a marker; times and ways are columns until rows are summed up
+    sums = d.groupBy("m").agg(*[F.sum(v).alias(f"case{i}") for i, v in enumerate(case.values())], *[F.sum(v).alias(f"control{i}") for i, v in enumerate(control.values())])
+    entry = [F.struct(F.lit(free).alias("free"), F.lit(float(u)).alias("at"), F.col(f"case{times.index(u)}").alias("case"), F.col(f"control{i}").alias("control")) for i, (free, u) in enumerate(control)]
+    return stored(sums.select("m", F.explode(F.array(*entry)).alias("x")).select("x.free", "x.at", "m", "x.case", "x.control"))
+
+
+def _roc_run(long: DataFrame) -> DataFrame:
+    """Weights with their totals P and N and running sums from the highest marker on."""
+    total = long.groupBy(F.col("free").alias("_f"), F.col("at").alias("_a")).agg(F.sum("case").alias("P"), F.sum("control").alias("N"))
+    return running_sum(long, ["free", "at"], "m", ["case", "control"], descending=True).join(total, (F.col("at") == F.col("_a")) & (F.col("free") == F.col("_f")))
+
+
+def _roc_areas(run: DataFrame) -> DataFrame:
+    area = run.groupBy("free", "at", "P", "N").agg(F.sum(F.col("case") * (F.col("N") - F.col("cum_control") + F.col("control") / 2)).alias("a"))
+    return area.select("free", F.col("at").alias("time"), (F.col("a") / F.col("P") / F.col("N")).alias("auc"))
+
+
 def time_roc(df: DataFrame, time: str, event: str, marker: str, times: tuple[float, ...] = (12, 36, 60), cause: int | None = None, free: bool = True) -> tuple[pd.DataFrame, DataFrame]:
     """AUC by time, and the curve (time, threshold, tpr, fpr): cases had the event by then, controls are beyond; censoring is weighed out.
 
     With a cause, event holds codes (nought: censored), and cases are those of that cause. Rows that
     had another cause by then are left out, or with free=False are controls too. A cause that no row has raises.
     """
-    d = df.select(F.col(time).cast("double").alias("t"), (F.col(event) != 0).cast("int").alias("e"), (F.lit(True) if cause is None else F.col(event) == cause).alias("own"), F.col(marker).cast("double").alias("m")).dropna()
-    if cause is not None and d.where("own AND e = 1").isEmpty():
-        raise ValueError(f"no event of cause {cause}")
-    g = km_curve(d.withColumn("c", 1 - F.col("e")), "t", "c").select(F.col("time"), F.col("surv").alias("g"))
-    # the curve falls, so what stands before a time is the value at the next later one, going back
-    back = next_value(g.withColumn("_back", -F.col("time")), [], "_back", "g", "before").drop("_back")
-    g = back.withColumn("before", F.coalesce("before", F.lit(1.0)))
-    at = {r["u"]: r["g"] for r in g.agg(*[F.min(F.when(F.col("time") <= u, F.col("g"))).alias(f"g{i}") for i, u in enumerate(times)]).select(F.explode(F.array(*[F.struct(F.lit(float(u)).alias("u"), F.coalesce(f"g{i}", F.lit(1.0)).alias("g")) for i, u in enumerate(times)])).alias("x")).select("x.*").collect()}
-    d = d.join(g.select(F.col("time").alias("t"), "before"), "t")
-    entry = [F.struct(F.lit(float(u)).alias("at"), F.when((F.col("t") <= u) & (F.col("e") == 1) & F.col("own"), 1 / F.col("before")).otherwise(0.0).alias("case"), F.when(F.col("t") > u, F.lit(1 / at[float(u)] if at[float(u)] else 0.0)).when(F.lit(not free) & (F.col("e") == 1) & ~F.col("own"), 1 / F.col("before")).otherwise(0.0).alias("control")) for u in times]
-    long = d.select("m", F.explode(F.array(*entry)).alias("x")).select("m", "x.*").groupBy("at", "m").agg(F.sum("case").alias("case"), F.sum("control").alias("control"))
-    total = long.groupBy(F.col("at").alias("_a")).agg(F.sum("case").alias("P"), F.sum("control").alias("N"))
-    run = running_sum(long, ["at"], "m", ["case", "control"], descending=True).join(total, F.col("at") == F.col("_a"))
+    run = _roc_run(_roc_sums(df, time, event, marker, tuple(dict.fromkeys(times)), cause, (free,)))
     curve = run.select(F.col("at").alias("time"), F.col("m").alias("threshold"), (F.col("cum_case") / F.col("P")).alias("tpr"), (F.col("cum_control") / F.col("N")).alias("fpr"))
-    area = run.groupBy("at", "P", "N").agg(F.sum(F.col("case") * (F.col("N") - F.col("cum_control") + F.col("control") / 2)).alias("a"))
-    auc = area.select(F.col("at").alias("time"), (F.col("a") / F.col("P") / F.col("N")).alias("auc")).toPandas()
-    return auc.sort_values("time", ignore_index=True), curve
+    return _roc_areas(run).drop("free").toPandas().sort_values("time", ignore_index=True), curve
+
+
+def time_auc(df: DataFrame, time: str, event: str, marker: str, times: tuple[float, ...], cause: int, ways: tuple[bool, ...] = (True, False)) -> DataFrame:
+    """(free, time, auc) of time_roc for one of several causes, both ways to take rows of other causes side by side."""
+    return _roc_areas(_roc_run(_roc_sums(df, time, event, marker, tuple(dict.fromkeys(times)), cause, ways)))
 
 
 def proportional_hazards(df: DataFrame, time: str, event: str, xs: list[str], transform: str = "km") -> list[dict]:
