@@ -133,10 +133,9 @@ def time_roc(spark: SparkSession, d: str) -> DataFrame:
  SELECT until AS time, free, round(sum(c * (below + n / 2)) / sum(c) / sum(n), 6) AS auc FROM z GROUP BY 1, 2""")
 def time_roc_causes(spark: SparkSession, d: str) -> DataFrame:
     """AUC of one of two causes, rows of the other left out or taken as controls."""
-    v = _surv(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
-    v = v.select("t", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("e"), "m")
-    rows = [(float(r.time), free, round(float(r.auc), 6)) for free in (True, False) for r in survival.time_roc(v, "t", "e", "m", (60, 120), cause=1, free=free)[0].itertuples()]
-    return spark.createDataFrame(rows, "time double, free boolean, auc double")
+    cause = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(0)
+    v = table(spark, d, "orders").select((F.col("o_orderkey") % 211 + 1).cast("double").alias("t"), cause.alias("e"), F.col("o_totalprice").alias("m"))
+    return survival.time_auc(v, "t", "e", "m", (60, 120), cause=1).select("time", "free", F.round("auc", 6).alias("auc"))
 
 
 @query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem""")

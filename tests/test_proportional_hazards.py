@@ -75,3 +75,23 @@ def test_time_roc_of_a_cause(spark, free, auc):
     assert survival.time_roc(rows, "t", "e", "m", (2,), cause=1, free=free)[0]["auc"][0] == pytest.approx(auc)
     with pytest.raises(ValueError):
         survival.time_roc(rows, "t", "e", "m", (2,), cause=3)
+
+
+def test_time_roc_reads_its_rows_twice(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(float(i % 13), (i * 7) % 3, float((i * 5) % 17)) for i in range(90)]
+    read = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "t double, e int, m double")
+    got = {(r.free, r.time): r.auc for r in survival.time_auc(df.mapInArrow(look, df.schema), "t", "e", "m", (4, 8), cause=1).collect()}
+    assert read.value == 2 * len(rows)
+    for free in (True, False):
+        auc, curve = survival.time_roc(df, "t", "e", "m", (4, 8), cause=1, free=free)
+        assert [got[free, t] for t in (4.0, 8.0)] == pytest.approx(list(auc["auc"]))
+        assert curve.agg(F.max("tpr"), F.max("fpr")).first() == pytest.approx((1.0, 1.0))
