@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a worker keeps for one operator from task to task. Spark reuses workers, so what it kept for the others goes."""
+    mine = _KEPT.setdefault(owner, {})
+    if others := [v for v in _KEPT.values() if v and v is not mine]:
+        for v in others:
+            v.clear()
+        pa.default_memory_pool().release_unused()
+    return mine
+
+
 def quoted(name: str) -> str:
     """A column's name as Spark reads it, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"

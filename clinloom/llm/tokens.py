@@ -18,7 +18,7 @@ from unicodedata import normalize
 import numpy as np
 import regex
 
-from clinloom.llm.common import hash_words
+from clinloom.llm.common import hash_words, kept
 
 #: Parts of texts, and words of letters among them, of which the ids are kept, at most, in a worker: some 250 MB.
 KEEP_PARTS, KEEP_WORDS = 1_000_000, 400_000
@@ -28,7 +28,6 @@ PLAIN, SPACED, LINED = 0, 1, 2
 LEADS = ("", " ", "\n")
 _SALT = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], dtype=np.uint64)
 _LETTERS = regex.compile(r"\p{L}+")
-_OPEN: dict[str, Encoder] = {}
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -221,9 +220,10 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
-    if path not in _OPEN:
-        _OPEN[path] = Encoder(path)
-    return _OPEN[path]
+    known = kept("tokens")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def public_path(name: str) -> str:

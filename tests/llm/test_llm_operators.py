@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clinloom.llm import components, decontam, kneser_ney, langid, line_dedup, minhash, packing, suffix_dedup, tokens, topk, url_filter, wavelet
+from clinloom.llm import common, components, decontam, kneser_ney, langid, line_dedup, minhash, packing, suffix_dedup, tokens, topk, url_filter, wavelet
 from clinloom.llm.common import materialize
 
 WORDS = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("l", "n", "rt", "s", "m")]
@@ -156,6 +156,23 @@ def test_language_stage(spark):
     assert langid.language_stage(spark, df.limit(0), "").count() == 0
 
 
+def test_language_stage_sends_a_text_once(spark, monkeypatch):
+    sent, identify = [], langid.identify
+    monkeypatch.setattr(langid, "identify", lambda df, *a, **k: sent.append(df.dtypes) or identify(df, *a, **k))
+    # more rows than a piece of a batch: the struct's pieces begin where the batch's do
+    rows = [(i, None if i % 7 == 0 else "the oath " * 9 if i % 2 else "qué ñandú " * 9, "aa" if i % 2 else "bb") for i in range(4100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = langid.language_stage(spark, df, "").collect()
+    assert sent == [[("row", "struct<doc_id:bigint,text:string,lang:string>")]]
+    assert sorted(tuple(r) for r in got) == [r for r in rows if r[1]]
+
+
+def test_workers_keep_for_one_operator():
+    common.kept("tokens")["file"] = object()
+    assert common.kept("tokens")  # a further task of the same operator
+    assert common.kept("langid") == {} and common.kept("tokens") == {}
+
+
 # --- 2
 
 
