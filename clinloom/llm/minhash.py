@@ -9,9 +9,10 @@
 4. The packed bits estimate a pair's similarity, corrected for chance collisions; pairs more
    than six standard deviations below the threshold go, the rest are confirmed on full sets.
 5. Links close to components. Buckets that still hold several components beyond the
-   smallest member choose another member, by a hash, for all to meet, a few times over. What is left in
-   several components then is compared in blocks, each pair in the first band that it
-   shares, so that no link is missed for want of a link to a chosen member.
+   smallest member choose another member, by a hash, for all to meet, a few times over as long as
+   that leaves clearly fewer members. What is left in several components then is compared in
+   blocks, each pair in the first band that it shares, so that no link is missed for want of a
+   link to a chosen member.
 
 Defined cases: a text that is null or has no words has an empty set and is linked with
 nothing; with fewer than five words the whole sequence is the one shingle; very long texts
@@ -40,6 +41,8 @@ BITS = 4
 SLACK = 0.23
 #: Rounds in which each bucket's members meet one of them.
 STARS = 4
+#: No further round where one has left more than this share of the members: blocks come to them anyway.
+STAR_LEAVES = 0.75
 #: Members of a block in step 5, and shingles of its members, about.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
@@ -286,10 +289,12 @@ def _judged(docs: DataFrame, percent: int, stars: int = STARS, block: int = BLOC
             links = materialize(links.unionAll(new))
             labels = materialize(connected_components(links))
 
-    rest = named(rest)
+    rest, before = named(rest), None
     for k in range(1, stars):
-        if rest.isEmpty():
+        n = rest.count()
+        if not n or (before and n > STAR_LEAVES * before):
             break
+        before = n
         lead = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("r", F.lit(k)).alias("h"), "r", "c")).alias("m")).select("key", F.col("m.r").alias("lead"), F.col("m.c").alias("lc"))
         met = rest.join(lead, "key").where(F.col("r") != F.col("lead"))
         also(confirm(likely(met.where(F.col("c") != F.col("lc")).select(F.least("lead", "r").alias("a"), F.greatest("lead", "r").alias("b"))), sets, percent))

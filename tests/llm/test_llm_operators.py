@@ -41,6 +41,20 @@ def test_components(spark):
     assert components.connected_components(e.limit(0)).count() == 0
 
 
+def test_components_of_few_edges_close_in_one_task(spark, monkeypatch):
+    rng = random.Random(4)
+    nodes = rng.sample(range(10**6), 400)
+    trees = [(nodes[i], nodes[i + 1]) for i in range(0, 250)] + [(nodes[rng.randint(252, i - 1)], nodes[i]) for i in range(253, 400)]
+    e = spark.createDataFrame(trees, "a long, b long")
+    want = {x: min(part) for part in (nodes[:251], nodes[252:]) for x in part}
+    by_rounds, from_some = ({r.node: r.component for r in components.connected_components(e, few=few).collect()} for few in (0, 60))
+    assert by_rounds == from_some == want
+    written, store = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df: written.append(df) or store(df))
+    assert {r.node: r.component for r in components.connected_components(e).collect()} == want
+    assert len(written) == 1  # the edges; rounds would write three tables each
+
+
 # --- 9
 
 
@@ -290,6 +304,17 @@ def brute_groups(docs):
     return {d: (len(s[d]), find(d)) for d in docs}
 
 
+def test_stars_end_where_they_leave_their_members(spark, monkeypatch):
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(100))  # alike, but not so much that they are linked
+    docs = spark.createDataFrame([(i, common + " " + " ".join(f"w{rng.random()}" for _ in range(20))) for i in range(60)], "doc_id long, text string")
+    calls, blocks, confirm, links = [], [], minhash.confirm, minhash._block_links
+    monkeypatch.setattr(minhash, "confirm", lambda *a: calls.append(1) or confirm(*a))
+    monkeypatch.setattr(minhash, "_block_links", lambda *a: blocks.append(1) or links(*a))
+    assert all(r.kept for r in minhash.near_duplicates(docs).collect())
+    assert len(calls) == 2 and len(blocks) == 1  # the smallest members, one round; then blocks
+
+
 @pytest.mark.parametrize("options", [{}, {"stars": 1, "block": 4}])
 def test_minhash_against_all_pairs(spark, options):
     rng = random.Random(11)
