@@ -6,6 +6,7 @@ the same as within the text. Parts are known again by a 64-bit hash and then com
 byte. Which way a tokenizer's file allows is read from the file; where neither way holds, and
 for texts that have two separators in a row, may hold one of the tokenizer's added tokens (such
 as the end of a text, written out) or hold a part whose hash another part has, whole texts go through the library.
+Where a space belongs to the word that follows, all new parts of a batch are merged side by side, in arrays.
 """
 
 from __future__ import annotations
@@ -39,6 +40,101 @@ def _byte_symbols() -> dict[int, str]:
 
 _SYMBOLS = _byte_symbols()
 
+#: Bytes of the longest unit that is merged beside others.
+UNIT = 32
+_NONE = np.int32(2**31 - 1)
+_LETTER, _DIGIT, _MARK, _SPACE, _LINE = 1, 2, 3, 4, 5
+
+
+def _kinds(cut) -> np.ndarray:
+    """Of characters below U+10000 the kind of unit that they stand in, 0 where the library is asked: ASCII, but for an apostrophe, and what the library's cut takes for letters."""
+    kinds = np.zeros(1 << 16, dtype=np.uint8)
+    shown = "".join(chr(c) for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000)
+    kinds[[ord(c) for m in _LETTERS.finditer(shown) for c in m.group() if len(cut(f"a{c}b")) == 1]] = _LETTER
+    for c in range(33, 127):
+        kinds[c] = _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _MARK
+    kinds[[ord("'"), 32, 10]] = 0, _SPACE, _LINE
+    return kinds
+
+
+class Merges:
+    """The merges of a byte-level vocabulary, for many units at a time: in each the pair that comes first in the file, the leftmost of equal ones, until none is left."""
+
+    def __init__(self, vocab: dict[str, int], pairs: list[tuple[str, str]], cut):
+        key = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.int64)
+        self.by_key = np.argsort(key, kind="stable").astype(np.int32)
+        self.keys = key[self.by_key]
+        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        self.id = np.array([vocab[_SYMBOLS.get(b, chr(b))] for b in range(256)] + [-1], dtype=np.int32)
+        self.first = self._rank(self.id[:, None], self.id[None, :])  # of two bytes
+        self.kinds = _kinds(cut)
+
+    @classmethod
+    def of(cls, spec: dict, cut) -> Merges | None:
+        m = spec["model"]
+        other = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if m.get("type") != "BPE" or any(m.get(k) for k in other) or max(m["vocab"].values()) >= 1 << 16:
+            return None
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+        whole = all(_SYMBOLS.get(b, chr(b)) in m["vocab"] for b in range(256)) and len(set(pairs)) == len(pairs) > 0
+        return cls(m["vocab"], pairs, cut) if whole else None
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where((a < 0) | (b < 0), -1, a.astype(np.int64) << 16 | b)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.by_key[at], _NONE)
+
+    def _merge(self, units: np.ndarray) -> np.ndarray:
+        """Rows of bytes, filled up with 256, become rows of ids, filled up with -1."""
+        ids, rank = self.id[units], self.first[units[:, :-1], units[:, 1:]]
+        out, rows, col = np.empty_like(ids), np.arange(len(ids)), np.arange(units.shape[1])
+        while len(rows):
+            p = rank.argmin(axis=1)
+            r = rank[np.arange(len(rows)), p]
+            live = r < _NONE
+            if not live.all():
+                out[rows[~live]] = ids[~live]
+                rows, ids, rank, p, r = (x[live] for x in (rows, ids, rank, p, r))
+            i = np.arange(len(rows))
+            ids[i, p] = self.merged[r]
+            ids = np.take_along_axis(ids, np.minimum(col + (col > p[:, None]), len(col) - 1), axis=1)
+            ids[:, -1] = -1
+            rank = np.take_along_axis(rank, np.minimum(col[:-1] + (col[:-1] >= p[:, None]), len(col) - 2), axis=1)
+            rank[:, -1] = _NONE
+            rank[i, p] = self._rank(ids[i, p], ids[i, p + 1])
+            i, q = i[p > 0], p[p > 0]
+            rank[i, q - 1] = self._rank(ids[i, q - 1], ids[i, q])
+        return out
+
+    def encode(self, parts: list[bytes]) -> list[bytes | None]:
+        """The ids of parts with their separators before them; None where the library must be asked."""
+        size = np.array([len(p) for p in parts], dtype=np.int64)
+        blob = b"".join(parts)
+        data, upto = np.frombuffer(blob, dtype=np.uint8), np.r_[0, np.cumsum(size)]
+        chars = np.frombuffer(blob.decode().encode("utf-32-le"), dtype="<u4")
+        kind = self.kinds[np.minimum(chars, 0xFFFF)][np.cumsum((data & 0xC0) != 0x80) - 1]
+        # a unit is a run of one kind, with the space before it
+        starts = np.ones(len(data), dtype=bool)
+        starts[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        starts[upto[:-1][size > 0]] = True
+        at = np.flatnonzero(starts)
+        n = np.diff(np.r_[at, len(data)])
+        odd = np.r_[0, np.cumsum((kind == 0) | (np.repeat(n, n) > UNIT))]
+        known = (odd[upto[1:]] == odd[upto[:-1]]) & (size > 0)
+        wanted = known[np.searchsorted(upto, at, side="right") - 1]
+        ids = np.full(len(data), -1, dtype=np.int32)
+        for lo, hi in ((0, 4), (4, 8), (8, 16), (16, UNIT)):
+            a, k = (x[wanted & (n > lo) & (n <= hi)] for x in (at, n))
+            inside = np.arange(hi) < k[:, None]
+            places = (a[:, None] + np.arange(hi))[inside]
+            units = np.full(inside.shape, 256, dtype=np.int64)
+            units[inside] = data[places]
+            ids[places] = self._merge(units)[inside]
+        have = ids >= 0
+        cuts = (4 * np.r_[0, np.cumsum(have)][upto]).tolist()
+        raw = ids[have].astype("<u4").tobytes()
+        return [raw[a:b] if k else None for a, b, k in zip(cuts, cuts[1:], known.tolist())]
+
 
 def _bytes(ids: list[int]) -> bytes:
     """As little-endian numbers of 32 bits."""
@@ -55,6 +151,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.mode = self._mode(spec)
+        self.merges = Merges.of(spec, self.library.pre_tokenizer.pre_tokenize_str) if self.mode == "leading" else None
         # added tokens are found before a text is cut; these beginnings are alike before and after normal forms and lower-casing
         self.marks = {t["content"][:2] for t in spec.get("added_tokens") or []}
         if any(len(m) < 2 or not m.isascii() or m.isalnum() or any(c.isspace() or c.isalnum() for c in m) for m in self.marks):
@@ -126,7 +223,12 @@ class Encoder:
 
     def _add(self, keys: list[int], raw: list[bytes], leads: list[int]) -> None:
         """Keep new parts and their ids."""
-        got = [self._part(p.decode(), k) for p, k in zip(raw, leads)]
+        if self.merges:
+            lead = [x.encode() for x in LEADS]
+            got = self.merges.encode([lead[k] + p if p else p for p, k in zip(raw, leads)])
+            got = [self._encode(LEADS[k] + p.decode()) if g is None else g for g, p, k in zip(got, raw, leads)]
+        else:
+            got = [self._part(p.decode(), k) for p, k in zip(raw, leads)]
         ids = np.frombuffer(b"".join(got), dtype="<u4")
         n, k = len(self.slots), len(keys)
         while n + k > len(self.first):

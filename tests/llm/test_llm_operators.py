@@ -304,6 +304,23 @@ def brute_groups(docs):
     return {d: (len(s[d]), find(d)) for d in docs}
 
 
+def test_new_parts_are_merged_side_by_side(monkeypatch):
+    rng = random.Random(3)
+    signs = "ab'sZé0 9\n.,!-_ñ你中́٣’\U00010400\tTrRe\u0558\u058b"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [None, "", " ", "\n", "a ", "a\n", "a" * 32, " " + "a" * 32, "aaaa " * 9, *ODD]
+    enc = tokens.Encoder(tokens.public_path("byte_bpe_50k.json"))
+    library = [tokens._bytes(enc.library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert enc.encode(texts) == library == enc.encode(texts)
+    assert not enc.merges.kinds[0x558] and enc.merges.kinds[ord("é")] and not enc.merges.kinds[ord("'")]
+    enc.clear()
+    asked = []
+    monkeypatch.setattr(enc, "_encode", lambda t: asked.append(t))
+    monkeypatch.setattr(enc, "_part", lambda *a: asked.append(a))
+    enc.encode([" ".join(f"{rng.choice(WORDS)}é{i}," for i in range(500))])
+    assert not asked  # before, each new word went by itself
+
+
 def test_stars_end_where_they_leave_their_members(spark, monkeypatch):
     rng = random.Random(9)
     common = " ".join(f"c{i}" for i in range(100))  # alike, but not so much that they are linked
