@@ -2,6 +2,7 @@ from datetime import date
 
 import pytest
 
+from clinloom.operators import range_join
 from clinloom.operators import screening as S
 from clinloom.operators.range_join import merge_by_range
 from clinloom.operators.substring_join import merge_by_substring
@@ -138,3 +139,27 @@ def test_rules_as_text(spark, cohort):
     for bad in ("any(zz > 1)", "any(pid > 1)", "any(Hb >", "any(1 > 0)"):
         with pytest.raises(ValueError):
             parse_rule(bad, cohort)
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+@pytest.mark.parametrize("all_y", [False, True])
+def test_rows_of_one_time_are_matched_together(spark, monkeypatch, keys, all_y):
+    monkeypatch.setattr(range_join, "TOGETHER", 3)
+    monkeypatch.setattr(range_join, "PAIRS", 20)
+    xs = [(i % 2, float(i // 4), float(i // 4 + i % 3), i) for i in range(40)]
+    ys = [(i % 2, float(i % 13), i) for i in range(130)] + [(0, None, 130), (None, 3.0, 131)]
+    x, y = spark.createDataFrame(xs, "g int, s double, e double, a int"), spark.createDataFrame(ys, "g int, v double, b int")
+    want = sorted((a, b, v - s) for g, s, e, a in xs for h, v, b in ys if v is not None and s <= v <= e and (not keys or g == h))
+    out = merge_by_range(x, y, keys, "s", "e", "v", all_y=all_y, keep_row_id=True, bin_width=2.0).collect()
+    assert sorted((r.a, r.b, r.since_start) for r in out if r.a is not None) == want
+    alone = {b for _, _, b in ys} - {b for _, b, _ in want}
+    assert sorted(r.b for r in out if r.a is None) == (sorted(alone) if all_y else [])
+    assert len({(r.b, r[".cp_y_row_id"]) for r in out}) == len({r.b for r in out}) == len({r[".cp_y_row_id"] for r in out})
+
+
+def test_pairs_of_equal_times_stay_small_in_files(spark, tmp_path):
+    e = spark.range(0, 96 * 50, numPartitions=1).selectExpr("id", "cast(id % 50 * 37 % 50 as double) as t")
+    x, y = e.selectExpr("id as a", "t as s", "t + 1 as e"), e.selectExpr("id as b", "t as v")
+    merge_by_range(x, y, [], "s", "e", "v", all_y=False, keep_row_id=False, bin_width=25.0).select("a", "b", "since_start").write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 96 * 96 * 99
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 96 * 96 * 99
